@@ -49,7 +49,7 @@ NON_FEATURE_FIELDS = RESERVED_FIELDS + PAYLOAD_CLOCK_FIELDS
 DRONE_FILE_PATTERN = r"drone_(\d+)\.csv"
 LEGACY_DRONE_PATTERN = r"-([0-9]+)/[^/]+\.csv$"
 TRAILING_NUMBER_PATTERN = r"-(\d+)$"
-RUN_DIR_PATTERN = r"/(?:capture=)?(run_[^/]+)/"
+RUN_DIR_PATTERN = r"/(?:[a-z_]+=)?(run_[^/]+)/"
 STRICT_SHAPE_PATTERN = r"(n\d+_s\d+_e\d+)$"
 
 # --- labels ---------------------------------------------------------------

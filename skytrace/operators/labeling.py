@@ -13,13 +13,16 @@ BUCKET_S = 3600.0
 def window_lookup(windows: DataFrame, by: list[str] = (), bucket_s: float = BUCKET_S) -> DataFrame:
     """Windows per (run columns, drone, time bucket), each list sorted by ``window_idx``.
 
-    A list holds only the windows that touch one bucket of one drone.
+    Targets come as an array ``target_drones`` or, in long form, one ``drone_id`` per
+    row. A list holds only the windows that touch one bucket of one drone.
     """
+    if "target_drones" in windows.columns:
+        windows = windows.withColumn("drone_id", F.explode(F.array_distinct("target_drones")))
     bucket = lambda c: F.floor(F.col(c) / bucket_s).cast("long")
     return (
         windows.filter(F.col("start_epoch") <= F.col("end_epoch"))
         .select(*by, "window_idx", "start_epoch", "end_epoch", "attack_type",
-                F.explode(F.array_distinct("target_drones")).cast("long").alias("drone_id"))
+                F.col("drone_id").cast("long").alias("drone_id"))
         .withColumn("_bucket", F.explode(F.sequence(bucket("start_epoch"), bucket("end_epoch"))))
         .groupBy(*by, "drone_id", "_bucket")
         .agg(F.sort_array(F.collect_list(

@@ -12,6 +12,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 from skytrace import fixed_values as fixed
 from skytrace.functions import scalars as S
 from skytrace.operators.labeling import with_constant_label
+from skytrace.session import cut_lineage
 
 PATH = "_path"
 
@@ -52,8 +53,10 @@ def read_capture(spark: SparkSession, root: str) -> DataFrame:
 def write_capture(df: DataFrame, root: str) -> None:
     """Capture layout by run and drone: ``capture=<run>/file=drone_NNN.csv/part-*``, cells as text.
 
-    Files are split by size, not one per drone, so a busy drone is not one task.
+    Rows are range partitioned down to the clock, so a busy drone spreads over several
+    tasks and a quiet one sits in one or two files.
     """
+    df = df.repartitionByRange("run_name", "drone_id", F.col("timestamp").try_cast("double"))
     cells = [
         S.format_cell(F.col(f"`{f.name}`"), f.dataType).alias(f.name)
         for f in df.schema if f.name not in ("run_name", "drone_id")
@@ -105,15 +108,14 @@ def to_flight(df: DataFrame, out: str, force: bool = False) -> DataFrame:
 
     Returns ``(run_name, status)`` with status ``built`` or ``skipped``.
     """
-    spark = df.sparkSession
-    have = built_runs(spark, out)
-    # A handful of names; fixed now, because the write changes what the table holds.
-    done = [r["run_name"] for r in have.collect()]
-    todo = df if force else df.filter(~F.col("run_name").isin(done)) if done else df
     runs = df.select("run_name").distinct()
-    status = F.when(F.lit(force) | ~F.col("run_name").isin(done), "built").otherwise("skipped") if done else F.lit("built")
-    write_flight(todo, out, force)
-    return runs.withColumn("status", status)
+    if force:
+        write_flight(df, out, force=True)
+        return runs.withColumn("status", F.lit("built"))
+    # Fixed before the write, which changes what the table holds.
+    have = cut_lineage(built_runs(df.sparkSession, out).withColumn("status", F.lit("skipped")))
+    write_flight(df.join(have, "run_name", "left_anti"), out)
+    return runs.join(have, "run_name", "left").withColumn("status", F.coalesce("status", F.lit("built")))
 
 
 def convert_all(spark: SparkSession, root: str, out: str, force: bool = False) -> DataFrame:
@@ -156,13 +158,15 @@ def sql(df: DataFrame, text: str) -> DataFrame:
 
 # --- discovery ------------------------------------------------------------
 def drone_files(spark: SparkSession, root: str) -> DataFrame:
-    files = _files(spark, root, "drone_*.csv").withColumn(PATH, F.col("path"))
+    """Files of per-drone captures: one file per drone, or a folder of parts of that name."""
+    files = _files(spark, root, "*.csv").withColumn(PATH, F.col("path"))
     return with_drone_id(files).withColumn("run_name", run_of(PATH)).filter(F.col("drone_id").isNotNull()).drop(PATH)
 
 
 def discover_runs(spark: SparkSession, root: str, names: list[str] | None = None) -> DataFrame:
     """Runs that hold drone files, at any depth, with their file count."""
-    runs = drone_files(spark, root).groupBy("run_name").agg(F.count(F.lit(1)).alias("drones"))
+    found = drone_files(spark, root).select("run_name", "drone_id").distinct()
+    runs = found.groupBy("run_name").agg(F.count(F.lit(1)).alias("drones"))
     return runs if names is None else runs.filter(F.col("run_name").isin(names))
 
 

@@ -20,7 +20,7 @@ MANIFEST_SCHEMA = (
 )
 
 
-def read_metadata(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
+def read_metadata(spark: SparkSession, root: str, glob: str = "metadata.json") -> tuple[DataFrame, DataFrame]:
     """Readable run metadata, and the runs whose file does not parse.
 
     A run without the file appears in neither; join against the discovered runs.
@@ -29,7 +29,7 @@ def read_metadata(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]
         raw = (
             spark.read.schema(SCHEMA + ", _corrupt string").option("multiLine", "true")
             .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt")
-            .option("recursiveFileLookup", "true").option("pathGlobFilter", "metadata.json").json(root)
+            .option("recursiveFileLookup", "true").option("pathGlobFilter", glob).json(root)
         )
     except AnalysisException:
         raw = spark.createDataFrame([], SCHEMA + ", _corrupt string").withColumn("_metadata", F.struct(F.lit("").alias("file_path")))
