@@ -127,21 +127,22 @@ def vehicle_identity(df: DataFrame, by: list[str] = (), order: list[str] = ("tim
     return beats.groupBy(*by).agg(F.min_by("type", F.struct(preferred, *order)).alias("vehicle_type"))
 
 
-def lock_vehicle(df: DataFrame, type: int = fixed.MAV_TYPE_QUADROTOR, order: list[str] = ("timestamp", "seq")) -> DataFrame:
-    """Messages that pass the lock on the first system announcing ``type``.
+def lock_vehicle(
+    df: DataFrame, type: int = fixed.MAV_TYPE_QUADROTOR, by: list[str] = (), order: list[str] = ("timestamp", "seq")
+) -> DataFrame:
+    """Messages that pass the lock on the first system announcing ``type``, per ``by`` link.
 
     Before the lock all systems pass unless their last heartbeat told another type;
     from the locking heartbeat on only the locked system does.
     """
-    order = list(order)
+    by, order = list(by), list(order)
     at = F.struct(*order)
-    beats = S.primary(df, "HEARTBEAT").filter(F.col("type").isNotNull())
-    lock = beats.filter(F.col("type") == type).agg(
-        F.min_by("sysid", at).alias("_locked"), F.min(at).alias("_since")
-    )
+    announced = S.primary(df, "HEARTBEAT").filter(F.col("type") == type)
+    lock = announced.groupBy(*by).agg(F.min_by("sysid", at).alias("_locked"), F.min(at).alias("_since"))
     told = df.withColumn("_told", F.when(F.col("mav_packet_type") == "HEARTBEAT", F.col("type")))
-    known = carry_forward(told, ["sysid"], order, time_bucket(order[0]), ["_told"])
-    joined = known.crossJoin(F.broadcast(lock))  # one row
+    known = carry_forward(told, [*by, "sysid"], order, time_bucket(order[0]), ["_told"])
+    # One row per link; without links a single row.
+    joined = known.join(lock, by, "left") if by else known.crossJoin(F.broadcast(lock))
     other_type = F.coalesce(F.col("_told") != type, F.lit(False))
     other_id = F.coalesce((at >= F.col("_since")) & (F.col("sysid") != F.col("_locked")), F.lit(False))
     anonymous = F.col("sysid").isNull()

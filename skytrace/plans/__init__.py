@@ -1,4 +1,4 @@
 """Registered queries over the test tables."""
 
-from skytrace.plans import audit_queries, metric_queries, report_queries, scalar_queries  # noqa: F401
+from skytrace.plans import audit_queries, feature_queries, metric_queries, report_queries, scalar_queries  # noqa: F401
 from skytrace.plans.registry import QUERIES  # noqa: F401

@@ -21,14 +21,14 @@ class Query:
 QUERIES: dict[str, Query] = {}
 
 
-def query(ids: str, sql: str | None = None, raw: bool = False, runs: bool = False, pred: bool = False):
+def query(ids: str, sql: str | None = None, raw: bool = False, runs: bool = False, pred: bool = False, recursive: bool = False):
     """Register a function under its own name. ``raw`` SQL reads the tables directly."""
 
     def add(fn: Callable[[SparkSession, str], DataFrame]):
         name = fn.__name__
         if name in QUERIES:
             raise ValueError(f"query {name} registered twice")
-        text = sql if sql is None or raw else oracle(sql, runs_view=runs, pred=pred)
+        text = sql if sql is None or raw else oracle(sql, runs_view=runs, pred=pred, recursive=recursive)
         QUERIES[name] = Query(name, tuple(ids.split()), fn, text)
         return fn
 

@@ -34,8 +34,8 @@ SELECT seq, drone_id, run_id, run_label, run_attack,
   CASE WHEN hud THEN CAST(k + 20 AS DOUBLE) END AS throttle,
   CASE WHEN hud THEN CAST(k - 50 AS DOUBLE) END AS climb,
   CASE WHEN hud THEN CAST(k * 3 AS DOUBLE) WHEN gps THEN CAST(k * 100 AS DOUBLE) END AS alt,
-  CASE WHEN gps THEN CAST(473977000 + k AS DOUBLE) END AS lat,
-  CASE WHEN gps THEN CAST(85455900 + seq % 89 AS DOUBLE) END AS lon,
+  CASE WHEN gps THEN CAST(4700 + k AS DOUBLE) END AS lat,
+  CASE WHEN gps THEN CAST(850 + seq % 89 AS DOUBLE) END AS lon,
   CASE WHEN gps THEN CAST(k * 100 + 50 AS DOUBLE) END AS alt_ellipsoid,
   CASE WHEN gps THEN CAST(seq % 359 AS DOUBLE) END AS cog,
   CASE WHEN gps THEN value END AS vel,
@@ -124,7 +124,7 @@ def predictions(df: DataFrame) -> DataFrame:
     ).drop("value")
 
 
-def oracle(body: str, *, runs_view: bool = False, pred: bool = False) -> str:
+def oracle(body: str, *, runs_view: bool = False, pred: bool = False, recursive: bool = False) -> str:
     """An oracle query over the view ``flight`` (and ``runs``, ``pred`` when asked)."""
     parts = [f"flight AS ({FLIGHT_SQL.format(millis=DUCK_MILLIS)})"]
     if runs_view:
@@ -132,6 +132,7 @@ def oracle(body: str, *, runs_view: bool = False, pred: bool = False) -> str:
     if pred:
         parts.append(f"pred AS ({PRED_SQL})")
     body = body.strip()
+    head = "WITH RECURSIVE " if recursive else "WITH "
     if body.upper().startswith("WITH "):
-        return "WITH " + ",\n".join(parts) + ",\n" + body[5:]
-    return "WITH " + ",\n".join(parts) + "\n" + body
+        return head + ",\n".join(parts) + ",\n" + body[5:]
+    return head + ",\n".join(parts) + "\n" + body
