@@ -42,18 +42,23 @@ def file_entries(spark: SparkSession, root: str, glob: str = "drone_*.csv") -> D
 def cached(spark: SparkSession, root: str, key: str, builder: Callable[[], DataFrame], partition: str = "split") -> DataFrame:
     """The frame stored under ``key``, built and written first when absent.
 
-    An unfinished write has no ``_SUCCESS`` marker and is rebuilt.
+    Rows lie under ``<key>/rows``. ``<key>/manifest`` is written after them, so an entry
+    without it is unfinished and gets rebuilt.
     """
-    path = f"{root.rstrip('/')}/{key}"
-    if not _complete(spark, path):
+    rows, done = (f"{root.rstrip('/')}/{key}/{part}" for part in ("rows", "manifest"))
+    if not _finished(spark, done):
         frame = builder()
         writer = frame.write.mode("overwrite").option("compression", "zstd")
-        (writer.partitionBy(partition) if partition in frame.columns else writer).parquet(path)
-    return spark.read.parquet(path)
+        (writer.partitionBy(partition) if partition in frame.columns else writer).parquet(rows)
+        entry = spark.range(1).select(
+            F.lit(key).alias("cache_key"), F.lit(fixed.CACHE_FORMAT_VERSION).alias("format_version"),
+            F.lit(json.dumps(sorted(frame.columns))).alias("columns"))
+        entry.write.mode("overwrite").parquet(done)
+    return spark.read.parquet(rows)
 
 
-def _complete(spark: SparkSession, path: str) -> bool:
+def _finished(spark: SparkSession, done: str) -> bool:
     try:
-        return not spark.read.format("binaryFile").load(f"{path}/_SUCCESS").select("path").isEmpty()
+        return not spark.read.parquet(done).isEmpty()
     except AnalysisException:
         return False
