@@ -19,6 +19,7 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 from skytrace import fixed_values as fixed
 from skytrace.functions.scalars import num, primary
 from skytrace.operators.ordered import OWN_PIECE, PIECE, ROWS_BEFORE, TARGET_ROWS, spread, time_bucket
+from skytrace.session import shuffle_partitions
 
 KEYS = ["run_id", "drone_id"]
 ORDER = ["timestamp", "seq"]
@@ -218,8 +219,10 @@ def engineer(
     schema = StructType(
         [pieces.schema[c] for c in carried] + [StructField(c, DoubleType()) for c in names]
     )
+    # A fixed number of partitions: the pass is bound by CPU, so few bytes are no reason
+    # to merge partitions.
     return (
-        pieces.repartition(*keys, PIECE)
+        pieces.repartition(shuffle_partitions(df.sparkSession), *keys, PIECE)
         .sortWithinPartitions(*keys, PIECE, *[F.col(c).asc_nulls_last() for c in order])
         .mapInPandas(_kernel(message_type, list(keys), carried, names), schema)
     )

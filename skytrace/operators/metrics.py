@@ -13,6 +13,7 @@ from operator import add
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from skytrace.operators.ordered import HOUR_MS, order_by, ranked, running_totals, time_bucket
+from skytrace.session import cut_lineage
 
 RUN, DRONE = "run_id", "drone_id"
 SEQUENCE = ["window_end_timestamp", "window_index"]
@@ -51,10 +52,14 @@ def prf(cm: DataFrame) -> DataFrame:
 
 
 def score_counts(pred: DataFrame, by: list[str] = ()) -> DataFrame:
-    """Windows and positives per distinct score: the shuffle carries scores, not windows."""
-    return pred.groupBy(*by, "y_prob").agg(
+    """Windows and positives per distinct score: the shuffle carries scores, not windows.
+
+    Written out, because ranking reads it three times and the windows behind it are
+    large. One pass over the predictions is all that happens.
+    """
+    return cut_lineage(pred.groupBy(*by, "y_prob").agg(
         F.count(F.lit(1)).alias("n"), F.sum(F.col("y_true").cast("long")).alias("pos")
-    )
+    ))
 
 
 def prob_summary(pred: DataFrame, by: list[str] = ()) -> DataFrame:

@@ -51,7 +51,7 @@ def size_checked(df: DataFrame, limit: int = BROADCAST_ROWS) -> tuple[DataFrame,
 
 
 def _pieces(df: DataFrame, keys: list[str], cell: Column, target_rows: int, halo: int) -> DataFrame:
-    """Which pieces each (key, cell) of a large key feeds; keys of one piece do not appear."""
+    """Which pieces each (key, cell) of a large key feeds; cells of a first piece alone do not appear."""
     counts = df.groupBy(*keys, cell.alias("_cell")).agg(F.count(F.lit(1)).alias("_n"))
     earlier = Window.partitionBy(*keys).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
     before = F.coalesce(F.sum("_n").over(earlier), F.lit(0)).cast("long")
@@ -85,17 +85,20 @@ def spread(
     Adds ``_piece``, ``_own_piece`` and ``_rows_before``; keep a row's result where the
     two piece columns agree. Rows with a NULL key are dropped.
 
-    A light pass over the key and clock columns finds the large keys. Without any, rows
-    pass unchanged and the window's own shuffle stays the only one.
+    A count per key, combined on the map side, finds the large keys. Without any, rows
+    pass unchanged and the window's own shuffle stays the only one. Otherwise a second
+    pass counts the cells of the large keys alone.
     """
     if halo > target_rows:
         raise ValueError("halo must not exceed target_rows")
-    for k in keys:
-        df = df.filter(F.col(k).isNotNull())
-    pieces, n = size_checked(_pieces(df, keys, cell, target_rows, halo))
+    df = df.dropna(subset=list(keys))
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    # Never more than rows / target_rows keys, and checked besides.
+    large, n = size_checked(sizes.filter(F.col("_n") > target_rows).select(*keys))
     if n == 0:
         zero = F.lit(0).cast("long")
         return df.withColumns({PIECE: zero, OWN_PIECE: zero, ROWS_BEFORE: zero})
+    pieces, _ = size_checked(_pieces(df.join(large, keys, "left_semi"), keys, cell, target_rows, halo))
     joined = _keyed_join(df.withColumn("_cell", cell), pieces, [*keys, "_cell"])
     zero = F.lit(0).cast("long")
     return (

@@ -166,7 +166,7 @@ def _engineered(spark, d, kind):
     out = features.engineer(f, kind)
     names = features.feature_names(kind)
     # Negative zero prints like zero but is another value; adding zero evens it out.
-    return out.select("seq", *[(r6(n) + F.lit(0.0)).alias(n) for n in names])
+    return out.selectExpr("seq", *[f"round({n}, 6) + 0.0D AS {n}" for n in names])
 
 
 @query("W20 W1 W2 W3 W4 W5 W6 W7 P30", _feature_sql("ATTITUDE"))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from skytrace.operators import metrics, splits
 from skytrace.plans.registry import query, r6, rounded
-from skytrace.plans.views import flight, predictions, runs
+from skytrace.plans.views import flight, predictions, runs, stored_predictions
 
 T = 0.5
 _CM = f"""
@@ -63,7 +63,7 @@ SELECT r.run_id, r.run_label, r.drones, r.drones - COALESCE(scored, 0) AS skippe
 FROM runs r LEFT JOIN m ON m.run_id = r.run_id LEFT JOIN h ON h.run_id = r.run_id""", runs=True, pred=True)
 def run_metrics(spark, d):
     f = flight(spark, d)
-    out = metrics.run_metrics(predictions(f), runs(f).select("run_id", "run_label", "drones"), T)
+    out = metrics.run_metrics(stored_predictions(f), runs(f).select("run_id", "run_label", "drones"), T)
     return rounded(out, "precision", "recall", "f1", "flight_hours", "predicted_positive_rate", "false_positive_rate", *_PROBS)
 
 
@@ -76,7 +76,7 @@ FROM (SELECT COUNT(*) AS windows, {_CM}, {_PROB} FROM pred WHERE run_label = 'be
   (SELECT SUM(CASE WHEN s > 0 THEN s ELSE 0 END) / 3600000.0 AS hours FROM spans WHERE run_label = 'benign') h""", runs=True, pred=True)
 def benign_rates(spark, d):
     f = flight(spark, d)
-    out = metrics.benign_rates(predictions(f), T, runs(f).select("run_id", "drones"))
+    out = metrics.benign_rates(stored_predictions(f), T, runs(f).select("run_id", "drones"))
     return rounded(out, "flight_hours", "fpr", "fp_per_10k_windows", "fp_per_drone", "fp_per_flight_hour", *_PROBS)
 
 
@@ -84,7 +84,7 @@ def benign_rates(spark, d):
 SELECT attack_type, {T}::DOUBLE AS threshold, n_runs, windows, tp, fp, fn, tn, {_PRF}, prob_min, prob_mean, prob_p95, prob_p99, prob_max
 FROM (SELECT attack_type, COUNT(DISTINCT run_id) AS n_runs, COUNT(*) AS windows, {_CM}, {_PROB} FROM pred WHERE run_label = 'attack' GROUP BY attack_type) x""", pred=True)
 def attack_metrics(spark, d):
-    out = metrics.attack_metrics(_pred(spark, d), T, ["attack_type"])
+    out = metrics.attack_metrics(stored_predictions(flight(spark, d)), T, ["attack_type"])
     return rounded(out, "precision", "recall", "f1", *_PROBS)
 
 
@@ -201,7 +201,7 @@ def evaluation_report(spark, d):
     from skytrace.session import scratch_path
     from skytrace.sources import metadata
 
-    p = _pred(spark, d)
+    p = stored_predictions(flight(spark, d))
     path = scratch_path(spark, "evaluation")
     sections = {"per_run": metrics.confusion(p, T, ["run_id"]), "per_type": metrics.attack_metrics(p, T, ["attack_type"])}
     metadata.write_report(sections, path, {"primary_type": "ATTITUDE", "primary_threshold": T})

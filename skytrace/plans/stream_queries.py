@@ -9,7 +9,7 @@ from skytrace.operators.windows import training_rows
 from skytrace.plans.feature_queries import POSES_ORACLE, poses
 from skytrace.plans.registry import query, r6
 from skytrace.plans.report_queries import _WINDOWS_SQL, attack_windows
-from skytrace.plans.views import FLIGHT_SQL, SPARK_MILLIS, STEP, WINDOW, flight, table
+from skytrace.plans.views import EVENTS_SCHEMA, STEP, WINDOW, flight, over_events
 from skytrace.session import scratch_path, use_utc
 from skytrace.streaming import live
 
@@ -17,9 +17,8 @@ from skytrace.streaming import live
 def flight_stream(spark, d) -> DataFrame:
     """The telemetry view over ``events`` as a stream, with an event-time column ``ts``."""
     use_utc(spark)
-    events = spark.readStream.schema(table(spark, d, "events").schema).parquet(f"{d.rstrip('/')}/events*.parquet")
-    text = FLIGHT_SQL.format(millis=SPARK_MILLIS).replace("FROM events", "FROM {events}")
-    return spark.sql(text, events=events).withColumn("ts", F.timestamp_millis("timestamp"))
+    events = spark.readStream.schema(EVENTS_SCHEMA).parquet(f"{d.rstrip('/')}/events*.parquet")
+    return over_events(spark, events).withColumn("ts", F.timestamp_millis("timestamp"))
 
 
 def _appended(sdf: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from skytrace.functions.scalars import format_cells
+from skytrace.functions.scalars import format_cell
 from skytrace.session import use_utc
 
 FLIGHT_SQL = """
@@ -81,27 +81,34 @@ FROM (
 ) r WHERE rn >= 8 AND (rn - 8) % 2 = 0
 """
 
+# Stated, so that opening the table costs no schema job.
+EVENTS_SCHEMA = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
+
 DUCK_MILLIS = "epoch_us(ts) // 1000"
 SPARK_MILLIS = "unix_millis(CAST(ts AS TIMESTAMP))"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    reader = spark.read.schema(EVENTS_SCHEMA) if name == "events" else spark.read
+    return reader.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 def flight(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Typed telemetry rows derived from ``events``."""
     use_utc(spark)
-    return spark.sql(FLIGHT_SQL.format(millis=SPARK_MILLIS).replace("FROM events", "FROM {events}"), events=table(spark, sf_dir, "events"))
+    return over_events(spark, table(spark, sf_dir, "events"))
+
+
+def over_events(spark: SparkSession, events: DataFrame) -> DataFrame:
+    text = FLIGHT_SQL.format(millis=SPARK_MILLIS).replace("FROM events", "FROM {events}")
+    return spark.sql(text, events=events)
 
 
 def bronze(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same rows as a capture holds them: text cells, ``null`` where absent."""
     rows = flight(spark, sf_dir)
-    ids = ["run_id", "drone_id", "run_name", "run_label"]
-    cells = format_cells(rows.drop(*ids)).columns
-    text = {c: F.coalesce(F.col(c).cast("string"), F.lit("null")) for c in cells}
-    return rows.withColumns(text)
+    ids = {"run_id", "drone_id", "run_name", "run_label"}
+    return rows.select(*[F.col(f.name) if f.name in ids else format_cell(f.name, f.dataType).alias(f.name) for f in rows.schema])
 
 
 def runs(df: DataFrame) -> DataFrame:
@@ -124,6 +131,16 @@ def predictions(df: DataFrame) -> DataFrame:
     ).drop("value")
 
 
+def stored_predictions(df: DataFrame) -> DataFrame:
+    """Predictions as a stored table, which is what a detector leaves behind.
+
+    For metrics that pass over them several times.
+    """
+    from skytrace.session import cut_lineage
+
+    return cut_lineage(predictions(df))
+
+
 def oracle(body: str, *, runs_view: bool = False, pred: bool = False, recursive: bool = False) -> str:
     """An oracle query over the view ``flight`` (and ``runs``, ``pred`` when asked)."""
     parts = [f"flight AS ({FLIGHT_SQL.format(millis=DUCK_MILLIS)})"]

@@ -54,3 +54,9 @@ def cut_lineage(df):
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(shared_dir(spark))
     return df.checkpoint(eager=True)
+
+
+def shuffle_partitions(spark: SparkSession, fallback: int = 200) -> int:
+    """The configured number of shuffle partitions, for stages AQE should not coalesce."""
+    configured = spark.conf.get("spark.sql.shuffle.partitions", str(fallback))
+    return int(configured) if configured.isdigit() else fallback
