@@ -24,7 +24,7 @@ def train_metrics(text: Column) -> list[Column]:
 
 def parse_train_logs(spark: SparkSession, path: str) -> DataFrame:
     """One row per log file, tagged by its file name. A log is one training run's console text."""
-    logs = spark.read.option("wholetext", "true").text(path)
+    logs = spark.read.text(path, wholetext=True)
     tag = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)\.log$", 1)
     return logs.select(tag.alias("tag"), *train_metrics(F.col("value")))
 

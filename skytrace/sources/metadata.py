@@ -26,16 +26,15 @@ def read_metadata(spark: SparkSession, root: str, glob: str = "metadata.json") -
     A run without the file appears in neither; join against the discovered runs.
     """
     try:
-        raw = (
-            spark.read.schema(SCHEMA + ", _corrupt string").option("multiLine", "true")
-            .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt")
-            .option("recursiveFileLookup", "true").option("pathGlobFilter", glob).json(root)
+        text = (
+            spark.read.option("recursiveFileLookup", "true")
+            .option("pathGlobFilter", glob).text(root, wholetext=True).select(run_of(F.col("_metadata.file_path")).alias("run_name"), "value")
         )
     except AnalysisException:
-        raw = spark.createDataFrame([], SCHEMA + ", _corrupt string").withColumn("_metadata", F.struct(F.lit("").alias("file_path")))
-    named = raw.withColumn("run_name", run_of(F.col("_metadata.file_path")))
-    good = named.filter(F.col("_corrupt").isNull()).drop("_corrupt")
-    bad = named.filter(F.col("_corrupt").isNotNull()).select("run_name", F.lit("metadata").alias("reason"))
+        text = spark.createDataFrame([], "run_name string, value string")
+    parses = F.try_parse_json("value").isNotNull()
+    good = text.filter(parses).select(F.from_json("value", SCHEMA).alias("m"), "run_name").select("m.*", "run_name")
+    bad = text.filter(~parses).select("run_name", F.lit("metadata").alias("reason"))
     return good, bad
 
 
