@@ -249,26 +249,38 @@ def detection_summary(pred: DataFrame, threshold: float = 0.5) -> DataFrame:
     )
 
 
-def fn_streak(pred: DataFrame, threshold: float = 0.5, by: list[str] | None = None, width_ms: int = HOUR_MS) -> DataFrame:
-    """Longest run of consecutive missed attack windows per group.
+def _buckets(rows: DataFrame, by: list[str], width_ms: int) -> DataFrame:
+    """Per (group, time bucket): windows, hits, and the misses before, between and after hits.
 
-    Streaks are measured within time buckets; what crosses bucket borders is joined from
-    each bucket's leading and trailing streak. No group is ever sorted whole.
+    Windows are sorted only within a bucket, so no group is ever sorted whole.
     """
-    by = [RUN] if by is None else list(by)
-    rows = _attacks(pred, threshold).withColumn("_bucket", time_bucket("window_end_timestamp", width_ms))
+    placed = rows.withColumn("_bucket", time_bucket("window_end_timestamp", width_ms))
     tie = [c for c in (DRONE,) if c not in by]
     within = Window.partitionBy(*by, "_bucket").orderBy(*order_by([*SEQUENCE, *tie]))
     upto = within.rowsBetween(Window.unboundedPreceding, 0)
     islands = (
-        rows.withColumn("_island", F.sum("_hit").over(upto))
-        .groupBy(*by, "_bucket", "_island").agg(F.count_if(F.col("_hit") == 0).alias("_misses"))
+        placed.withColumn("_island", F.sum("_hit").over(upto))
+        .groupBy(*by, "_bucket", "_island").agg(
+            F.count_if(F.col("_hit") == 0).alias("_misses"),
+            F.min("window_end_timestamp").alias("_from"),
+            F.min(F.when(F.col("_hit") == 1, F.col("window_end_timestamp"))).alias("_hit_at"),
+        )
     )
-    buckets = islands.groupBy(*by, "_bucket").agg(
-        F.max("_island").alias("_hits"), F.max("_misses").alias("_best"),
+    return islands.groupBy(*by, "_bucket").agg(
+        F.max("_island").alias("_hits"), F.max("_misses").alias("_best"), F.sum("_misses").alias("_missed"),
         F.coalesce(F.max(F.when(F.col("_island") == 0, F.col("_misses"))), F.lit(0)).alias("_lead"),
         F.max_by("_misses", "_island").alias("_trail"),
+        F.min("_from").alias("_from"), F.min("_hit_at").alias("_hit_at"),
     )
+
+
+def fn_streak(pred: DataFrame, threshold: float = 0.5, by: list[str] | None = None, width_ms: int = HOUR_MS) -> DataFrame:
+    """Longest run of consecutive missed attack windows per group.
+
+    What crosses bucket borders is joined from each bucket's leading and trailing misses.
+    """
+    by = [RUN] if by is None else list(by)
+    buckets = _buckets(_attacks(pred, threshold), by, width_ms)
     earlier = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     breaks = F.coalesce(F.sum((F.col("_hits") > 0).cast("long")).over(earlier), F.lit(0))
     placed = buckets.withColumn("_id", breaks)
@@ -302,24 +314,23 @@ def fn_positions(pred: DataFrame, threshold: float = 0.5, width_ms: int = HOUR_M
     ])).alias("p")).select("p.*")
 
 
-def onset_latency(pred: DataFrame, threshold: float = 0.5) -> DataFrame:
+def onset_latency(pred: DataFrame, threshold: float = 0.5, width_ms: int = HOUR_MS) -> DataFrame:
     """Per drone: windows and seconds from its first attack window to the first detected one.
 
-    The window count is the number of windows that precede the first hit, so an
-    aggregate and a join replace a sort of the drone's windows.
+    The window count is what precedes the first hit: whole buckets before it and the
+    leading misses of its own bucket.
     """
-    rows = _attacks(pred, threshold).withColumn("_at", F.struct(*SEQUENCE))
-    firsts = rows.groupBy(RUN, DRONE).agg(
-        F.min("window_end_timestamp").alias("_onset"), F.min(F.when(F.col("_hit") == 1, F.col("_at"))).alias("_first")
-    )
-    before = (
-        rows.select(RUN, DRONE, "_at").join(firsts, [RUN, DRONE])
-        .groupBy(RUN, DRONE, "_onset", "_first").agg(F.count_if(F.col("_at") < F.col("_first")).alias("_n"))
+    buckets = _buckets(_attacks(pred, threshold), [RUN, DRONE], width_ms)
+    earlier = Window.partitionBy(RUN, DRONE).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    open_ = F.coalesce(F.sum("_hits").over(earlier), F.lit(0)) == 0
+    ahead = F.when(F.col("_hits") > 0, F.col("_lead")).otherwise(F.col("_missed"))
+    found = buckets.withColumn("_ahead", F.when(open_, ahead).otherwise(0)).groupBy(RUN, DRONE).agg(
+        F.sum("_ahead").alias("_n"), F.min("_from").alias("_onset"), F.min("_hit_at").alias("_first")
     )
-    return before.select(
+    return found.select(
         RUN, DRONE,
         F.when(F.col("_first").isNotNull(), F.col("_n")).alias("windows_after_onset"),
-        ((F.col("_first.window_end_timestamp") - F.col("_onset")) / 1000.0).alias("seconds_after_onset"),
+        ((F.col("_first") - F.col("_onset")) / 1000.0).alias("seconds_after_onset"),
     )
 
 

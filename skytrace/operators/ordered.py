@@ -152,21 +152,28 @@ def ranked(
 
 
 def carry_forward(
-    df: DataFrame, keys: list[str], order: list[str], bucket: Column, cols: list[str]
+    df: DataFrame, keys: list[str], order: list[str], bucket: Column, cols: list[str], firsts: dict[str, str] | None = None
 ) -> DataFrame:
     """Replace each column by its last non-null value up to the row, per key.
 
     Within a bucket the rows themselves give it; across buckets one summary row per
-    bucket does.
+    bucket does. ``firsts`` adds columns with the first non-null value of another one in
+    the key up to the end of the row's bucket.
     """
+    firsts = firsts or {}
     df = df.withColumn("_bucket", bucket)
     at = F.struct(*order)
-    lasts = df.groupBy(*keys, "_bucket").agg(
-        *[F.max_by(c, F.when(F.col(c).isNotNull(), at)).alias(c) for c in cols]
+    seen = lambda c: F.when(F.col(c).isNotNull(), at)
+    summary = df.groupBy(*keys, "_bucket").agg(
+        *[F.max_by(c, seen(c)).alias(c) for c in cols], *[F.min_by(c, seen(c)).alias(n) for n, c in firsts.items()]
     )
-    earlier = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    carried = lasts.select(
-        *keys, "_bucket", *[F.last(c, ignorenulls=True).over(earlier).alias(f"_c_{c}") for c in cols]
+    by_bucket = Window.partitionBy(*keys).orderBy("_bucket")
+    earlier = by_bucket.rowsBetween(Window.unboundedPreceding, -1)
+    upto_bucket = by_bucket.rowsBetween(Window.unboundedPreceding, 0)
+    carried = summary.select(
+        *keys, "_bucket",
+        *[F.last(c, ignorenulls=True).over(earlier).alias(f"_c_{c}") for c in cols],
+        *[F.first(n, ignorenulls=True).over(upto_bucket).alias(n) for n in firsts],
     )
     upto = (
         Window.partitionBy(*keys, "_bucket").orderBy(*order_by(order))

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from skytrace import fixed_values as fixed
 from skytrace.functions import scalars as S
 from skytrace.operators.ordered import (
-    HOUR_MS, OWN_PIECE, PIECE, ROWS_BEFORE, TARGET_ROWS, carry_forward, spread, time_bucket,
+    HOUR_MS, OWN_PIECE, PIECE, ROWS_BEFORE, carry_forward, spread, time_bucket,
 )
 from skytrace.session import cut_lineage
 
@@ -69,27 +69,17 @@ def sanitize_gauges(df: DataFrame) -> DataFrame:
     })
 
 
-def _folded(df: DataFrame, key: str, order: list[str], cols: dict[str, Column], width_ms: int) -> DataFrame:
-    ready = S.good_data(df).select(key, *order, "mav_packet_type", *[c.alias(n) for n, c in cols.items()])
-    return carry_forward(ready, [key], order, time_bucket(order[0], width_ms), list(cols))
-
-
 def gauges_asof(df: DataFrame, key: str = "sysid", order: list[str] = ("timestamp", "seq"), width_ms: int = HOUR_MS) -> DataFrame:
     """The gauge record as it stood after each message of a system."""
     order = list(order)
     readings = gauge_readings(df)
+    ready = S.good_data(df).select(key, *order, "mav_packet_type", *[c.alias(n) for n, c in readings.items()])
     # The first yaw ever seen stands in for the heading until a HUD heading arrives.
-    readings["first_yaw"] = readings["yaw_deg"]
-    rest = {n: c for n, c in readings.items() if n != "first_yaw"}
-    folded = _folded(df, key, order, rest, width_ms)
-    firsts = (
-        S.good_data(df).select(key, *order, readings["first_yaw"].alias("_yaw"))
-        .filter(F.col("_yaw").isNotNull())
-        .groupBy(key).agg(F.min_by("_yaw", F.struct(*order)).alias("first_yaw"))
+    folded = carry_forward(
+        ready, [key], order, time_bucket(order[0], width_ms), list(readings), {"first_yaw": "yaw_deg"}
     )
-    joined = folded.join(firsts, key, "left")
     heading = F.coalesce("hud_heading", F.when(F.col("yaw_deg").isNotNull(), F.col("first_yaw")))
-    full = joined.withColumns({"heading_deg": heading, "gps_fix_name": S.fix_name("gps_fix_type")})
+    full = folded.withColumns({"heading_deg": heading, "gps_fix_name": S.fix_name("gps_fix_type")})
     return sanitize_gauges(full.select(key, *order, "mav_packet_type", *GAUGES))
 
 
@@ -156,6 +146,7 @@ def log_entries(df: DataFrame) -> DataFrame:
 
 
 # --- pose change filter ---------------------------------------------------
+PIECE_POSES = 500_000  # rows of one piece meet in one Python task
 POSE = ["time", "x", "y", "z", "qw", "qx", "qy", "qz"]
 
 
@@ -202,7 +193,7 @@ def dead_band(
     distance2: float = fixed.POSE_MIN_DISTANCE_SQUARED,
     rotation2: float = fixed.POSE_MIN_ROTATION_SQUARED,
     order: list[str] = ("seq",),
-    target_rows: int = TARGET_ROWS,
+    target_rows: int = PIECE_POSES,
 ) -> DataFrame:
     """Poses that differ enough from the last emitted pose of their entity.
 

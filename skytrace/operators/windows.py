@@ -8,7 +8,7 @@ from skytrace import fixed_values as fixed
 from skytrace.functions.scalars import is_labelled
 from skytrace.operators.features import KEYS, MINUTE_MS, ORDER
 from skytrace.operators.ordered import (
-    TARGET_ROWS, own_rows, piece_window, ranked, row_number_in_key, spread, time_bucket,
+    TARGET_ROWS, own_rows, piece_window, row_number_in_key, spread, time_bucket,
 )
 
 
@@ -124,22 +124,39 @@ def undersample(
 ) -> DataFrame:
     """Equal class sizes by dropping majority windows at random, without replacement.
 
-    The draw is the order of a seeded hash of the window's identity. A class is never
-    sorted in one task: rows are counted per hash prefix and ranked within it.
-    Nothing is dropped when a class is absent.
+    The draw is the order of a seeded hash of the window's identity. Windows are counted
+    per hash prefix; whole prefixes below the cut are kept where they are, and only the
+    windows of the one prefix that holds the cut are ranked. So neither a class nor the
+    table is shuffled. Nothing is dropped when a class is absent.
     """
     id_cols = id_cols or [*KEYS, "window_index"]
-    drawn = windows.withColumn("_draw", _draw(seed, id_cols))
-    sized = ranked(drawn, [label], ["_draw", *id_cols], F.substring("_draw", 1, 3), "_rank", "_size")
-    # One row per class at most two; the smallest class size decides.
-    sizes = windows.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
-    quota = sizes.agg(F.when(F.count(F.lit(1)) > 1, F.min("n")).alias("_quota"))
-    kept = sized.crossJoin(F.broadcast(quota)).filter(
-        F.col("_quota").isNull() | (F.col("_rank") <= F.col("_quota"))
+    drawn = windows.withColumn("_draw", _draw(seed, id_cols)).withColumn("_prefix", F.substring("_draw", 1, 4))
+    counts = drawn.groupBy(label, "_prefix").agg(F.count(F.lit(1)).alias("_n"))
+    # At most 65536 prefixes per class from here to the cuts, whatever the table size.
+    sizes = counts.groupBy(label).agg(F.sum("_n").alias("_size"))
+    quota = sizes.agg(F.when(F.count(F.lit(1)) > 1, F.min("_size")).alias("_quota"))
+    earlier = Window.partitionBy(label).orderBy("_prefix").rowsBetween(Window.unboundedPreceding, -1)
+    before = counts.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
+    cuts = (
+        before.crossJoin(F.broadcast(quota))  # one row
+        .filter((F.col("_before") < F.col("_quota")) & (F.col("_before") + F.col("_n") > F.col("_quota")))
+        .select(label, F.col("_prefix").alias("_cut"), (F.col("_quota") - F.col("_before")).alias("_rest"))
     )
+    full = before.crossJoin(F.broadcast(quota)).groupBy(label).agg(
+        F.max(F.when(F.col("_quota").isNull() | (F.col("_before") + F.col("_n") <= F.col("_quota")), F.col("_prefix"))).alias("_last")
+    )
+    limits = F.broadcast(full.join(cuts, label, "left"))  # one row per class
+    placed = drawn.join(limits, label)
+    whole = placed.filter(F.col("_prefix") <= F.col("_last"))
+    within = Window.partitionBy(label, "_prefix").orderBy("_draw", *id_cols)
+    edge = (
+        placed.filter(F.col("_prefix") == F.col("_cut"))
+        .withColumn("_rank", F.row_number().over(within)).filter("_rank <= _rest").drop("_rank")
+    )
+    kept = whole.unionByName(edge)
     if shuffle:
         kept = kept.orderBy(_draw(seed + 1, id_cols))
-    return kept.drop("_draw", "_rank", "_size", "_quota")
+    return kept.drop("_draw", "_prefix", "_last", "_cut", "_rest")
 
 
 def class_distribution(windows: DataFrame, split: str = "split", label: str = "y_true") -> DataFrame:

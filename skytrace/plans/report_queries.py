@@ -124,7 +124,7 @@ def vehicle_identity(spark, d):
 
 
 # Attack windows derived from the flight itself: per run two overlapping windows, the
-# earlier in list order wins, targets are the run's drones with an even number.
+# earlier in list order wins, targets are all drones of attack runs.
 _WINDOWS_SQL = """
 wins AS (
   SELECT run_id, i AS window_idx, t0 + (i * 5 + 3) * 86400.0 AS start_epoch, t0 + (i * 5 + 11) * 86400.0 AS end_epoch,
@@ -134,9 +134,9 @@ wins AS (
 
 
 def attack_windows(f):
-    """Two overlapping windows per run, one row per target: the even half of its drones."""
+    """Two overlapping windows per run, one row per target: the drones of attack runs."""
     starts = f.groupBy("run_id").agg(F.floor(F.min("frame_timestamp")).alias("t0"))
-    targets = f.select("run_id", "drone_id").distinct().filter(F.floor(F.col("drone_id") / 10) % 2 == 0)
+    targets = f.filter("run_label = 'attack'").select("run_id", "drone_id").distinct()
     base = targets.join(starts, "run_id")
     return base.withColumn("window_idx", F.explode(F.array(F.lit(0), F.lit(1)))).select(
         "run_id", "drone_id", "window_idx",
@@ -147,7 +147,7 @@ def attack_windows(f):
 
 @query("J1", "WITH " + _WINDOWS_SQL.strip() + """
 SELECT f.seq, (ARRAY_AGG(w.label ORDER BY w.window_idx) FILTER (WHERE w.label IS NOT NULL))[1] AS attack_type
-FROM flight f LEFT JOIN wins w ON w.run_id = f.run_id AND (f.drone_id // 10) % 2 = 0
+FROM flight f LEFT JOIN wins w ON w.run_id = f.run_id AND f.run_label = 'attack'
   AND f.frame_timestamp >= w.start_epoch AND f.frame_timestamp <= w.end_epoch
 GROUP BY f.seq""")
 def label_rows(spark, d):
@@ -173,15 +173,13 @@ def runs_without_metadata(spark, d):
 
 
 @query("J3", """
-SELECT run_name, attack FROM runs WHERE run_name NOT IN (
-  SELECT run_name FROM (SELECT run_name, ROW_NUMBER() OVER (ORDER BY run_name) AS i FROM runs) x WHERE i <= 3)""", runs=True)
+SELECT run_name, attack FROM runs WHERE run_name NOT IN (SELECT run_name FROM runs WHERE attack = 'gps_spoof')""", runs=True)
 def unseen_runs(spark, d):
     f = flight(spark, d)
     dim = runs(f)
     path = F.concat(F.lit("/data/all/"), "run_name")
-    # A manifest names runs, three here: the first of the sorted names.
-    first = dim.orderBy("run_name").limit(3)
-    manifest = first.agg(F.collect_list(path).alias("train_runs")).select(
+    # The manifest of a detector trained on one attack kind.
+    manifest = dim.filter("attack = 'gps_spoof'").agg(F.collect_list(path).alias("train_runs")).select(
         "train_runs", F.array().cast("array<string>").alias("val_runs"), F.lit(None).cast("array<string>").alias("test_runs"))
     return labeling.exclude_seen(dim, manifest).select("run_name", "attack")
 
@@ -194,11 +192,11 @@ def whitelisted_runs(spark, d):
 
 @query("J8", """
 SELECT f.seq, f.k AS msgid, m.name FROM flight f
-LEFT JOIN (SELECT DISTINCT k AS msgid, CONCAT('MSG_', CAST(k AS VARCHAR)) AS name FROM flight WHERE k % 3 = 0) m ON m.msgid = f.k""")
+LEFT JOIN (SELECT DISTINCT k AS msgid, CONCAT('MSG_', CAST(k AS VARCHAR)) AS name FROM flight WHERE k < 40) m ON m.msgid = f.k""")
 def message_dictionary(spark, d):
     f = flight(spark, d)
-    # The dictionary knows a third of the ids, so that unknown ids occur.
-    known = f.filter("k % 3 = 0").select(F.col("k").alias("msgid"), F.format_string("MSG_%d", "k").alias("name")).distinct()
+    # The dictionary lacks the upper ids, so that unknown ids occur.
+    known = f.filter("k < 40").select(F.col("k").alias("msgid"), F.format_string("MSG_%d", "k").alias("name")).distinct()
     return labeling.attach_dictionary(f.select("seq", F.col("k").alias("msgid")), known).select("seq", "msgid", "name")
 
 

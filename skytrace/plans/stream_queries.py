@@ -17,7 +17,7 @@ from skytrace.streaming import live
 def flight_stream(spark, d) -> DataFrame:
     """The telemetry view over ``events`` as a stream, with an event-time column ``ts``."""
     use_utc(spark)
-    events = spark.readStream.schema(EVENTS_SCHEMA).parquet(f"{d.rstrip('/')}/events*.parquet")
+    events = spark.readStream.schema(EVENTS_SCHEMA).option("maxBytesPerTrigger", str(1 << 30)).parquet(f"{d.rstrip('/')}/events*.parquet")
     return over_events(spark, events).withColumn("ts", F.timestamp_millis("timestamp"))
 
 
@@ -49,7 +49,7 @@ def _updated(sdf: DataFrame, keys: list[str]) -> DataFrame:
 
 @query("ST1 S23", "WITH " + _WINDOWS_SQL.strip() + """
 SELECT f.drone_id, f.seq, COALESCE((ARRAY_AGG(w.label ORDER BY w.window_idx) FILTER (WHERE w.label IS NOT NULL))[1], 'null') AS attack_type, f.timestamp
-FROM flight f LEFT JOIN wins w ON w.run_id = f.run_id AND (f.drone_id // 10) % 2 = 0
+FROM flight f LEFT JOIN wins w ON w.run_id = f.run_id AND f.run_label = 'attack'
   AND f.frame_timestamp >= w.start_epoch AND f.frame_timestamp <= w.end_epoch
 GROUP BY f.drone_id, f.seq, f.timestamp""")
 def stream_labelled_capture(spark, d):

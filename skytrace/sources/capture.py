@@ -191,8 +191,8 @@ def discover_legacy(spark: SparkSession, root: str, cls: str, names: list[str] |
 
 
 # --- legacy import --------------------------------------------------------
-def read_legacy_run(spark: SparkSession, root: str) -> DataFrame:
-    """One run of per-type files as one frame: each type read on its own, united by name.
+def read_legacy(spark: SparkSession, root: str) -> DataFrame:
+    """All per-type files below ``root`` as one frame: each type read on its own, united by name.
 
     Message types number in the hundreds whatever the data size, so listing them on the
     driver is safe. Columns a type lacks are NULL.
@@ -204,21 +204,30 @@ def read_legacy_run(spark: SparkSession, root: str) -> DataFrame:
     return with_drone_id(united, "legacy").withColumnRenamed(PATH, "filename")
 
 
+def read_legacy_run(spark: SparkSession, run_dir: str) -> DataFrame:
+    return read_legacy(spark, run_dir)
+
+
+def expected_label(run_name: Column | str = "run_name") -> Column:
+    """The constant label of an imported run, from its name; benign is the null text."""
+    attack = F.regexp_extract(run_name, r"^run_legacy-[^_]+_(.*)_legacy$", 1)
+    return F.when(attack == "none", fixed.NULL_TEXT).otherwise(attack)
+
+
 def import_legacy(spark: SparkSession, root: str, cls: str, out: str, names: list[str] | None = None, force: bool = False) -> DataFrame:
-    """Import every legacy run of a class into the flight table and verify it.
+    """Import all legacy runs of a class into the flight table in one job and verify them.
 
     Returns the verification, one row per run with any violated rules listed.
     """
-    checks: list[DataFrame] = []
-    # One row per run folder.
-    for r in discover_legacy(spark, root, cls, names).orderBy("run_name").collect():
-        base = root.rstrip("/") + "/" + (f"{r['attack_kind']}/" if r["attack_kind"] else "") + r["source"]
-        label = fixed.NULL_TEXT if cls == "benign" else r["run_name"].split("_", 2)[2].removesuffix("_legacy")
-        source = read_legacy_run(spark, base).withColumn("run_name", F.lit(r["run_name"]))
-        to_flight(with_constant_label(source, label), out, force)
-        written = read_flight(spark, out).filter(F.col("run_name") == r["run_name"])
-        checks.append(verify_import(source, written, F.lit(label)))
-    return reduce(DataFrame.unionByName, checks)
+    rows = read_legacy(spark, root)
+    folder = lambda up: F.element_at(F.split("filename", "/"), F.lit(-up))
+    source, kind = folder(3), F.lit(None).cast("string") if cls == "benign" else folder(4)
+    named = rows.withColumn("run_name", S.dst_run_name(F.lit(cls), kind, source))
+    wanted = discover_legacy(spark, root, cls, names).select("run_name").distinct()
+    todo = named.join(wanted, "run_name", "left_semi").withColumn("attack_type", expected_label())
+    to_flight(todo, out, force)
+    written = read_flight(spark, out).join(wanted, "run_name", "left_semi")
+    return verify_import(todo, written, expected_label())
 
 
 def import_invariants(df: DataFrame, expected: Column) -> DataFrame:

@@ -45,6 +45,18 @@ def test_streaks(pred, pdf, by, width):
     assert got == want
 
 
+@pytest.mark.parametrize("width", [1000, 100_000, 10**9])
+def test_onset_latency(pred, pdf, width):
+    got = {(r["run_id"], r["drone_id"]): (r["windows_after_onset"], r["seconds_after_onset"]) for r in metrics.onset_latency(pred, 0.5, width).collect()}
+    want = {}
+    for key, g in pdf[pdf.y_true == 1].groupby(["run_id", "drone_id"]):
+        g = g.sort_values(["window_end_timestamp", "window_index"])
+        at = next((i for i, p in enumerate(g.y_prob) if p >= 0.5), None)
+        ends = g.window_end_timestamp.to_list()
+        want[key] = (None, None) if at is None else (at, (ends[at] - ends[0]) / 1000.0)
+    assert got == want
+
+
 @pytest.mark.parametrize("width", [1000, 10**9])
 def test_positions(pred, pdf, width):
     got = {r["position"]: r["misses"] for r in metrics.fn_positions(pred, 0.5, width).collect()}
