@@ -11,8 +11,8 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
-from numpy.lib.stride_tricks import sliding_window_view
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
@@ -26,7 +26,7 @@ ORDER = ["timestamp", "seq"]
 MINUTE_MS = 60_000
 # Rows a value can depend on: a 50-row mean of products of 50-row means of a lag.
 HALO = 2 * max(fixed.LONG_WINDOWS)
-_BLOCK = 2048
+_BLOCK = 1024
 
 
 def feature_names(message_type: str) -> list[str]:
@@ -47,36 +47,51 @@ def feature_names(message_type: str) -> list[str]:
 
 
 class _Stats:
-    """Mean, central sums and range of the last ``w`` rows, all columns at once."""
+    """Mean, central sums and range of the last ``w`` rows, all columns at once.
+
+    Works offset by offset on blocks that stay in the CPU cache. Everything is taken
+    relative to the current row, then to the mean, so nothing cancels.
+    """
 
     def __init__(self, x: np.ndarray, count: np.ndarray, w: int, high: bool):
         rows, cols = x.shape
         self.n = np.maximum(count, 1).astype(float)[:, None]
-        self.mean, self.m2, self.lo, self.hi = (np.empty((rows, cols)) for _ in range(4))
-        self.m3, self.m4 = (np.empty((rows, cols)) for _ in range(2)) if high else (None, None)
+        shape = (rows, cols)
+        self.mean, self.m2, self.lo, self.hi = (np.zeros(shape) for _ in range(4))
+        self.m3, self.m4 = (np.zeros(shape), np.zeros(shape)) if high else (None, None)
         padded = np.concatenate([np.zeros((w - 1, cols)), x])
-        view = sliding_window_view(padded, w, axis=0)
-        slot = np.arange(w)
         for a in range(0, rows, _BLOCK):
             b = min(a + _BLOCK, rows)
-            block, n = view[a:b], self.n[a:b]
-            inside = (slot >= w - count[a:b, None])[:, None, :]
-            full = bool((count[a:b] == w).all())
-            values = block if full else np.where(inside, block, 0.0)
-            mean = values.sum(-1) / n
-            self.lo[a:b] = block.min(-1) if full else np.where(inside, block, np.inf).min(-1)
-            self.hi[a:b] = block.max(-1) if full else np.where(inside, block, -np.inf).max(-1)
-            off = block - mean[..., None]
-            if not full:
-                off *= inside
-            square = off * off
-            self.mean[a:b], self.m2[a:b] = mean, square.sum(-1)
-            if high:
-                self.m3[a:b] = np.einsum("rcw,rcw->rc", square, off)
-                self.m4[a:b] = np.einsum("rcw,rcw->rc", square, square)
-        flat = self.lo == self.hi
-        self.flat = flat
-        self.mean[flat], self.m2[flat] = self.lo[flat], 0.0
+            # Offsets that reach before some row's series need a mask; the others do not.
+            least = int(count[a:b].min(initial=w))
+            inside = lambda j: (count[a:b] > j).astype(float)[:, None]
+            back = lambda j: padded[a + w - 1 - j: b + w - 1 - j]
+            here, lo, hi = x[a:b], self.lo[a:b], self.hi[a:b]
+            total, off, power = (np.zeros((b - a, cols)) for _ in range(3))
+            for j in range(1, w):
+                np.subtract(back(j), here, out=off)
+                if j >= least:
+                    np.multiply(off, inside(j), out=off)
+                total += off
+                np.minimum(lo, off, out=lo)
+                np.maximum(hi, off, out=hi)
+            mean = self.mean[a:b]
+            np.add(here, total / self.n[a:b], out=mean)
+            lo += here
+            hi += here
+            for j in range(w):
+                np.subtract(back(j), mean, out=off)
+                if j >= least:
+                    np.multiply(off, inside(j), out=off)
+                np.multiply(off, off, out=power)
+                self.m2[a:b] += power
+                if high:
+                    off *= power
+                    self.m3[a:b] += off
+                    power *= power
+                    self.m4[a:b] += power
+        self.flat = self.lo == self.hi
+        self.mean[self.flat], self.m2[self.flat] = x[self.flat], 0.0
 
     def std(self, least: int = 1) -> np.ndarray:
         with np.errstate(divide="ignore", invalid="ignore"):
@@ -165,32 +180,47 @@ def _compute(message_type: str, x: np.ndarray, pos: np.ndarray) -> dict[str, np.
     return out
 
 
+def _changes(batch: pa.RecordBatch, group: list[str], last: list | None) -> np.ndarray:
+    """True where a row belongs to another series than the row before it."""
+    first = np.ones(batch.num_rows, dtype=bool)
+    first[1:] = False
+    for c in group:
+        col = batch.column(c)
+        first[1:] |= pc.not_equal(col.slice(1), col.slice(0, len(col) - 1)).to_numpy(zero_copy_only=False)
+    if last is not None:
+        first[0] = [batch.column(c)[0].as_py() for c in group] != last
+    return first
+
+
 def _kernel(message_type: str, keys: list[str], keep: list[str], names: list[str]) -> Callable:
     core = fixed.CORE_FEATURES[message_type]
     group = [*keys, PIECE]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tail: pd.DataFrame | None = None
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tail_x, tail_pos, last = np.empty((0, len(core))), np.empty(0, dtype=np.int64), None
         for batch in batches:
-            if batch.empty:
+            n = batch.num_rows
+            if n == 0:
                 continue
-            known = 0 if tail is None else len(tail)
-            rows = batch if tail is None else pd.concat([tail.drop(columns="_pos"), batch], ignore_index=True)
-            ids = rows[group].to_numpy()
-            first = np.empty(len(rows), dtype=bool)
-            first[0], first[1:] = True, (ids[1:] != ids[:-1]).any(axis=1)
-            at = np.arange(len(rows))
-            start = np.maximum.accumulate(np.where(first, at, 0))
-            # Rows before the first change continue a series that began earlier.
-            offset = 0 if tail is None else int(tail["_pos"].iloc[0])
-            pos = np.where(start == 0, at + offset, at - start)
-            x = np.nan_to_num(rows[core].to_numpy(dtype=float), nan=0.0)
+            first, at = _changes(batch, group, last), np.arange(n)
+            start = np.maximum.accumulate(np.where(first, at, -1))
+            # Rows before the first change continue the series of the previous batch.
+            going = tail_pos[-1] + 1 if len(tail_pos) else 0
+            pos = np.where(start >= 0, at - start, at + going)
+            new = np.column_stack([batch.column(c).to_numpy(zero_copy_only=False) for c in core]).astype(float)
+            x = np.concatenate([tail_x, np.nan_to_num(new, nan=0.0)])
+            pos = np.concatenate([tail_pos, pos])
             values = _compute(message_type, x, pos)
-            mine = (rows[PIECE].to_numpy() == rows[OWN_PIECE].to_numpy()) & (at >= known)
-            result = {c: rows[c].to_numpy()[mine] for c in keep}
-            result |= {c: values[c][mine] for c in names}
-            yield pd.DataFrame(result)
-            tail = rows.iloc[-HALO:].assign(_pos=pos[-HALO:])
+            known = len(tail_pos)
+            mine = pc.equal(batch.column(PIECE), batch.column(OWN_PIECE))
+            all_mine = mine.true_count == n
+            columns = [batch.column(c) for c in keep]
+            columns += [pa.array(np.ascontiguousarray(values[c][known:])) for c in names]
+            if not all_mine:
+                columns = [c.filter(mine) for c in columns]
+            yield pa.RecordBatch.from_arrays(columns, [*keep, *names])
+            tail_x, tail_pos = x[-HALO:], pos[-HALO:]
+            last = [batch.column(c)[n - 1].as_py() for c in group]
 
     return run
 
@@ -224,5 +254,5 @@ def engineer(
     return (
         pieces.repartition(shuffle_partitions(df.sparkSession), *keys, PIECE)
         .sortWithinPartitions(*keys, PIECE, *[F.col(c).asc_nulls_last() for c in order])
-        .mapInPandas(_kernel(message_type, list(keys), carried, names), schema)
+        .mapInArrow(_kernel(message_type, list(keys), carried, names), schema)
     )

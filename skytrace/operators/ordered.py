@@ -14,11 +14,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from skytrace.session import cut_lineage
+
 TARGET_ROWS = 2_000_000
 # Above this many rows a lookup is not broadcast but joined by shuffle.
 BROADCAST_ROWS = 100_000
 HOUR_MS = 3_600_000
-SCORE_SPLITS = 128
 
 PIECE, OWN_PIECE, ROWS_BEFORE = "_piece", "_own_piece", "_rows_before"
 
@@ -190,16 +191,13 @@ def running_totals(
 ) -> DataFrame:
     """Prefix sums of ``sums`` along ``score`` within ``keys``, the row itself included.
 
-    ``counts`` must hold one row per (keys, score). Scores are cut at 128 quantiles of
-    a mergeable sketch, so no task sorts a whole group; the sketch only balances the
-    pieces and never touches the result. ``total_<col>`` columns give the group sums.
+    ``counts`` must hold one row per (keys, score). It is range partitioned by both, so
+    no task holds a whole group, and written out with the partition number: three small
+    reads follow, and the number must not change between them. ``total_<col>`` columns
+    give the group sums.
     """
-    at = [float(i) / SCORE_SPLITS for i in range(1, SCORE_SPLITS)]
-    splits = counts.agg(F.percentile_approx(score, at, 10_000).alias("_splits"))
-    # One row, 127 doubles: the size of this broadcast does not depend on the data.
-    cut = counts.crossJoin(F.broadcast(splits)).withColumn(
-        "_part", F.size(F.filter("_splits", lambda s: s < F.col(score)))
-    ).drop("_splits")
+    by_range = counts.repartitionByRange(*keys, score).withColumn("_part", F.spark_partition_id())
+    cut = cut_lineage(by_range)
     per_part = cut.groupBy(*keys, "_part").agg(*[F.sum(c).alias(c) for c in sums])
     part_order = F.col("_part").desc() if descending else F.col("_part").asc()
     by_key = Window.partitionBy(*keys)

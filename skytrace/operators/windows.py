@@ -10,6 +10,7 @@ from skytrace.operators.features import KEYS, MINUTE_MS, ORDER
 from skytrace.operators.ordered import (
     TARGET_ROWS, own_rows, piece_window, row_number_in_key, spread, time_bucket,
 )
+from skytrace.session import cut_lineage
 
 
 def training_rows(df: DataFrame, attack_rows: str = "labelled") -> DataFrame:
@@ -131,8 +132,9 @@ def undersample(
     """
     id_cols = id_cols or [*KEYS, "window_index"]
     drawn = windows.withColumn("_draw", _draw(seed, id_cols)).withColumn("_prefix", F.substring("_draw", 1, 4))
-    counts = drawn.groupBy(label, "_prefix").agg(F.count(F.lit(1)).alias("_n"))
     # At most 65536 prefixes per class from here to the cuts, whatever the table size.
+    # Written out, because the cuts read them several times.
+    counts = cut_lineage(drawn.groupBy(label, "_prefix").agg(F.count(F.lit(1)).alias("_n")))
     sizes = counts.groupBy(label).agg(F.sum("_n").alias("_size"))
     quota = sizes.agg(F.when(F.count(F.lit(1)) > 1, F.min("_size")).alias("_quota"))
     earlier = Window.partitionBy(label).orderBy("_prefix").rowsBetween(Window.unboundedPreceding, -1)

@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from skytrace.functions.scalars import format_cell
 from skytrace.session import use_utc
 
 FLIGHT_SQL = """
@@ -108,7 +107,8 @@ def bronze(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same rows as a capture holds them: text cells, ``null`` where absent."""
     rows = flight(spark, sf_dir)
     ids = {"run_id", "drone_id", "run_name", "run_label"}
-    return rows.select(*[F.col(f.name) if f.name in ids else format_cell(f.name, f.dataType).alias(f.name) for f in rows.schema])
+    text = "coalesce(translate(cast(`{0}` AS string), ',\\n', '; '), 'null') AS `{0}`"
+    return rows.selectExpr(*[f"`{c}`" if c in ids else text.format(c) for c in rows.columns])
 
 
 def runs(df: DataFrame) -> DataFrame:
