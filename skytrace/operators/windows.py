@@ -8,7 +8,7 @@ from skytrace import fixed_values as fixed
 from skytrace.functions.scalars import is_labelled
 from skytrace.operators.features import KEYS, MINUTE_MS, ORDER
 from skytrace.operators.ordered import (
-    TARGET_ROWS, own_rows, piece_window, row_number_in_key, spread, time_bucket,
+    TARGET_ROWS, own_rows, piece_window, row_number_in_key, size_checked, spread, time_bucket,
 )
 from skytrace.session import cut_lineage
 
@@ -132,22 +132,21 @@ def undersample(
     """
     id_cols = id_cols or [*KEYS, "window_index"]
     drawn = windows.withColumn("_draw", _draw(seed, id_cols)).withColumn("_prefix", F.substring("_draw", 1, 4))
-    # At most 65536 prefixes per class from here to the cuts, whatever the table size.
-    # Written out, because the cuts read them several times.
+    # At most 65536 prefixes per class, whatever the table size.
     counts = cut_lineage(drawn.groupBy(label, "_prefix").agg(F.count(F.lit(1)).alias("_n")))
     sizes = counts.groupBy(label).agg(F.sum("_n").alias("_size"))
     quota = sizes.agg(F.when(F.count(F.lit(1)) > 1, F.min("_size")).alias("_quota"))
-    earlier = Window.partitionBy(label).orderBy("_prefix").rowsBetween(Window.unboundedPreceding, -1)
-    before = counts.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
-    cuts = (
-        before.crossJoin(F.broadcast(quota))  # one row
-        .filter((F.col("_before") < F.col("_quota")) & (F.col("_before") + F.col("_n") > F.col("_quota")))
-        .select(label, F.col("_prefix").alias("_cut"), (F.col("_quota") - F.col("_before")).alias("_rest"))
+    upto = Window.partitionBy(label).orderBy("_prefix").rowsBetween(Window.unboundedPreceding, 0)
+    after, n, cap = F.col("_after"), F.col("_n"), F.col("_quota")
+    here = (after - n < cap) & (after > cap)
+    limits, _ = size_checked(
+        counts.withColumn("_after", F.sum("_n").over(upto)).crossJoin(F.broadcast(quota))  # one row
+        .groupBy(label).agg(
+            F.max(F.when(cap.isNull() | (after <= cap), F.col("_prefix"))).alias("_last"),
+            F.max(F.when(here, F.col("_prefix"))).alias("_cut"),
+            F.max(F.when(here, cap - after + n)).alias("_rest"),
+        )
     )
-    full = before.crossJoin(F.broadcast(quota)).groupBy(label).agg(
-        F.max(F.when(F.col("_quota").isNull() | (F.col("_before") + F.col("_n") <= F.col("_quota")), F.col("_prefix"))).alias("_last")
-    )
-    limits = F.broadcast(full.join(cuts, label, "left"))  # one row per class
     placed = drawn.join(limits, label)
     whole = placed.filter(F.col("_prefix") <= F.col("_last"))
     within = Window.partitionBy(label, "_prefix").orderBy("_draw", *id_cols)

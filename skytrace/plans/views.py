@@ -25,8 +25,8 @@ SELECT seq, drone_id, run_id, run_label, run_attack,
   CASE WHEN att THEN CAST(k AS DOUBLE) END AS pitch,
   CASE WHEN att THEN CAST(seq % 97 AS DOUBLE) END AS yaw,
   CASE WHEN att THEN CAST(k - 50 AS DOUBLE) END AS rollspeed,
-  CASE WHEN att THEN CAST(seq % 13 AS DOUBLE) END AS pitchspeed,
-  CASE WHEN att THEN CAST(k % 4 AS DOUBLE) END AS yawspeed,
+  CASE WHEN att THEN SQRT(CAST(seq % 13 AS DOUBLE)) END AS pitchspeed,
+  CASE WHEN att THEN SQRT(CAST(k AS DOUBLE)) END AS yawspeed,
   CASE WHEN hud THEN value END AS airspeed,
   CASE WHEN hud THEN CAST(k AS DOUBLE) END AS groundspeed,
   CASE WHEN hud THEN CAST(seq % 360 AS DOUBLE) END AS heading,
@@ -39,7 +39,7 @@ SELECT seq, drone_id, run_id, run_label, run_attack,
   CASE WHEN gps THEN CAST(seq % 359 AS DOUBLE) END AS cog,
   CASE WHEN gps THEN value END AS vel,
   CASE WHEN gps THEN CAST(k AS DOUBLE) END AS eph,
-  CASE WHEN gps THEN CAST(k % 9 AS DOUBLE) END AS epv,
+  CASE WHEN gps THEN SQRT(CAST(k AS DOUBLE)) END AS epv,
   CASE WHEN gps THEN CAST(seq % 20 AS DOUBLE) END AS satellites_visible,
   CASE WHEN gps THEN k % 6 END AS fix_type,
   CASE WHEN mav_packet_type = 'HEARTBEAT' THEN CASE WHEN drone_id % 5 = 0 THEN 6 WHEN drone_id % 5 = 1 THEN 13 ELSE 2 END END AS type,
