@@ -142,8 +142,7 @@ def benign_rates(pred: DataFrame, threshold: float = 0.5, drones: DataFrame | No
         *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("tp", "fp", "fn", "tn")],
     )
     if drones is not None:
-        used = drones.join(rows.select(RUN).distinct(), RUN, "left_semi")
-        cm = cm.drop("drones").crossJoin(F.broadcast(used.agg(F.coalesce(F.sum("drones"), F.lit(0)).alias("drones"))))
+        cm = cm.drop("drones").crossJoin(F.broadcast(_files_of(rows, drones)))
     joined = _joined([cm, flight_hours(rows), prob_summary(rows)], [])
     return joined.withColumn("threshold", F.lit(float(threshold))).withColumns(_alarm_rates()).filter("windows > 0")
 
@@ -193,12 +192,19 @@ def threshold_sweep(pred: DataFrame, thresholds: list[float], by: list[str] = ()
     return prf(rows.withColumn("windows", F.col("tp") + F.col("fp") + F.col("fn") + F.col("tn")))
 
 
-def benign_sweep(pred: DataFrame, thresholds: list[float]) -> DataFrame:
-    """False-alarm rates of benign runs at every threshold."""
+def benign_sweep(pred: DataFrame, thresholds: list[float], drones: DataFrame | None = None) -> DataFrame:
+    """False-alarm rates of benign runs at every threshold; ``drones`` as in ``benign_rates``."""
     rows = pred.filter(F.col("run_label") == "benign")
-    drones = rows.select(RUN, DRONE).distinct().agg(F.count(F.lit(1)).alias("drones"))
     table = threshold_sweep(rows, thresholds).drop("precision", "recall", "f1")
-    return _joined([table, drones, flight_hours(rows)], []).withColumns(_alarm_rates())
+    scored = rows.select(RUN, DRONE).distinct().agg(F.count(F.lit(1)).alias("drones"))
+    counted = scored if drones is None else _files_of(rows, drones)
+    return _joined([table, counted, flight_hours(rows)], []).withColumns(_alarm_rates())
+
+
+def _files_of(rows: DataFrame, drones: DataFrame) -> DataFrame:
+    """Drone files of the runs that have windows, as one row."""
+    used = drones.join(rows.select(RUN).distinct(), RUN, "left_semi")
+    return used.agg(F.coalesce(F.sum("drones"), F.lit(0)).alias("drones"))
 
 
 def breakdown(pred: DataFrame, threshold: float = 0.5) -> DataFrame:
