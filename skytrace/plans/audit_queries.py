@@ -106,13 +106,22 @@ sh AS (SELECT shape, COUNT(DISTINCT run_label) AS c, MIN(run_label) AS l, CAST(S
 c AS (SELECT run_label AS cls, COUNT(*) AS n, CAST(SUM(windows) AS BIGINT) AS w FROM per_run GROUP BY run_label),
 ab AS (SELECT MAX(n) FILTER (WHERE cls = 'attack') AS na, MAX(n) FILTER (WHERE cls = 'benign') AS nb,
   MAX(w) FILTER (WHERE cls = 'attack') AS aw, MAX(w) FILTER (WHERE cls = 'benign') AS bw FROM c),
-bal AS (SELECT *, GREATEST(aw, bw) / LEAST(aw, bw) AS r FROM ab)
-SELECT 'WARN' AS severity, CONCAT('shape `', shape, '` exists only in ', l, ' class') AS message FROM sh WHERE c = 1
+bal AS (SELECT *, GREATEST(aw, bw) / LEAST(aw, bw) AS r FROM ab),
+short AS (SELECT COUNT(*) AS n, list(run_name ORDER BY run_name) AS names FROM per_run WHERE below_window),
+other AS (SELECT COUNT(*) AS n, list(run_name ORDER BY run_name) AS names FROM per_run WHERE windows = 0 AND NOT below_window),
+cls AS (SELECT v.cls, COALESCE(c.n, 0) AS n FROM (VALUES ('attack'), ('benign')) AS v(cls) LEFT JOIN c ON c.cls = v.cls)
+SELECT 'WARN' AS severity, CONCAT(CAST(s.n AS VARCHAR), ' run(s) have rows < window_size', CASE WHEN o.n = 0 THEN ' (produce 0 windows)' ELSE '' END, ': ',
+  array_to_string(s.names[1:5], ', '), CASE WHEN s.n > 5 THEN ' …' ELSE '' END) AS message FROM short s, other o WHERE s.n > 0
+UNION ALL SELECT 'WARN', CONCAT(CAST(n AS VARCHAR), ' run(s) produce 0 windows for other reasons: ', array_to_string(names[1:5], ', '), CASE WHEN n > 5 THEN ' …' ELSE '' END) FROM other WHERE n > 0
+UNION ALL SELECT 'SEVERE', CONCAT(cls, CASE WHEN n = 0 THEN ' class has 0 runs — cannot train'
+  ELSE CONCAT(' class has ', CAST(n AS VARCHAR), ' run(s) — not enough for run-level train/val/test (need ≥3)') END) FROM cls WHERE n < 3
+UNION ALL SELECT 'WARN', CONCAT('shape `', shape, '` exists only in ', l, ' class') FROM sh WHERE c = 1
 UNION ALL SELECT 'WARN', CONCAT(cls, ' class has ', CAST(n AS VARCHAR), ' run(s) — fragile train/val/test; recommend ≥5') FROM c WHERE n >= 3 AND n < 5
 UNION ALL SELECT 'WARN', 'val/test sets may not contain both classes given minority class size; consider leave-one-run-out or collect more runs' FROM ab WHERE na < 5 OR nb < 5
 UNION ALL SELECT CASE WHEN r >= 3 THEN 'WARN' ELSE 'INFO' END, CONCAT('window balance attack:benign = ', format('{:,}', aw), ':', format('{:,}', bw), ' (',
-  printf('%.2f', CASE WHEN r >= 3 THEN r ELSE aw / bw END), ':1)', CASE WHEN r >= 3 THEN CONCAT('; consider more ', CASE WHEN bw < aw THEN 'benign' ELSE 'attack' END, ' data') ELSE '' END) FROM bal
-UNION ALL SELECT 'WARN', CONCAT('benign runs (', CAST(nb AS VARCHAR), ') < attack runs (', CAST(na AS VARCHAR), '); collect more benign runs') FROM ab WHERE nb < na AND (na <= 5 OR nb <= 5)
+  printf('%.2f', CASE WHEN r >= 3 THEN r ELSE aw / bw END), ':1)', CASE WHEN r >= 3 THEN CONCAT('; consider more ', CASE WHEN bw < aw THEN 'benign' ELSE 'attack' END, ' data') ELSE '' END) FROM bal WHERE aw > 0 AND bw > 0
+UNION ALL SELECT 'WARN', CONCAT('benign runs (', CAST(nb AS VARCHAR), ') < attack runs (', CAST(na AS VARCHAR), '); collect more benign runs') FROM ab WHERE nb < na AND nb > 0 AND (na <= 5 OR nb <= 5)
+UNION ALL SELECT 'WARN', CONCAT('attack runs (', CAST(na AS VARCHAR), ') < benign runs (', CAST(nb AS VARCHAR), '); collect more attack runs') FROM ab WHERE na < nb AND na > 0 AND (na <= 5 OR nb <= 5)
 UNION ALL SELECT 'INFO', CONCAT('shape `', shape, '` dominates ', CAST(CAST(ROUND_EVEN(w * 100.0 / (aw + bw), 0) AS BIGINT) AS VARCHAR), '% of windows; consider per-shape metrics or more diverse data')
   FROM sh, ab WHERE w / (aw + bw) >= 0.7""", runs=True)
 def audit_warnings(spark, d):
