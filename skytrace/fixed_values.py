@@ -100,6 +100,26 @@ SPLIT_SEED = 42
 RADIANS_TO_DEGREES = 57.296
 SEVERITY_RANK = {"SEVERE": 0, "WARN": 1, "INFO": 2}
 
+# Texts of audit warnings, in the order the rules apply.
+WARNING_TEXTS = {
+    "below_window_only": "%d run(s) have rows < window_size (produce 0 windows): %s",
+    "below_window": "%d run(s) have rows < window_size: %s",
+    "zero_windows": "%d run(s) produce 0 windows for other reasons: %s",
+    "one_class_shape": "shape `%s` exists only in %s class",
+    "no_runs": "%s class has 0 runs — cannot train",
+    "few_runs": "%s class has %d run(s) — not enough for run-level train/val/test (need ≥3)",
+    "fragile": "%s class has %d run(s) — fragile train/val/test; recommend ≥5",
+    "empty_split": "%s split (test_frac=0.2, val_frac=0.2) projects train=%d val=%d test=%d — at least one is empty",
+    "minority": "val/test sets may not contain both classes given minority class size; consider leave-one-run-out or collect more runs",
+    "lopsided": "window balance attack:benign = %s:%s (%.2f:1); consider more %s data",
+    "balance": "window balance attack:benign = %s:%s (%.2f:1)",
+    "fewer_benign": "benign runs (%d) < attack runs (%d); collect more benign runs",
+    "fewer_attack": "attack runs (%d) < benign runs (%d); collect more attack runs",
+    "dominant": "shape `%s` dominates %d%% of windows; consider per-shape metrics or more diverse data",
+    "no_flight": "%d run(s) skipped (missing flight table; convert the capture first)",
+    "no_metadata": "%d run(s) skipped (missing/unreadable metadata.json)",
+}
+
 SWEEP_COLUMNS = [
     "model", "window_size", "stride", "return_code", "wall_seconds",
     "val_attack_f1", "test_attack_f1", "best_threshold",

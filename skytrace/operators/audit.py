@@ -116,13 +116,6 @@ def audit_grid(rows: DataFrame, pairs: list[tuple[int, int]]) -> DataFrame:
     )
 
 
-def _head(names: Column) -> Column:
-    """First five names of a sorted list, with a mark when more follow."""
-    return F.concat(F.array_join(F.slice(names, 1, 5), ", "), F.when(F.size(names) > 5, " …").otherwise(""))
-
-
-
-
 def warnings(per_run: DataFrame, skipped: DataFrame | None = None) -> DataFrame:
     """Sufficiency warnings as rows ``(severity, message)``, most severe first.
 
@@ -131,82 +124,56 @@ def warnings(per_run: DataFrame, skipped: DataFrame | None = None) -> DataFrame:
     never gathered. The run table feeds every rule, so it is written out once first.
     """
     per_run = cut_lineage(per_run)
-    rules: list[DataFrame] = []
-    seq = iter(range(1000))
-
-    def rule(df: DataFrame, severity: str | Column, message: Column, order: Column | None = None) -> None:
-        sev = F.lit(severity) if isinstance(severity, str) else severity
-        rules.append(df.select(
-            sev.alias("severity"), message.alias("message"), F.lit(next(seq)).alias("_rule"),
-            (order if order is not None else F.lit("")).cast("string").alias("_order"),
-        ))
+    say = lambda text, *cols: F.format_string(fixed.WARNING_TEXTS[text], *cols)
+    names = F.col("names")
+    head = F.concat(F.array_join(F.slice(names, 1, 5), ", "), F.when(F.size(names) > 5, " …").otherwise(""))
 
     def quoted(flagged: DataFrame) -> DataFrame:
+        """One row: how many runs are flagged and the first six names; no row when none is."""
         first = flagged.orderBy(RUN).limit(6).agg(F.sort_array(F.collect_list(RUN)).alias("names"))
-        counted = flagged.agg(F.count(F.lit(1)).alias("n"))
-        return counted.crossJoin(F.broadcast(first)).filter("n > 0")  # one row each
+        return flagged.agg(F.count(F.lit(1)).alias("n")).crossJoin(F.broadcast(first)).filter("n > 0")
 
-    text = lambda c: F.col(c).cast("string") if isinstance(c, str) else c.cast("string")
     below = per_run.filter("below_window")
     other = per_run.filter("windows = 0").join(below.select(RUN), RUN, "left_anti")
-    n_other = other.agg(F.count(F.lit(1)).alias("n_other"))
-    rule(quoted(below).crossJoin(F.broadcast(n_other)), "WARN", F.concat(
-        text("n"), F.lit(" run(s) have rows < window_size"),
-        F.when(F.col("n_other") == 0, " (produce 0 windows)").otherwise(""), F.lit(": "), _head(F.col("names"))))
-    rule(quoted(other), "WARN", F.concat(
-        text("n"), F.lit(" run(s) produce 0 windows for other reasons: "), _head(F.col("names"))))
-
-    rule(shape_classes(per_run).filter(F.col("class") != "mixed"), "WARN", F.concat(
-        F.lit("shape `"), F.col(SHAPE), F.lit("` exists only in "), F.col("class"), F.lit(" class")), F.col(SHAPE))
-
+    no_other = other.agg((F.count(F.lit(1)) == 0).alias("alone"))
     sizes = class_extremes(per_run).select(F.col(CLASS).alias("cls"), F.col("runs").alias("n"))
-    rule(sizes.filter("n < 5"), F.when(F.col("n") < 3, "SEVERE").otherwise("WARN"), F.concat(
-        F.col("cls"), F.when(F.col("n") == 0, " class has 0 runs — cannot train")
-        .when(F.col("n") < 3, F.concat(F.lit(" class has "), text("n"), F.lit(" run(s) — not enough for run-level train/val/test (need ≥3)")))
-        .otherwise(F.concat(F.lit(" class has "), text("n"), F.lit(" run(s) — fragile train/val/test; recommend ≥5")))), F.col("cls"))
-
-    parts = projected_split("n")
-    projected = sizes.filter("n >= 3").withColumns(parts)
-    rule(projected.filter("n_train = 0 or n_val = 0 or n_test = 0"), "WARN", F.concat(
-        F.col("cls"), F.lit(" split (test_frac=0.2, val_frac=0.2) projects train="), text("n_train"),
-        F.lit(" val="), text("n_val"), F.lit(" test="), text("n_test"), F.lit(" — at least one is empty")), F.col("cls"))
-
-    both = sizes.agg(
-        F.max(F.when(F.col("cls") == "attack", F.col("n"))).alias("na"),
-        F.max(F.when(F.col("cls") == "benign", F.col("n"))).alias("nb"),
-    )
-    rule(both.filter("(na > 0 and na < 5) or (nb > 0 and nb < 5)"), "WARN", F.lit(
-        "val/test sets may not contain both classes given minority class size; "
-        "consider leave-one-run-out or collect more runs"))
-
-    bal = balance(per_run)
-    a, b = F.col("attack_windows"), F.col("benign_windows")
-    grouped = lambda c: F.format_number(c, 0)
-    pair = F.concat(F.lit("window balance attack:benign = "), grouped(a), F.lit(":"), grouped(b), F.lit(" ("))
+    class_runs = lambda cls: F.max(F.when(F.col("cls") == cls, F.col("n")))
+    both = sizes.agg(class_runs("attack").alias("a"), class_runs("benign").alias("b"))
+    share = balance(per_run)
+    aw, bw = F.col("attack_windows"), F.col("benign_windows")
+    shown = (F.format_number(aw, 0), F.format_number(bw, 0))
     lopsided = F.col("ratio") >= 3
-    rule(bal.filter("ratio is not null"), F.when(lopsided, "WARN").otherwise("INFO"), F.concat(
-        pair, F.format_string("%.2f", F.when(lopsided, F.col("ratio")).otherwise(a / b)), F.lit(":1)"),
-        F.when(lopsided, F.concat(F.lit("; consider more "), F.when(b < a, "benign").otherwise("attack"), F.lit(" data"))).otherwise("")))
-
-    rule(both.filter("na > 0 and nb > 0 and na <> nb and (na <= 5 or nb <= 5)"), "WARN", F.when(
-        F.col("nb") < F.col("na"),
-        F.concat(F.lit("benign runs ("), text("nb"), F.lit(") < attack runs ("), text("na"), F.lit("); collect more benign runs")),
-    ).otherwise(
-        F.concat(F.lit("attack runs ("), text("na"), F.lit(") < benign runs ("), text("nb"), F.lit("); collect more attack runs"))))
-
-    rule(bal.filter("dominant_shape is not null"), "INFO", F.concat(
-        F.lit("shape `"), F.col("dominant_shape"), F.lit("` dominates "),
-        F.bround(F.col("dominant_share") * 100).cast("long").cast("string"),
-        F.lit("% of windows; consider per-shape metrics or more diverse data")))
-
+    none = F.lit("")
+
+    # (frame, severity, message, order within the rule), in rule order.
+    rules = [
+        (quoted(below).crossJoin(F.broadcast(no_other)), F.lit("WARN"),
+         F.when(F.col("alone"), say("below_window_only", "n", head)).otherwise(say("below_window", "n", head)), none),
+        (quoted(other), F.lit("WARN"), say("zero_windows", "n", head), none),
+        (shape_classes(per_run).filter(F.col("class") != "mixed"), F.lit("WARN"), say("one_class_shape", SHAPE, "class"), F.col(SHAPE)),
+        (sizes.filter("n < 5"), F.when(F.col("n") < 3, "SEVERE").otherwise("WARN"),
+         F.when(F.col("n") == 0, say("no_runs", "cls")).when(F.col("n") < 3, say("few_runs", "cls", "n")).otherwise(say("fragile", "cls", "n")), F.col("cls")),
+        (sizes.filter("n >= 3").withColumns(projected_split("n")).filter("n_train = 0 or n_val = 0 or n_test = 0"), F.lit("WARN"),
+         say("empty_split", "cls", "n_train", "n_val", "n_test"), F.col("cls")),
+        (both.filter("(a > 0 and a < 5) or (b > 0 and b < 5)"), F.lit("WARN"), F.lit(fixed.WARNING_TEXTS["minority"]), none),
+        (share.filter("ratio is not null"), F.when(lopsided, "WARN").otherwise("INFO"),
+         F.when(lopsided, say("lopsided", *shown, "ratio", F.when(bw < aw, "benign").otherwise("attack")))
+         .otherwise(say("balance", *shown, aw / bw)), none),
+        (both.filter("a > 0 and b > 0 and a <> b and (a <= 5 or b <= 5)"), F.lit("WARN"),
+         F.when(F.col("b") < F.col("a"), say("fewer_benign", "b", "a")).otherwise(say("fewer_attack", "a", "b")), none),
+        (share.filter("dominant_shape is not null"), F.lit("INFO"),
+         say("dominant", "dominant_shape", F.bround(F.col("dominant_share") * 100).cast("long")), none),
+    ]
     if skipped is not None:
         left_out = skipped.groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
-        rule(left_out.filter("reason = 'flight'"), "INFO", F.concat(text("n"), F.lit(" run(s) skipped (missing flight table; convert the capture first)")))
-        rule(left_out.filter("reason = 'metadata'"), "INFO", F.concat(text("n"), F.lit(" run(s) skipped (missing/unreadable metadata.json)")))
+        rules += [(left_out.filter(F.col("reason") == why), F.lit("INFO"), say(f"no_{why}", "n"), none) for why in ("flight", "metadata")]
 
-    ranks = F.create_map(*[F.lit(x) for pair_ in fixed.SEVERITY_RANK.items() for x in pair_])
+    found = [
+        df.select(severity.alias("severity"), message.alias("message"), F.lit(i).alias("_rule"), order.alias("_order"))
+        for i, (df, severity, message, order) in enumerate(rules)
+    ]
+    ranks = F.create_map(*[F.lit(x) for pair in fixed.SEVERITY_RANK.items() for x in pair])
     return (
-        reduce(DataFrame.unionByName, rules)
-        .orderBy(ranks[F.col("severity")], "_rule", "_order")
-        .select("severity", "message")
+        reduce(DataFrame.unionByName, found)
+        .orderBy(ranks[F.col("severity")], "_rule", "_order").select("severity", "message")
     )
