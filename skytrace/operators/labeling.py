@@ -43,7 +43,8 @@ def label_rows(
     Both bounds count as inside; a NULL drone gets NULL. The match is one left equi-join
     on (run columns, drone, time bucket) that never multiplies rows, so there is no
     grouping by row afterwards. No broadcast is forced: Spark broadcasts the lookup
-    while it is below its own size limit and joins by shuffle beyond it.
+    while it is below its own size limit and joins by shuffle beyond it. Choose
+    ``bucket_s`` near the usual window length: long windows repeat once per bucket.
     """
     t = F.col(time) if isinstance(time, str) else time
     look = window_lookup(windows, list(by), bucket_s)

@@ -153,7 +153,8 @@ GROUP BY f.seq""")
 def label_rows(spark, d):
     f = flight(spark, d)
     windows = attack_windows(f)
-    return labeling.label_rows(f, windows, by=["run_id"]).select("seq", "attack_type")
+    # The windows last days here, so a day is the bucket.
+    return labeling.label_rows(f, windows, by=["run_id"], bucket_s=86400.0).select("seq", "attack_type")
 
 
 @query("J2 P9", """

@@ -56,7 +56,7 @@ def stream_labelled_capture(spark, d):
     sdf = flight_stream(spark, d).drop("timestamp")
     out, marks = scratch_path(spark, "live"), scratch_path(spark, "marks")
     windows = attack_windows(flight(spark, d))
-    live.stream_capture(sdf, windows, out, marks, by=["run_id"]).awaitTermination()
+    live.stream_capture(sdf, windows, out, marks, by=["run_id"], bucket_s=86400.0).awaitTermination()
     return spark.read.parquet(out).select(F.col("drone_id").cast("long").alias("drone_id"), "seq", "attack_type", "timestamp")
 
 

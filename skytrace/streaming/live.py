@@ -15,7 +15,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from skytrace import fixed_values as fixed
 from skytrace.functions import scalars as S
-from skytrace.operators.labeling import label_rows
+from skytrace.operators.labeling import BUCKET_S, label_rows
 from skytrace.operators.state import GAUGES, POSE, PoseGate, gauge_readings, sanitize_gauges
 
 
@@ -25,15 +25,17 @@ def read_messages(spark: SparkSession, path: str, schema, format: str = "json",
     return spark.readStream.schema(schema).options(**options).format(format).load(path)
 
 
-def label_stream(sdf: DataFrame, windows: DataFrame, time: str | Column = "frame_timestamp", by: list[str] = ()) -> DataFrame:
+def label_stream(sdf: DataFrame, windows: DataFrame, time: str | Column = "frame_timestamp", by: list[str] = (), bucket_s: float = BUCKET_S) -> DataFrame:
     """Attack labels for arriving rows: the batch join, with the windows as static side."""
-    return label_rows(sdf, windows, time, by)
+    return label_rows(sdf, windows, time, by, bucket_s)
 
 
-def stream_capture(sdf: DataFrame, windows: DataFrame, out: str, checkpoint: str, by: list[str] = (), **trigger) -> StreamingQuery:
+def stream_capture(
+    sdf: DataFrame, windows: DataFrame, out: str, checkpoint: str, by: list[str] = (), bucket_s: float = BUCKET_S, **trigger
+) -> StreamingQuery:
     """Label good messages of known drones and append them to one folder per drone."""
     rows = S.good_data(sdf).filter(F.col("drone_id").isNotNull())
-    labelled = label_stream(rows, windows, by=by).withColumns({
+    labelled = label_stream(rows, windows, by=by, bucket_s=bucket_s).withColumns({
         "timestamp": S.to_millis("frame_timestamp"),
         "attack_type": F.coalesce("attack_type", F.lit(fixed.NULL_TEXT)),
     })
