@@ -289,13 +289,16 @@ def near_duplicates(docs: DataFrame, width: int = 3, percent: int = 85, trees: i
         else:
             groups, large = _in_blocks(_several(rows, "node", labels)), None
         subs = stored(_candidates(groups, classes, percent), "candidates")
-        wanted = subs.select("doc").distinct()
-        texts = docs.select(F.col("doc_id").cast("long").alias("doc"), F.col("text").cast("string").alias("text")).join(wanted, "doc", "left_semi")
-        texts = stored(texts, "texts")
-        waves = [subs.where(F.col("tree") < FIRST), subs.where(F.col("tree") >= FIRST)] if level == 0 else [subs]
-        for wave in waves:
-            links = links.unionByName(links_of(wave, labels, texts))
-            labels = components(links)
+        if level == 0 or not subs.isEmpty():
+            wanted = subs.select("doc").distinct()
+            texts = docs.select(F.col("doc_id").cast("long").alias("doc"), F.col("text").cast("string").alias("text"))
+            texts = stored(texts.join(wanted, "doc", "left_semi"), "texts")
+            waves = [subs.where(F.col("tree") < FIRST), subs.where(F.col("tree") >= FIRST)] if level == 0 else [subs]
+            for wave in waves:
+                found = links_of(wave, labels, texts)
+                if labels is None or not found.isEmpty():
+                    links = links.unionByName(found)
+                    labels = components(links)
         if large is None:
             break
         large = stored(_several(large, "node", labels), "large")
