@@ -321,3 +321,18 @@ def _low_bytes(signature):
     return F.unhex(F.regexp_replace(F.hex(signature), "(..)......", "$1"))
 
 
+
+
+def one_of_each(docs: DataFrame, width: int = 3, percent: int = 85) -> DataFrame:
+    """``docs`` with one document of each near-duplicate class, the one with the smallest doc_id.
+
+    Of rows that share this doc_id one stays, the first by all columns' hash. Rows without a doc_id stay.
+    """
+    found = near_duplicates(docs, width, percent)
+    out = docs.join(found.where("NOT kept AND doc_id IS NOT NULL").select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    shared = stored(docs.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "shared")
+    if shared.isEmpty():
+        return out
+    once = out.join(shared, "doc_id", "left_semi").select(F.col("doc_id").alias("id"), F.struct(*docs.columns).alias("row"))
+    once = once.groupBy("id").agg(F.min_by("row", F.xxhash64("row")).alias("row")).select("row.*")
+    return out.join(shared, "doc_id", "left_anti").select(*docs.columns).unionByName(once)
