@@ -25,6 +25,8 @@ deep, and fail the signature filter of 128 values with probability 3e-5.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
@@ -38,7 +40,7 @@ from skytrace.llm.textbytes import mix, shingle_sets, slices, word_hashes
 SIZE = 128  # minwise values per set
 TREES = 16
 FIRST = 2  # trees whose texts are compared before the others
-LEAF = 48
+LEAF = 128
 DEPTH = 6
 _FACTORS = np.random.default_rng(20).integers(0, 1 << 63, SIZE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -219,16 +221,19 @@ def _confirmed(subs: DataFrame, texts: DataFrame, width: int, percent: int) -> D
     return map_groups(members, "sub", work, "u long, v long")
 
 
-def _several(rows: DataFrame, key: str, labels: DataFrame | None) -> DataFrame:
-    """The rows of groups that hold several components."""
-    if labels is None:
-        return rows
-    known = rows.join(labels.withColumnRenamed("id", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
-    ends = known.groupBy(key).agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
-    return rows.join(ends.select(key), key)
+def _several(rows: DataFrame, key: str, labels: DataFrame) -> DataFrame:
+    """The rows of groups that hold several components.
+
+    Only rows with a link meet their label; a group is one component if all its rows have one, the same.
+    """
+    named = rows.join(labels.withColumnRenamed("id", "doc"), "doc").groupBy(key).agg(
+        F.count("*").alias("named"), F.min("component").alias("lo"), F.max("component").alias("hi")
+    ).where("lo = hi")
+    whole = rows.groupBy(key).agg(F.count("*").alias("n")).join(named, key).where("n = named")
+    return rows.join(whole.select(key), key, "left_anti")
 
 
-def _groups(rows: DataFrame, labels: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+def _groups(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Groups to compare ``(tree, group, doc)``, and the rows of nodes that must branch on."""
     mixed = F.xxhash64("node", "doc")
     nodes = rows.groupBy("node").agg(
@@ -238,8 +243,6 @@ def _groups(rows: DataFrame, labels: DataFrame | None) -> tuple[DataFrame, DataF
     nodes = nodes.groupBy("n", "members").agg(F.min(F.struct("tree", "node", "pivot")).alias("x")).select(
         "x.tree", "x.node", F.col("x.pivot.doc").alias("pivot"), "n"
     )
-    if labels is not None:
-        nodes = nodes.join(_several(rows, "node", labels).select("node").distinct(), "node")
     inside = rows.drop("tree").join(nodes, "node")
     block = F.when(F.col("n") > LEAF, F.pmod(mixed, F.ceil(F.col("n") / LEAF))).otherwise(F.lit(0))
     group = lambda block: F.xxhash64("node", block).alias("group")
@@ -275,39 +278,45 @@ def near_duplicates(docs: DataFrame, width: int = 3, percent: int = 85, trees: i
     classes = stored(classes.withColumn("low", _low_bytes(F.col("signature"))), "classes")
     rows = stored(_roots(classes, percent, trees), "nodes")
 
-    def links_of(subs: DataFrame, labels: DataFrame | None, texts: DataFrame) -> DataFrame:
-        return stored(_confirmed(_several(subs, "sub", labels), texts, width, percent), "confirmed")
+    everything = docs.select(F.col("doc_id").cast("long").alias("doc"), F.col("text").cast("string").alias("text"))
+
+    def texts_of(subs: DataFrame) -> DataFrame:
+        return stored(everything.join(subs.select("doc").distinct(), "doc", "left_semi"), "texts")
 
     # rows that share a doc_id, with different sets
     shared = full.groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1").select("doc_id")
     shared = full.join(shared, "doc_id").select("doc_id", *key).join(classes.select(*key, "doc"), key)
-    links = shared.select(F.col("doc_id").alias("u"), F.col("doc").alias("v"))
-    labels = None
-    for level in range(DEPTH + 1):
-        if level < DEPTH:
-            groups, large = _groups(rows, labels)
-        else:
-            groups, large = _in_blocks(_several(rows, "node", labels)), None
-        subs = stored(_candidates(groups, classes, percent), "candidates")
-        if level == 0 or not subs.isEmpty():
-            wanted = subs.select("doc").distinct()
-            texts = docs.select(F.col("doc_id").cast("long").alias("doc"), F.col("text").cast("string").alias("text"))
-            texts = stored(texts.join(wanted, "doc", "left_semi"), "texts")
-            waves = [subs.where(F.col("tree") < FIRST), subs.where(F.col("tree") >= FIRST)] if level == 0 else [subs]
-            for wave in waves:
-                found = links_of(wave, labels, texts)
-                if labels is None or not found.isEmpty():
-                    links = links.unionByName(found)
-                    labels = components(links)
-        if large is None:
-            break
+    links = stored(shared.select(F.col("doc_id").alias("u"), F.col("doc").alias("v")), "confirmed")
+
+    groups, large = _groups(rows)
+    subs = stored(_candidates(groups, classes, percent), "candidates")
+    texts = texts_of(subs)
+    links = links.unionByName(stored(_confirmed(subs.where(F.col("tree") < FIRST), texts, width, percent), "confirmed"))
+    labels = components(links)
+    rest = _several(subs.where(F.col("tree") >= FIRST), "sub", labels)
+    links = links.unionByName(stored(_confirmed(rest, texts, width, percent), "confirmed"))
+    labels = components(links)
+
+    # what large nodes still hold beside one component
+    deeper = []
+    for level in range(1, DEPTH + 1):
         large = stored(_several(large, "node", labels), "large")
         if large.isEmpty():
             break
-        if level < DEPTH - 1:
-            rows = stored(_branch(large.join(classes.select("doc", "signature"), "doc"), "node", percent), "nodes")
+        if level < DEPTH:
+            rows = _branch(large.join(classes.select("doc", "signature"), "doc"), "node", percent)
+            groups, large = _groups(stored(rows, "nodes"))
         else:
-            rows = large
+            groups = _in_blocks(large)
+        deeper.append(stored(_candidates(groups, classes, percent), "candidates"))
+    if deeper:
+        new = reduce(DataFrame.unionByName, deeper).groupBy("sub", "doc").agg(F.min("tree").alias("tree"))
+        new = new.join(subs.select("sub").distinct(), "sub", "left_anti")
+        new = stored(_several(new, "sub", labels), "candidates")
+        if not new.isEmpty():
+            found = stored(_confirmed(new, texts_of(new), width, percent), "confirmed")
+            if not found.isEmpty():
+                labels = components(links.unionByName(found))
     named = classes.select(*key, "doc", "copies").join(labels.withColumnRenamed("id", "doc"), "doc", "left")
     named = named.withColumn("component", F.coalesce("component", "doc"))
     # only classes of several rows or with a link: the others' rows are their own component
