@@ -17,6 +17,7 @@ Pieces travel as a broadcast, whose size is the model's vocabulary. Nothing is s
 from __future__ import annotations
 
 import re
+import uuid
 from itertools import chain
 from pathlib import Path
 from typing import NamedTuple
@@ -218,14 +219,15 @@ class Coder:
         return text[1:] if self.model.prefix and text.startswith(" ") else text
 
 
-_READY: dict[int, Coder] = {}
+_READY: dict[str, Coder] = {}
 
 
-def _coder(shared) -> Coder:
-    if shared.id not in _READY:
+def _coder(name: str, shared) -> Coder:
+    """The model of this name, made ready once per worker."""
+    if name not in _READY:
         _READY.clear()
-        _READY[shared.id] = Coder(shared.value)
-    return _READY[shared.id]
+        _READY[name] = Coder(shared.value)
+    return _READY[name]
 
 
 def encoded(docs: DataFrame, model_path: str, keep: list[str]) -> DataFrame:
@@ -235,11 +237,11 @@ def encoded(docs: DataFrame, model_path: str, keep: list[str]) -> DataFrame:
     spaces. Rows are independent, repeated rows alike; columns not kept don't matter, also not by
     name; an empty table gives an empty result.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(read_model(model_path))
+    shared, name = docs.sparkSession.sparkContext.broadcast(read_model(model_path)), uuid.uuid4().hex
     row = docs.select(F.struct(*[F.col(c) for c in keep]).alias("row"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
     def run(batches):
-        coder = _coder(shared)
+        coder = _coder(name, shared)
         for batch in batches:
             for part in slices(batch, "text", 16 << 20):
                 ids = coder.encode(part.column("text").to_pylist())
