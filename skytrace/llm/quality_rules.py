@@ -71,10 +71,11 @@ def measured(docs: DataFrame) -> DataFrame:
     bad = F.greatest(*[F.expr(f"(100 * s_{k}) div {limit}") for k, limit in LIMITS.items()])
     stratum = sum((F.when(F.col("n_words") >= b, 1).otherwise(0) for b in BANDS), F.lit(0))
     base = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
-    return df.select(
-        "row", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"),
+    # a generator, so that filters on the counts aren't moved below it, where they would compute them again
+    return df.select("row", F.inline(F.array(F.struct(
+        "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"),
         stratum.cast("int").alias("stratum"), F.least(bad, F.lit(TOP)).cast("int").alias("badness"),
-    )
+    ))))
 
 
 def _most_rejections(n: Column, risk: float, alpha: float) -> Column:
