@@ -36,7 +36,7 @@ def order_by(order: list[str]) -> list[Column]:
 
 def _keyed_join(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
     renamed = right.withColumnsRenamed({c: f"_r_{c}" for c in on})
-    cond = [left[c] == renamed[f"_r_{c}"] for c in on]
+    cond = [left[c].eqNullSafe(renamed[f"_r_{c}"]) for c in on]
     return left.join(renamed, cond, "left").drop(*[f"_r_{c}" for c in on])
 
 
@@ -79,12 +79,12 @@ def spread(
     target_rows: int = TARGET_ROWS,
     halo: int = 0,
 ) -> DataFrame:
-    """Cut every key into consecutive pieces of about ``target_rows`` rows.
+    """Cut every key into consecutive pieces of about ``target_rows`` rows; NULL is a key like others.
 
     ``cell`` must not decrease along the row order. Each piece also holds at least the
     ``halo`` rows before it, so a window over ``[*keys, "_piece"]`` sees all it needs.
     Adds ``_piece``, ``_own_piece`` and ``_rows_before``; keep a row's result where the
-    two piece columns agree. Rows with a NULL key are dropped.
+    two piece columns agree.
 
     A count per key, combined on the map side, finds the large keys. Without any, rows
     pass unchanged and the window's own shuffle stays the only one. Otherwise a second
@@ -92,14 +92,15 @@ def spread(
     """
     if halo > target_rows:
         raise ValueError("halo must not exceed target_rows")
-    df = df.dropna(subset=list(keys))
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     # Never more than rows / target_rows keys, and checked besides.
     large, n = size_checked(sizes.filter(F.col("_n") > target_rows).select(*keys))
     if n == 0:
         zero = F.lit(0).cast("long")
         return df.withColumns({PIECE: zero, OWN_PIECE: zero, ROWS_BEFORE: zero})
-    pieces, _ = size_checked(_pieces(df.join(large, keys, "left_semi"), keys, cell, target_rows, halo))
+    named = large.withColumnsRenamed({c: f"_r_{c}" for c in keys})
+    of_large = df.join(named, [df[c].eqNullSafe(named[f"_r_{c}"]) for c in keys], "left_semi")
+    pieces, _ = size_checked(_pieces(of_large, keys, cell, target_rows, halo))
     joined = _keyed_join(df.withColumn("_cell", cell), pieces, [*keys, "_cell"])
     zero = F.lit(0).cast("long")
     return (

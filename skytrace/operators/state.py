@@ -127,7 +127,7 @@ def lock_vehicle(
     """
     by, order = list(by), list(order)
     at = F.struct(*order)
-    announced = S.primary(df, "HEARTBEAT").filter(F.col("type") == type)
+    announced = S.primary(df, "HEARTBEAT").filter((F.col("type") == type) & F.col("sysid").isNotNull())
     lock = announced.groupBy(*by).agg(F.min_by("sysid", at).alias("_locked"), F.min(at).alias("_since"))
     told = df.withColumn("_told", F.when(F.col("mav_packet_type") == "HEARTBEAT", F.col("type")))
     known = carry_forward(told, [*by, "sysid"], order, time_bucket(order[0]), ["_told"])

@@ -76,10 +76,10 @@ def stream_gauges(spark, d):
 @query("ST3", """
 SELECT sysid, slot * 3600000 + 3600000 AS emit_ms, seq, value FROM (
   SELECT *, ROW_NUMBER() OVER (PARTITION BY sysid, slot ORDER BY timestamp DESC, seq DESC) AS i FROM (SELECT *, timestamp // 3600000 AS slot FROM flight) a
-) b WHERE i = 1 AND slot * 3600000 + 3600000 <= (SELECT MAX(timestamp) - 1000 FROM flight)""")
+) b WHERE i = 1""")
 def stream_throttle(spark, d):
     sdf = flight_stream(spark, d).select("sysid", "ts", "seq", "value")
-    out = _appended(live.throttle(sdf, "1 hour"))
+    out = _updated(live.throttle(sdf, "1 hour"), ["emit_at", "sysid"])
     return out.select("sysid", F.unix_millis("emit_at").alias("emit_ms"), "seq", "value")
 
 

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
+import csv
 import re
-from functools import reduce
 
-from pyspark.errors import AnalysisException
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
-from pyspark.sql.types import StringType, StructField, StructType
 
 from skytrace import fixed_values as fixed
 from skytrace.functions import scalars as S
@@ -26,7 +26,8 @@ def _files(spark: SparkSession, root: str, glob: str) -> DataFrame:
 
 
 def run_of(path: Column | str) -> Column:
-    name = F.regexp_extract(F.col(path) if isinstance(path, str) else path, fixed.RUN_DIR_PATTERN, 1)
+    """The innermost run folder of a path."""
+    name = F.regexp_extract(F.col(path) if isinstance(path, str) else path, ".*" + fixed.RUN_DIR_PATTERN, 1)
     return F.when(name != "", name)
 
 
@@ -37,16 +38,34 @@ def with_drone_id(df: DataFrame, layout: str = "capture", path: str = PATH) -> D
 
 
 def _csv(spark: SparkSession, root: str, glob: str | None = None) -> DataFrame:
-    """All-string CSV with header. A file whose header differs fails instead of shifting columns."""
-    reader = spark.read.option("header", "true").option("inferSchema", "false").option("enforceSchema", "false")
-    if glob:
-        reader = reader.option("recursiveFileLookup", "true").option("pathGlobFilter", glob)
-    return reader.csv(root).withColumn(PATH, F.col("_metadata.file_path"))
+    """All-string CSV with header, files united by column name; columns a file lacks are NULL."""
+    found = {"recursiveFileLookup": "true", "pathGlobFilter": glob} if glob else {}
+    raw = spark.read.options(**found).text(root).filter("value <> ''")
+    lines = raw.select("value", F.col("_metadata.file_path").alias(PATH), F.col("_metadata.file_block_start").alias("_start"))
+    first = lines.filter("_start = 0").withColumn("_at", F.monotonically_increasing_id())
+    headers = cut_lineage(first.groupBy(PATH).agg(F.min_by("value", "_at").alias("_header")))
+    # Headers differ by message type and dialect version, so there are few whatever the number of files.
+    known = sorted(r[0] for r in headers.select("_header").distinct().collect())
+    if len(known) <= 1:
+        reader = spark.read.options(header="true", inferSchema="false", enforceSchema="false", **found)
+        return reader.csv(root).withColumn(PATH, F.col("_metadata.file_path"))
+    names = [next(csv.reader([h])) for h in known]
+    union = list(dict.fromkeys(c for n in names for c in n))
+    cells = [f"c{i}" for i in range(max(map(len, names)))]
+    rows = lines.join(headers, PATH).filter(F.col("value") != F.col("_header"))
+    header = F.array_position(F.array(*[F.lit(h) for h in known]), F.col("_header")).cast("int") - 1
+    parsed = rows.select(PATH, header.alias("_which"), F.from_csv("value", ", ".join(f"{c} string" for c in cells)).alias("_row"))
+    parsed = parsed.select(PATH, "_which", F.array(*[F.col("_row")[c] for c in cells]).alias("_cells"))
+    place = lambda c: F.array(*[F.lit(n.index(c) if c in n else None).cast("int") for n in names])
+    return parsed.select(*[F.get("_cells", F.get(place(c), F.col("_which"))).alias(c) for c in union], PATH)
 
 
 def read_capture(spark: SparkSession, root: str) -> DataFrame:
-    """Capture rows of all runs under ``root``, with run name, file name and drone number."""
-    rows = with_drone_id(_csv(spark, root, "*.csv"))
+    """Capture rows of all runs under ``root``, with run name, file name and drone number.
+
+    Only files of a drone count; other CSV files beside them are left alone.
+    """
+    rows = with_drone_id(_csv(spark, root, "*.csv")).filter(F.col("drone_id").isNotNull())
     return rows.withColumn("run_name", run_of(PATH)).withColumnRenamed(PATH, "filename")
 
 
@@ -114,16 +133,36 @@ def to_flight(df: DataFrame, out: str, force: bool = False) -> DataFrame:
         return runs.withColumn("status", F.lit("built"))
     # Fixed before the write, which changes what the table holds.
     have = cut_lineage(built_runs(df.sparkSession, out).withColumn("status", F.lit("skipped")))
-    write_flight(df.join(have, "run_name", "left_anti"), out)
-    return runs.join(have, "run_name", "left").withColumn("status", F.coalesce("status", F.lit("built")))
+    # Rows without a run are one run, built once as well.
+    same = df["run_name"].eqNullSafe(have["run_name"])
+    write_flight(df.join(have, same, "left_anti"), out)
+    done = have.withColumnRenamed("run_name", "_run")
+    marked = runs.join(done, runs["run_name"].eqNullSafe(done["_run"]), "left").drop("_run")
+    return marked.withColumn("status", F.coalesce("status", F.lit("built")))
 
 
 def convert_all(spark: SparkSession, root: str, out: str, force: bool = False) -> DataFrame:
-    return to_flight(read_capture(spark, root), out, force)
+    """Convert all runs in one job; if that fails, run by run, so that one broken run stops no other.
+
+    Returns ``(run_name, status)`` with status ``built``, ``skipped`` or ``failed``.
+    """
+    try:
+        return to_flight(read_capture(spark, root), out, force)
+    except (PySparkException, Py4JJavaError):
+        folder = F.regexp_extract("path", r"^(.*/(?:[a-z_]+=)?run_[^/]+)/", 1)
+        folders = drone_files(spark, root).select("run_name", folder.alias("folder")).distinct().collect()
+    said = []
+    for run, where in sorted(map(tuple, folders), key=str):
+        try:
+            said += [tuple(r) for r in to_flight(read_capture(spark, where), out, force).collect()]
+        except (PySparkException, Py4JJavaError):
+            said.append((run, "failed"))
+    return spark.createDataFrame(said, "run_name string, status string")
 
 
 def read_flight(spark: SparkSession, out: str) -> DataFrame:
-    return spark.read.parquet(out)
+    """The flight table with the columns of all imports; runs written before a column came have NULL."""
+    return spark.read.option("mergeSchema", "true").parquet(out)
 
 
 def read_primary(
@@ -192,16 +231,8 @@ def discover_legacy(spark: SparkSession, root: str, cls: str, names: list[str] |
 
 # --- legacy import --------------------------------------------------------
 def read_legacy(spark: SparkSession, root: str) -> DataFrame:
-    """All per-type files below ``root`` as one frame: each type read on its own, united by name.
-
-    Message types number in the hundreds whatever the data size, so listing them on the
-    driver is safe. Columns a type lacks are NULL.
-    """
-    kind = F.regexp_extract("path", r"([^/]+)\.csv$", 1)
-    kinds = sorted(r["k"] for r in _files(spark, root, "*.csv").select(kind.alias("k")).distinct().collect())
-    frames = [_csv(spark, root, f"{k}.csv") for k in kinds]
-    united = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
-    return with_drone_id(united, "legacy").withColumnRenamed(PATH, "filename")
+    """All per-type files below ``root`` as one frame, united by name over types and header versions."""
+    return with_drone_id(_csv(spark, root, "*.csv"), "legacy").withColumnRenamed(PATH, "filename")
 
 
 def read_legacy_run(spark: SparkSession, run_dir: str) -> DataFrame:
@@ -261,7 +292,3 @@ def verify_import(source: DataFrame, written: DataFrame, expected: Column) -> Da
         n("src_drones").alias("src_drones"), n("drones").alias("drones"),
         n("no_drone").alias("no_drone"), n("other_label").alias("other_label"), broken.alias("violations"),
     )
-
-
-def string_schema(cols: list[str]) -> StructType:
-    return StructType([StructField(c, StringType()) for c in cols])

@@ -46,13 +46,18 @@ def stream_capture(
 
 
 # --- aggregates -----------------------------------------------------------
+def _at(sdf: DataFrame, ts: str) -> Column:
+    return F.struct(ts, "seq") if "seq" in sdf.columns else F.col(ts)
+
+
 def gauges_stream(sdf: DataFrame, key: str = "sysid", ts: str = "ts") -> DataFrame:
-    """Latest gauges per system (update or complete output). Earlier NULLs never overwrite."""
+    """Latest gauges per system (update or complete output). Earlier NULLs never overwrite; equal clocks go by ``seq``."""
+    at = _at(sdf, ts)
     readings = gauge_readings(sdf)
-    rows = S.good_data(sdf).select(key, ts, *[c.alias(n) for n, c in readings.items()])
+    rows = S.good_data(sdf).select(key, at.alias("_at"), *[c.alias(n) for n, c in readings.items()])
     latest = rows.groupBy(key).agg(
-        *[F.max_by(n, F.when(F.col(n).isNotNull(), F.col(ts))).alias(n) for n in readings],
-        F.min_by("yaw_deg", F.when(F.col("yaw_deg").isNotNull(), F.col(ts))).alias("_first_yaw"),
+        *[F.max_by(n, F.when(F.col(n).isNotNull(), F.col("_at"))).alias(n) for n in readings],
+        F.min_by("yaw_deg", F.when(F.col("yaw_deg").isNotNull(), F.col("_at"))).alias("_first_yaw"),
         F.count(F.lit(1)).alias("packets_received"),
     )
     full = latest.withColumns({
@@ -62,9 +67,13 @@ def gauges_stream(sdf: DataFrame, key: str = "sysid", ts: str = "ts") -> DataFra
 
 
 def throttle(sdf: DataFrame, period: str = fixed.EMIT_PERIOD, key: str = "sysid", ts: str = "ts", delay: str = "1 second") -> DataFrame:
-    """At most one record per system and period: the last of each period."""
+    """At most one record per system and period: the last of each period.
+
+    With append output a record comes once its period is over; with update output the open period's
+    record comes too and is replaced as newer ones arrive, so the end of a feed is not held back.
+    """
     cols = [c for c in sdf.columns if c not in (key, ts)]
-    last = F.max_by(F.struct(*cols), F.col(ts)).alias("last")
+    last = F.max_by(F.struct(*cols), _at(sdf, ts)).alias("last")
     grouped = sdf.withWatermark(ts, delay).groupBy(F.window(ts, period), key).agg(F.max(ts).alias(ts), last)
     return grouped.select(F.col("window.end").alias("emit_at"), key, ts, "last.*")
 
@@ -85,7 +94,7 @@ def vehicle_identity_stream(sdf: DataFrame, by: list[str], ts: str = "ts") -> Da
     """Vehicle type per link from heartbeats, quadrotor preferred (update output)."""
     beats = S.primary(sdf, "HEARTBEAT").filter(F.col("type") != fixed.MAV_TYPE_GCS)
     preferred = F.when(F.col("type") == fixed.MAV_TYPE_QUADROTOR, 0).otherwise(1)
-    return beats.groupBy(*by).agg(F.min_by("type", F.struct(preferred, ts)).alias("vehicle_type"))
+    return beats.groupBy(*by).agg(F.min_by("type", F.struct(preferred, _at(sdf, ts))).alias("vehicle_type"))
 
 
 # --- keyed state ----------------------------------------------------------

@@ -3,6 +3,7 @@
 import json
 
 import pytest
+from pyspark.errors import PySparkValueError
 from pyspark.sql import functions as F
 
 from skytrace.sources import cache, capture, logs, metadata
@@ -32,11 +33,49 @@ def test_capture_scan(spark, tree):
     assert rows.filter("roll = 'null'").count() == 1
 
 
-def test_differing_header_fails_loudly(spark, tmp_path):
+def test_files_unite_by_name(spark, tmp_path):
     put(tmp_path / "run_1/csv/drone_001.csv", "a,b\n1,2\n")
-    put(tmp_path / "run_1/csv/drone_002.csv", "b,a\n2,1\n")
-    with pytest.raises(Exception, match="header"):
-        capture.read_capture(spark, str(tmp_path)).collect()
+    put(tmp_path / "run_1/csv/drone_002.csv", 'b,c,a\n2,"x,y",1\n')
+    put(tmp_path / "run_1/csv/notes.csv", "a\n9\n")
+    rows = capture.read_capture(spark, str(tmp_path)).collect()
+    assert {(r["drone_id"], r["a"], r["b"], r["c"]) for r in rows} == {(1, "1", "2", None), (2, "1", "2", "x,y")}
+
+
+def test_later_import_keeps_all_columns(spark, tmp_path):
+    out, schema = str(tmp_path / "flight"), "run_name string, mav_packet_type string, drone_id int, timestamp string"
+    capture.to_flight(spark.createDataFrame([("run_1", "A", 1, "1", "5")], schema + ", roll string"), out)
+    capture.to_flight(spark.createDataFrame([("run_2", "A", 1, "1", "7")], schema + ", groundspeed string"), out)
+    got = {(r["run_name"], r["roll"], r["groundspeed"]) for r in capture.read_flight(spark, out).collect()}
+    assert got == {("run_1", "5", None), ("run_2", None, "7")}
+
+
+def test_rows_without_run_are_built_once(spark, tmp_path):
+    out = str(tmp_path / "flight")
+    df = spark.createDataFrame([(None, "A", 1, "1")], "run_name string, mav_packet_type string, drone_id int, timestamp string")
+    assert [tuple(r) for r in capture.to_flight(df, out).collect()] == [(None, "built")]
+    assert [tuple(r) for r in capture.to_flight(df, out).collect()] == [(None, "skipped")]
+    assert capture.read_flight(spark, out).count() == 1
+
+
+def test_broken_run_stops_no_other(spark, tmp_path, monkeypatch):
+    for run in ("run_1_a", "run_2_a"):
+        put(tmp_path / f"in/{run}/csv/drone_001.csv", "timestamp,mav_packet_type\n1,ATTITUDE\n")
+    whole = capture.to_flight
+
+    def breaks(df, out, force=False):
+        if df.filter("run_name = 'run_2_a'").count():
+            raise PySparkValueError("unreadable")
+        return whole(df, out, force)
+
+    monkeypatch.setattr(capture, "to_flight", breaks)
+    said = capture.convert_all(spark, str(tmp_path / "in"), str(tmp_path / "flight"))
+    assert {tuple(r) for r in said.collect()} == {("run_1_a", "built"), ("run_2_a", "failed")}
+    assert capture.read_flight(spark, str(tmp_path / "flight")).count() == 1
+
+
+def test_innermost_run_folder(spark):
+    df = spark.createDataFrame([("file:/data/run_archive/run_3_x/csv/drone_001.csv",)], "p string")
+    assert df.select(capture.run_of("p")).first()[0] == "run_3_x"
 
 
 def test_flight_table_and_skipping(spark, tree, tmp_path):
