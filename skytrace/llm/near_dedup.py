@@ -11,16 +11,20 @@ Scale and skew:
 
 * Equal sets are one class before the join, by a map-side combined aggregate. Copies never meet.
 * Only (node, document) ids are shuffled for all documents; signatures follow for nodes of two
-  documents or more, texts only for documents with a partner that may reach the threshold. Nodes
-  with the same members are compared once.
+  documents or more. Nodes with the same members are compared once. Pairs whose signatures may reach
+  the threshold make candidate classes; texts are read only for their members, and where a class has
+  up to ``LEAF`` members each text once: all its pairs are intersected in one task.
 * A node over ``LEAF`` is dealt into blocks, each with the node's pivot, so a family of near copies
-  becomes one component without its pairs being listed. Later trees compare only nodes that still
-  hold several components. What a node holds beyond ``DEPTH`` levels is compared block by block,
-  so no pair is given up for the size of its node.
+  becomes one candidate class without its pairs being listed. It branches on while it holds others;
+  once at most ``OTHERS`` documents are outside its largest class, these meet the rest block by
+  block, and so does all that is left beyond ``DEPTH`` levels: no pair is given up for a node's size.
+* A class over ``LEAF`` is confirmed in the nodes of two trees. If its largest component then leaves at
+  most ``OTHERS`` members out, these meet the rest block by block, otherwise the nodes of all trees
+  that still hold several components are compared.
 * Results leave a task as a spanning forest of confirmed links, one row per document at most.
 
-Two sets at exactly the threshold miss every tree with probability under 1e-6 for nodes three levels
-deep, and fail the signature filter of 128 values with probability 3e-5.
+Two sets at exactly the threshold miss every tree with probability under 1e-4 for nodes three levels
+deep (1e-9 for leaves of the first), and fail the signature filter of 128 values with probability 3e-5.
 """
 
 from __future__ import annotations
@@ -38,9 +42,10 @@ from skytrace.llm.tasks import fixed_bytes, long_keys, map_groups, stored, to_bi
 from skytrace.llm.textbytes import mix, shingle_sets, slices, word_hashes
 
 SIZE = 128  # minwise values per set
-TREES = 16
+TREES = 10
 FIRST = 2  # trees whose texts are compared before the others
 LEAF = 128
+OTHERS = 256  # documents outside a group's largest class that are compared with all of it
 DEPTH = 6
 _FACTORS = np.random.default_rng(20).integers(0, 1 << 63, SIZE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -186,6 +191,12 @@ def _candidates(groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return found.groupBy("sub", "doc").agg(F.min("tree").alias("tree"))
 
 
+def _stars(subs: DataFrame) -> DataFrame:
+    """Each member of a subgroup linked with its smallest."""
+    least = subs.groupBy("sub").agg(F.min("doc").alias("v"))
+    return subs.join(least, "sub").select(F.col("doc").alias("u"), "v")
+
+
 def _confirmed(subs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
     """Links ``(u, v)`` within each subgroup, exact on the full sets: a spanning forest."""
 
@@ -253,13 +264,33 @@ def _groups(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     return members.unionByName(pivots), inside.where(F.col("n") > LEAF).select("tree", "node", "doc")
 
 
-def _in_blocks(rows: DataFrame) -> DataFrame:
-    """All pairs of half-size blocks of each node, as groups: the exact way for nodes that never became small."""
+def _in_blocks(rows: DataFrame, key: str) -> DataFrame:
+    """All pairs of half-size blocks of each group: the exact way for what never became small."""
     half = LEAF // 2
-    counted = rows.join(rows.groupBy("node").agg(F.ceil(F.count("*") / half).alias("k")), "node")
-    own = counted.withColumn("b", F.pmod(F.xxhash64("doc", "node"), F.col("k")))
+    counted = rows.join(rows.groupBy(key).agg(F.ceil(F.count("*") / half).alias("k")), key)
+    own = counted.withColumn("b", F.pmod(F.xxhash64("doc", key), F.col("k")))
     met = own.withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)))
-    return met.select("tree", F.xxhash64("node", F.least("b", "o"), F.greatest("b", "o")).alias("group"), "doc")
+    return met.select("tree", F.xxhash64(key, F.least("b", "o"), F.greatest("b", "o")).alias("group"), "doc")
+
+
+def _apart(rows: DataFrame, key: str, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows of groups with several classes, in two parts.
+
+    First, as ``(tree, group, doc)``: where at most ``OTHERS`` rows are outside the largest class, blocks of the
+    group with all of these. Second, as they are: the rows of the other groups.
+    """
+    named = rows.join(labels.withColumnRenamed("id", "doc"), "doc", "left").withColumn("part", F.coalesce("component", "doc"))
+    named = stored(named.drop("component"), "classes")
+    sizes = named.groupBy(key, "part").agg(F.count("*").alias("n")).groupBy(key).agg(
+        F.sum("n").alias("n"), F.max("n").alias("most"), F.max_by("part", F.struct("n", "part")).alias("main")
+    )
+    sizes = sizes.where("n > most")
+    found = named.join(sizes, key)
+    few = found.where(F.col("n") - F.col("most") <= OTHERS).withColumn("k", F.ceil(F.col("n") / LEAF))
+    inside = few.where("part = main").withColumn("b", F.pmod(F.xxhash64("doc", key), F.col("k")))
+    outside = few.where("part <> main").withColumn("b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)))
+    met = inside.unionByName(outside).select("tree", F.xxhash64(key, "b").alias("group"), "doc")
+    return met, found.where(F.col("n") - F.col("most") > OTHERS).select("tree", key, "doc")
 
 
 def near_duplicates(docs: DataFrame, width: int = 3, percent: int = 85, trees: int = TREES) -> DataFrame:
@@ -279,44 +310,48 @@ def near_duplicates(docs: DataFrame, width: int = 3, percent: int = 85, trees: i
     rows = stored(_roots(classes, percent, trees), "nodes")
 
     everything = docs.select(F.col("doc_id").cast("long").alias("doc"), F.col("text").cast("string").alias("text"))
-
-    def texts_of(subs: DataFrame) -> DataFrame:
-        return stored(everything.join(subs.select("doc").distinct(), "doc", "left_semi"), "texts")
-
     # rows that share a doc_id, with different sets
     shared = full.groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1").select("doc_id")
     shared = full.join(shared, "doc_id").select("doc_id", *key).join(classes.select(*key, "doc"), key)
     links = stored(shared.select(F.col("doc_id").alias("u"), F.col("doc").alias("v")), "confirmed")
 
+    # candidate classes, by signatures alone
     groups, large = _groups(rows)
     subs = stored(_candidates(groups, classes, percent), "candidates")
-    texts = texts_of(subs)
-    links = links.unionByName(stored(_confirmed(subs.where(F.col("tree") < FIRST), texts, width, percent), "confirmed"))
-    labels = components(links)
-    rest = _several(subs.where(F.col("tree") >= FIRST), "sub", labels)
-    links = links.unionByName(stored(_confirmed(rest, texts, width, percent), "confirmed"))
-    labels = components(links)
-
-    # what large nodes still hold beside one component
-    deeper = []
+    near = components(_stars(subs))
+    found = [subs]
     for level in range(1, DEPTH + 1):
-        large = stored(_several(large, "node", labels), "large")
+        met, large = _apart(large, "node", near)
+        large = stored(large, "large")
+        found.append(stored(_candidates(met, classes, percent), "candidates"))
         if large.isEmpty():
             break
         if level < DEPTH:
             rows = _branch(large.join(classes.select("doc", "signature"), "doc"), "node", percent)
             groups, large = _groups(stored(rows, "nodes"))
         else:
-            groups = _in_blocks(large)
-        deeper.append(stored(_candidates(groups, classes, percent), "candidates"))
-    if deeper:
-        new = reduce(DataFrame.unionByName, deeper).groupBy("sub", "doc").agg(F.min("tree").alias("tree"))
-        new = new.join(subs.select("sub").distinct(), "sub", "left_anti")
-        new = stored(_several(new, "sub", labels), "candidates")
-        if not new.isEmpty():
-            found = stored(_confirmed(new, texts_of(new), width, percent), "confirmed")
-            if not found.isEmpty():
-                labels = components(links.unionByName(found))
+            groups, large = _in_blocks(large, "node"), None
+        found.append(stored(_candidates(groups, classes, percent), "candidates"))
+    if not all(x.isEmpty() for x in found[1:]):
+        subs = stored(reduce(DataFrame.unionByName, found).groupBy("sub", "doc").agg(F.min("tree").alias("tree")), "candidates")
+        near = components(_stars(subs))
+    near = stored(near.select(F.col("id").alias("doc"), F.col("component").alias("class")), "near")
+    texts = stored(everything.join(near.select("doc"), "doc", "left_semi"), "texts")
+
+    # links, on the full sets
+    sizes = near.groupBy("class").agg(F.count("*").alias("n"))
+    small = near.join(sizes.where(F.col("n") <= LEAF), "class").select(F.col("class").alias("sub"), "doc")
+    links = links.unionByName(stored(_confirmed(small, texts, width, percent), "confirmed"))
+    crowd = stored(near.join(sizes.where(F.col("n") > LEAF), "class").select("class", "doc"), "crowd")
+    if not crowd.isEmpty():
+        subs = stored(subs.join(crowd.select("doc"), "doc"), "candidates")
+        links = links.unionByName(stored(_confirmed(subs.where(F.col("tree") < FIRST), texts, width, percent), "confirmed"))
+        labels = components(links)
+        met, rest = _apart(crowd.withColumn("tree", F.lit(0)), "class", labels)
+        rest = _several(subs.join(rest.select("doc"), "doc", "left_semi"), "sub", labels)
+        last = met.select(F.col("group").alias("sub"), "doc").unionByName(rest.select("sub", "doc"))
+        links = links.unionByName(stored(_confirmed(last, texts, width, percent), "confirmed"))
+    labels = components(links)
     named = classes.select(*key, "doc", "copies").join(labels.withColumnRenamed("id", "doc"), "doc", "left")
     named = named.withColumn("component", F.coalesce("component", "doc"))
     # only classes of several rows or with a link: the others' rows are their own component
