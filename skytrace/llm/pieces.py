@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from skytrace.llm.textbytes import slices
 
 MARK = "▁"
-KNOWN = 500_000  # words kept between blocks of a task
+KNOWN = 300_000  # words kept between blocks of a task
 PAIRS = 1_000_000  # pairs of pieces remembered in a task
 
 
@@ -243,7 +243,7 @@ def encoded(docs: DataFrame, model_path: str, keep: list[str]) -> DataFrame:
     def run(batches):
         coder = _coder(name, shared)
         for batch in batches:
-            for part in slices(batch, "text", 16 << 20):
+            for part in slices(batch, "text", 12 << 20):
                 ids = coder.encode(part.column("text").to_pylist())
                 counts = np.array([len(x) for x in ids], np.int64)
                 flat = np.concatenate([*ids, np.zeros(0, np.int32)])
