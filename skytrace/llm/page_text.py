@@ -8,15 +8,15 @@ are content. Of that, the parts that are no article by their kind go: menus, hea
 sidebars, notices, adverts, forms, scripts, styles and reader comments, by tag, role and name. If the
 page marks an article or main part with text, only that counts.
 
-All pages of a host take part in the counts, which a task adds up before they are shuffled; copies of the
-reference don't count as evidence. A hot host is a skewed equi-join with one row per host, which
-Spark splits, so no task sees a host whole.
+Each page is parsed and aligned once; its blocks are stored with their slots. All pages of a host take
+part in the counts, added up before they are shuffled; copies of the reference don't count as evidence. The
+references, a page per host, are broadcast if they measure up to ``BROADCAST`` bytes; beyond, the pages meet
+them in an equi-join that Spark splits where a host is hot. No task sees a host whole.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
 from html.parser import HTMLParser
 
 import numpy as np
@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from skytrace.llm.tasks import stored
 
 CONSTANT, PAGES = 0.9, 5
+BROADCAST = 32 << 20
 DEEPEST = 200  # blocks nested deeper become siblings there
 BLOCKS = set(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form "
@@ -51,18 +52,14 @@ ENDS = {  # a start of the first closes an open one of the second, up to one of
 
 
 class Node:
-    __slots__ = ("hidden", "kids", "label", "parts", "size", "tag", "template", "shape")
+    __slots__ = ("hidden", "kids", "label", "parts", "shape", "size", "tag", "text")
 
     def __init__(self, tag: str, label: str, hidden: bool):
         self.tag, self.label, self.hidden = tag, label, hidden
         self.kids: list[Node] = []
         self.parts: list[str] = []  # of a text run
-        self.template = False
         self.size = self.shape = 0
-
-    @property
-    def text(self) -> str:
-        return " ".join("".join(self.parts).split())
+        self.text = ""
 
 
 class _Builder(HTMLParser):
@@ -136,6 +133,8 @@ def parse(html: str) -> Node:
     for n in order:
         order.extend(n.kids)
     for n in reversed(order):
+        if n.parts:
+            n.text = " ".join("".join(n.parts).split())
         n.size = 1 + sum(k.size for k in n.kids)
         n.shape = hash((n.label, *(k.shape for k in n.kids)))
     return builder.root
@@ -211,22 +210,21 @@ def text_slots(root: Node) -> dict[int, int]:
     return found
 
 
-def content(root: Node) -> str:
-    """Text of the content blocks in page order, a line each."""
+def content(root: Node) -> list[Node]:
+    """Text runs that are content by their kind, in page order."""
     inside, outside = [], []
     stack = [(root, False)]
     while stack:
         n, article = stack.pop()
         if n.hidden:
             continue
-        if n.tag == "#text":
-            if not n.template and (text := n.text):
-                outside.append(text)
-                if article:
-                    inside.append(text)
+        if n.tag == "#text" and n.text:
+            outside.append(n)
+            if article:
+                inside.append(n)
         article = article or n.tag in ("article", "main")
         stack.extend((k, article) for k in reversed(n.kids))
-    return "\n".join(inside or outside)
+    return inside or outside
 
 
 class _References:
@@ -251,45 +249,29 @@ def _all_text(root: Node) -> tuple:
     return tuple(n.text for n in order if n.tag == "#text")
 
 
-def _evidence(batches):
+def _aligned(batches):
+    """Content blocks of each page, each with the reference's slot it aligns with (-1: none) and whether the text is the same."""
     seen = _References()
     for batch in batches:
-        total, same = Counter(), Counter()
+        out: list[tuple] = []
         for host, html, reference in zip(*(batch.column(c).to_pylist() for c in ("host", "html", "reference")), strict=True):
-            root, slots, own = seen.get(host, reference)
-            page = parse(html)
-            if _all_text(page) == own:
-                continue
-            for a, b in align(root, page):
-                if a.tag == "#text":
-                    key = (host, slots[id(a)])
-                    total[key] += 1
-                    same[key] += a.text == b.text
-        keys = list(total)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int32()), pa.array([total[k] for k in keys], pa.int64()), pa.array([same[k] for k in keys], pa.int64())],
-            ["host", "slot", "n", "same"],
-        )
-
-
-def _extracted(batches):
-    seen = _References()
-    for batch in batches:
-        texts = []
-        for host, html, reference, template in zip(*(batch.column(c).to_pylist() for c in ("host", "html", "reference", "template")), strict=True):
             page = parse(html or "")
-            if template:
-                root, slots, _ = seen.get(host, reference)
-                constant = set(template)
-                kept = {}
-                for a, b in align(root, page):
-                    if a.tag == "#text" and slots[id(a)] in constant and a.text == b.text:
-                        kept[id(b)] = b
-                for b in kept.values():
-                    b.template = True
-            texts.append(content(page))
-        n = pa.array([len(t) for t in texts], pa.int64())
-        yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), n], ["page_id", "url", "text", "n_chars"])
+            blocks = content(page)
+            slots, copy = {}, False
+            if reference is not None:
+                root, numbers, own = seen.get(host, reference)
+                copy = _all_text(page) == own
+                slots = {id(b): (numbers[id(a)], a.text == b.text) for a, b in align(root, page) if a.tag == "#text"}
+            found = [slots.get(id(b), (-1, False)) for b in blocks]
+            out.append(([b.text for b in blocks], [f[0] for f in found], [f[1] for f in found], copy))
+        kinds = [pa.list_(pa.string()), pa.list_(pa.int32()), pa.list_(pa.bool_()), pa.bool_()]
+        columns = [pa.array([o[i] for o in out], k) for i, k in enumerate(kinds)]
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("page_id", "url", "host")), *columns], ["page_id", "url", "host", "blocks", "slots", "same", "copy"])
+
+
+def _small(df: DataFrame, size) -> DataFrame:
+    """``df`` as a broadcast if its measured size is within ``BROADCAST`` bytes, else as it is."""
+    return F.broadcast(df) if (df.agg(F.sum(size)).first()[0] or 0) <= BROADCAST else df
 
 
 def main_text(pages: DataFrame) -> DataFrame:
@@ -307,9 +289,15 @@ def main_text(pages: DataFrame) -> DataFrame:
     firsts = firsts.where(F.col("pages") > PAGES).select("host", F.col("first.h").alias("h"))
     refs = usable.withColumn("h", mark).join(firsts, ["host", "h"]).groupBy("host").agg(F.min("html").alias("reference"))
     refs = stored(refs, "references")
-    counts = usable.select("host", "html").join(refs, "host").select("host", "html", "reference").mapInArrow(_evidence, "host string, slot int, n long, same long")
-    slots = counts.groupBy("host", "slot").agg(F.sum("n").alias("n"), F.sum("same").alias("same"))
-    constant = slots.where((F.col("n") >= PAGES) & (F.col("same") >= CONSTANT * F.col("n")))
-    wrappers = stored(constant.groupBy("host").agg(F.sort_array(F.collect_list("slot")).alias("template")).join(refs, "host"), "wrappers")
-    joined = rows.join(wrappers, "host", "left").select("page_id", "url", "html", "host", "reference", "template")
-    return joined.mapInArrow(_extracted, "page_id long, url string, text string, n_chars long")
+    joined = rows.join(_small(refs, F.octet_length("reference") + 64), "host", "left").select("page_id", "url", "host", "html", "reference")
+    schema = "page_id long, url string, host string, blocks array<string>, slots array<int>, same array<boolean>, copy boolean"
+    parsed = stored(joined.mapInArrow(_aligned, schema), "blocks", "zstd")
+    each = parsed.where("NOT copy").select("host", F.explode(F.arrays_zip("slots", "same")).alias("x")).where("x.slots >= 0")
+    counts = each.groupBy("host", F.col("x.slots").alias("slot")).agg(F.count("*").alias("n"), F.sum(F.col("x.same").cast("long")).alias("same"))
+    constant = counts.where((F.col("n") >= PAGES) & (F.col("same") >= CONSTANT * F.col("n")))
+    wrappers = stored(constant.groupBy("host").agg(F.collect_list("slot").alias("template")), "wrappers")
+    named = parsed.join(_small(wrappers, 4 * F.size("template") + 64), "host", "left")
+    standing = lambda x: x["same"] & F.array_contains(F.coalesce("template", F.array().cast("array<int>")), x["slots"])
+    kept = F.filter(F.arrays_zip("blocks", "slots", "same"), lambda x: ~standing(x))
+    text = F.array_join(F.transform(kept, lambda x: x["blocks"]), "\n")
+    return named.select("page_id", "url", text.alias("text")).select("*", F.length("text").cast("long").alias("n_chars"))
