@@ -10,7 +10,7 @@ from skytrace.operators.features import KEYS, MINUTE_MS, ORDER
 from skytrace.operators.ordered import (
     TARGET_ROWS, own_rows, piece_window, row_number_in_key, size_checked, spread, time_bucket,
 )
-from skytrace.session import cut_lineage
+from skytrace.session import cut_lineage, stored
 
 
 def training_rows(df: DataFrame, attack_rows: str = "labelled") -> DataFrame:
@@ -128,10 +128,12 @@ def undersample(
     The draw is the order of a seeded hash of the window's identity. Windows are counted
     per hash prefix; whole prefixes below the cut are kept where they are, and only the
     windows of the one prefix that holds the cut are ranked. So neither a class nor the
-    table is shuffled. Nothing is dropped when a class is absent.
+    table is shuffled. Nothing is dropped when a class is absent. The windows are computed once and
+    stored; the three steps read the stored table.
     """
     id_cols = id_cols or [*KEYS, "window_index"]
     drawn = windows.withColumn("_draw", _draw(seed, id_cols)).withColumn("_prefix", F.substring("_draw", 1, 4))
+    drawn = stored(drawn, "windows")
     # At most 65536 prefixes per class, whatever the table size.
     counts = cut_lineage(drawn.groupBy(label, "_prefix").agg(F.count(F.lit(1)).alias("_n")))
     sizes = counts.groupBy(label).agg(F.sum("_n").alias("_size"))

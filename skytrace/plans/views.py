@@ -136,9 +136,9 @@ def stored_predictions(df: DataFrame) -> DataFrame:
 
     For metrics that pass over them several times.
     """
-    from skytrace.session import cut_lineage
+    from skytrace.session import stored
 
-    return cut_lineage(predictions(df))
+    return stored(predictions(df), "predictions")
 
 
 def oracle(body: str, *, runs_view: bool = False, pred: bool = False, recursive: bool = False) -> str:

@@ -53,6 +53,13 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return os.path.join(shared_dir(spark), f"{label}-{uuid.uuid4().hex}")
 
 
+def stored(df, label: str):
+    """The rows as a Parquet table in the shared folder: computed once, later reads prune columns."""
+    path = scratch_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def cut_lineage(df):
     """Reliable checkpoint in the shared folder, so a lost executor costs no recompute chain."""
     spark = df.sparkSession
