@@ -24,7 +24,9 @@ HEADLINE = [
     # labelling and audit
     "label_rows", "audit_usable_rows", "audit_totals", "audit_class_extremes", "audit_shape_classes",
     # features and windows
-    "features_attitude", "features_gps", "features_hud", "causal_windows",
+    "features_attitude", "features_gps", "features_hud", "causal_windows", "undersampled_windows",
+    # import
+    "flight_table",
     # evaluation
     "confusion_matrix", "score_summary", "flight_hours", "run_metrics", "benign_rates",
     "attack_metrics", "worst_first_breakdown", "detection_delay", "threshold_sweep",

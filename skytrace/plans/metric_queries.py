@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from skytrace.operators import metrics, splits
+from skytrace.functions.scalars import primary
+from skytrace.operators import metrics, splits, windows
 from skytrace.plans.registry import query, r6, rounded
 from skytrace.plans.views import flight, predictions, runs, stored_predictions
 
@@ -34,6 +35,16 @@ def causal_windows(spark, d):
                                   "window_start_timestamp", "window_end_timestamp", "y_true")
 
 
+@query("W8", """
+SELECT run_id, drone_id, CAST((rn - 8) / 2 AS BIGINT) AS window_index, seq FROM (
+  SELECT *, ROW_NUMBER() OVER (PARTITION BY run_id, drone_id ORDER BY timestamp, seq) AS rn
+  FROM (SELECT * REPLACE (NULLIF(drone_id, 1) AS drone_id) FROM flight WHERE mav_packet_type = 'ATTITUDE') a) b WHERE rn >= 8 AND (rn - 8) % 2 = 0""")
+def windows_of_unknown_drones(spark, d):
+    rows = primary(flight(spark, d), "ATTITUDE").withColumn("drone_id", F.nullif(F.col("drone_id"), F.lit(1)))
+    return windows.causal_windows(rows, 8, 2, keep=["seq"]).select("run_id", "drone_id", "window_index", "seq")
+
+
+
 @query("A14 A15", f"SELECT run_id, tp, fp, fn, tn, {_PRF} FROM (SELECT run_id, {_CM} FROM pred GROUP BY run_id) x", pred=True)
 def confusion_matrix(spark, d):
     return rounded(metrics.prf(metrics.confusion(_pred(spark, d), T, ["run_id"])), "precision", "recall", "f1")

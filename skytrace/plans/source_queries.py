@@ -43,6 +43,26 @@ def flight_table(spark, d):
     return rows.select("run_name", "drone_id", "timestamp", "attack_type", "roll", "pitch")
 
 
+@query("S1", """
+SELECT run_name, CAST(drone_id AS INTEGER) AS drone_id, CAST(seq AS VARCHAR) AS seq, CASE WHEN run_label = 'benign' THEN COALESCE(CAST(fix_type AS VARCHAR), 'null') END AS fix_type,
+  CASE WHEN run_label <> 'benign' THEN mav_packet_type END AS mav_packet_type FROM flight""")
+def captures_with_other_headers(spark, d):
+    root, rows = scratch_path(spark, "capture"), bronze(spark, d)
+    hidden = ["run_id", "run_label", "run_attack"]
+    capture.write_capture(rows.filter("run_label = 'benign'").drop(*hidden, "mav_packet_type"), f"{root}/old")
+    capture.write_capture(rows.filter("run_label <> 'benign'").drop(*hidden, "fix_type"), f"{root}/new")
+    return capture.read_capture(spark, root).select("run_name", "drone_id", "seq", "fix_type", "mav_packet_type")
+
+
+@query("S3", """
+SELECT run_name, seq, CASE WHEN run_label = 'benign' THEN fix_type END AS fix_type, CASE WHEN run_label <> 'benign' THEN type END AS type FROM flight""")
+def imports_with_other_columns(spark, d):
+    out, rows = scratch_path(spark, "flight"), flight(spark, d).withColumn("drone_id", F.col("drone_id").cast("int"))
+    capture.to_flight(rows.filter("run_label = 'benign'").drop("type"), out)
+    capture.to_flight(rows.filter("run_label <> 'benign'").drop("fix_type"), out)
+    return capture.read_flight(spark, out).select("run_name", "seq", "fix_type", "type")
+
+
 @query("S6", "SELECT run_name, CASE WHEN run_label = 'benign' THEN 'skipped' ELSE 'built' END AS status FROM runs", runs=True)
 def conversion_skips_built_runs(spark, d):
     out = scratch_path(spark, "flight")
