@@ -17,7 +17,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skytrace.llm.sqltext import found, let, total
+from skytrace.llm.sqltext import found, total
 
 NEAR = 40
 ENOUGH = 0.5

@@ -78,10 +78,3 @@ def to_binary(rows: np.ndarray) -> pa.Array:
 def long_keys(values: np.ndarray) -> np.ndarray:
     """Unsigned hashes as Spark longs."""
     return values.astype(np.uint64).view(np.int64)
-
-
-def list_column(values: np.ndarray, at: np.ndarray, kind: pa.DataType) -> pa.Array:
-    """``values`` cut at the offsets ``at`` into a list column."""
-    return pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(values, kind))
-
-

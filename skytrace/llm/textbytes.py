@@ -89,7 +89,7 @@ def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, lower: boo
     while i < len(start):
         j = max(i + 1, int(np.searchsorted(end, start[i] + BLOCK, "right")))
         b, e = start[i:j] - start[i], end[i:j] - start[i]
-        total, scale = np.uint64(0), 1
+        total, scale = 0, 1
         for k in range(0, int(e[-1]), BLOCK):  # more than once only for a single span over a block
             part = data[start[i] + k : start[i] + min(k + BLOCK, int(e[-1]))]
             sums = np.zeros(len(part) + 1, np.uint64)
@@ -97,7 +97,7 @@ def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, lower: boo
             if j > i + 1 or e[-1] <= BLOCK:
                 out[i:j] = (sums[e] - sums[b]) * _INVERSE[b]
             else:
-                total += sums[-1] * np.uint64(scale)
+                total = (total + int(sums[-1]) * scale) % (1 << 64)
                 scale = scale * int(_POWER[BLOCK]) % (1 << 64)
                 out[i] = total
         i = j
