@@ -15,9 +15,10 @@ Scale and skew:
   the threshold make candidate classes; texts are read only for their members, and where a class has
   up to ``LEAF`` members each text once: all its pairs are intersected in one task.
 * A node over ``LEAF`` is dealt into blocks, each with the node's pivot, so a family of near copies
-  becomes one candidate class without its pairs being listed. It branches on while it holds others;
-  once at most ``OTHERS`` documents are outside its largest class, these meet the rest block by
-  block, and so does all that is left beyond ``DEPTH`` levels: no pair is given up for a node's size.
+  becomes one component without its pairs being listed. It branches on until its members are one
+  component of links confirmed on the texts; agreeing signatures alone don't end it. Once at most
+  ``OTHERS`` documents are outside its largest component, these meet the rest block by block, and so
+  does all that is left beyond ``DEPTH`` levels: no pair is given up for a node's size.
 * A class over ``LEAF`` is confirmed in the nodes of two trees. If its largest component then leaves at
   most ``OTHERS`` members out, these meet the rest block by block, otherwise the nodes of all trees
   that still hold several components are compared.
@@ -254,6 +255,7 @@ def _groups(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     nodes = nodes.groupBy("n", "members").agg(F.min(F.struct("tree", "node", "pivot")).alias("x")).select(
         "x.tree", "x.node", F.col("x.pivot.doc").alias("pivot"), "n"
     )
+    sizes = rows.groupBy("node").agg(F.count("*").alias("n")).where(F.col("n") > LEAF)
     inside = rows.drop("tree").join(nodes, "node")
     block = F.when(F.col("n") > LEAF, F.pmod(mixed, F.ceil(F.col("n") / LEAF))).otherwise(F.lit(0))
     group = lambda block: F.xxhash64("node", block).alias("group")
@@ -261,7 +263,14 @@ def _groups(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     members = inside.where((F.col("n") <= LEAF) | (F.col("doc") != F.col("pivot"))).select("tree", group(block.cast("long")), "doc")
     pivots = large.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("n") / LEAF) - 1)).alias("block"))
     pivots = pivots.select("tree", group(F.col("block")), F.col("pivot").alias("doc"))
-    return members.unionByName(pivots), inside.where(F.col("n") > LEAF).select("tree", "node", "doc")
+    # nodes of several trees with the same members branch on each by its own coordinates
+    return members.unionByName(pivots), rows.join(sizes, "node").select("tree", "node", "doc")
+
+
+def _once(rows: DataFrame) -> DataFrame:
+    """The rows of one of the nodes with the same members."""
+    nodes = rows.groupBy("node").agg(F.count("*").alias("n"), F.sum(F.xxhash64("doc").cast("decimal(38,0)")).alias("members"))
+    return rows.join(nodes.groupBy("n", "members").agg(F.min("node").alias("node")).select("node"), "node", "left_semi")
 
 
 def _in_blocks(rows: DataFrame, key: str) -> DataFrame:
@@ -274,9 +283,9 @@ def _in_blocks(rows: DataFrame, key: str) -> DataFrame:
 
 
 def _apart(rows: DataFrame, key: str, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Rows of groups with several classes, in two parts.
+    """Rows of groups with several components of confirmed links, in two parts.
 
-    First, as ``(tree, group, doc)``: where at most ``OTHERS`` rows are outside the largest class, blocks of the
+    First, as ``(tree, group, doc)``: where at most ``OTHERS`` rows are outside the largest component, blocks of the
     group with all of these. Second, as they are: the rows of the other groups.
     """
     named = rows.join(labels.withColumnRenamed("id", "doc"), "doc", "left").withColumn("part", F.coalesce("component", "doc"))
@@ -315,28 +324,31 @@ def near_duplicates(docs: DataFrame, width: int = 3, percent: int = 85, trees: i
     shared = full.join(shared, "doc_id").select("doc_id", *key).join(classes.select(*key, "doc"), key)
     links = stored(shared.select(F.col("doc_id").alias("u"), F.col("doc").alias("v")), "confirmed")
 
-    # candidate classes, by signatures alone
+    # candidate classes, by signatures; nodes over LEAF end at one component of links on the full sets
     groups, large = _groups(rows)
+    large = stored(large, "large")
     subs = stored(_candidates(groups, classes, percent), "candidates")
-    near = components(_stars(subs))
-    found = [subs]
+    texts = stored(everything.join(subs.select("doc").unionByName(large.select("doc")).distinct(), "doc", "left_semi"), "texts")
+    found, labels = [subs], components(links)
     for level in range(1, DEPTH + 1):
-        met, large = _apart(large, "node", near)
-        large = stored(large, "large")
-        found.append(stored(_candidates(met, classes, percent), "candidates"))
         if large.isEmpty():
             break
+        open_ = _several(found[-1].join(large.select("doc").distinct(), "doc", "left_semi"), "sub", labels)
+        links = links.unionByName(stored(_confirmed(open_, texts, width, percent), "confirmed"))
+        labels = components(links)
+        met, large = _apart(large, "node", labels)
+        large = stored(large, "large")
         if level < DEPTH:
-            rows = _branch(large.join(classes.select("doc", "signature"), "doc"), "node", percent)
-            groups, large = _groups(stored(rows, "nodes"))
+            rows = stored(_branch(large.join(classes.select("doc", "signature"), "doc"), "node", percent), "nodes")
+            groups, large = _groups(rows)
+            large = stored(large, "large")
         else:
-            groups, large = _in_blocks(large, "node"), None
-        found.append(stored(_candidates(groups, classes, percent), "candidates"))
-    if not all(x.isEmpty() for x in found[1:]):
+            groups = _in_blocks(_once(large), "node")
+        found.append(stored(_candidates(met.unionByName(groups), classes, percent), "candidates"))
+    if len(found) > 1:
         subs = stored(reduce(DataFrame.unionByName, found).groupBy("sub", "doc").agg(F.min("tree").alias("tree")), "candidates")
-        near = components(_stars(subs))
+    near = components(_stars(subs))
     near = stored(near.select(F.col("id").alias("doc"), F.col("component").alias("class")), "near")
-    texts = stored(everything.join(near.select("doc"), "doc", "left_semi"), "texts")
 
     # links, on the full sets
     sizes = near.groupBy("class").agg(F.count("*").alias("n"))
@@ -345,7 +357,8 @@ def near_duplicates(docs: DataFrame, width: int = 3, percent: int = 85, trees: i
     crowd = stored(near.join(sizes.where(F.col("n") > LEAF), "class").select("class", "doc"), "crowd")
     if not crowd.isEmpty():
         subs = stored(subs.join(crowd.select("doc"), "doc"), "candidates")
-        links = links.unionByName(stored(_confirmed(subs.where(F.col("tree") < FIRST), texts, width, percent), "confirmed"))
+        first = _several(subs.where(F.col("tree") < FIRST), "sub", labels)
+        links = links.unionByName(stored(_confirmed(first, texts, width, percent), "confirmed"))
         labels = components(links)
         met, rest = _apart(crowd.withColumn("tree", F.lit(0)), "class", labels)
         rest = _several(subs.join(rest.select("doc"), "doc", "left_semi"), "sub", labels)

@@ -77,3 +77,23 @@ def test_components_of_a_chain_and_a_star(spark):
     links = [(i, i + 1) for i in range(100, 160)] + [(7, i) for i in range(20, 60)] + [(5, 5), (None, 3)]
     got = dict(map(tuple, components(spark.createDataFrame(links, "u long, v long")).collect()))
     assert got == {i: 100 for i in range(100, 161)} | {i: 7 for i in [7, *range(20, 60)]}
+
+
+def template(rng, n, pairs):
+    """Texts of which any two share some 0.83 of their shingles, and a near copy of some of them."""
+    shared = [f"t{rng.randrange(500)}" for _ in range(110)]
+    texts = [" ".join(shared + [f"u{rng.randrange(10**6)}" for _ in range(11)]) for _ in range(n)]
+    return texts + [t.replace(t.split()[-1], "other") for t in texts[:pairs]]
+
+
+@pytest.mark.parametrize("others", [0, 2])
+def test_linked_pairs_in_a_template(spark, monkeypatch, others):
+    monkeypatch.setattr(near_dedup, "LEAF", 8)
+    monkeypatch.setattr(near_dedup, "OTHERS", others)
+    monkeypatch.setattr(near_dedup, "DEPTH", 1)
+    rng = random.Random(5)
+    texts = [*template(rng, 120, 40), *family(rng, 9, 60, 3)]
+    rng.shuffle(texts)
+    rows = list(enumerate(texts))
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r["doc_id"], r["n_shingles"], r["component_id"]) for r in got} == brute(rows, 3, 85)
