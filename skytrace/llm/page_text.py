@@ -3,20 +3,21 @@
 A page becomes a tree of blocks with its text runs as leaves. Each host has one reference page, the
 first by hash. Simple tree matching aligns every page of the host with it: ordered, label by label, the
 largest number of matching nodes. A text slot of the reference whose aligned text is the same on
-``CONSTANT`` of at least ``PAGES`` other pages is template; varying slots and what the reference lacks
+``CONSTANT`` of at least ``PAGES`` other articles is template; varying slots and what the reference lacks
 are content. Of that, the parts that are no article by their kind go: menus, headers, footers,
 sidebars, notices, adverts, forms, scripts, styles and reader comments, by tag, role and name. If the
 page marks an article or main part with text, only that counts.
 
-Each page is parsed and aligned once; its blocks are stored with their slots. All pages of a host take
-part in the counts, added up before they are shuffled; copies of the reference don't count as evidence. The
-references, a page per host, are broadcast if they measure up to ``BROADCAST`` bytes; beyond, the pages meet
+Each page is parsed and aligned once; its blocks are stored with their slots. Pages with the
+same content blocks are one article, whatever their menus and adverts: each article counts once, and the
+reference's own doesn't count as evidence. The references, a page per host, are broadcast if they measure up to ``BROADCAST`` bytes; beyond, the pages meet
 them in an equi-join that Spark splits where a host is hot. No task sees a host whole.
 """
 
 from __future__ import annotations
 
 import re
+from hashlib import blake2b
 from html.parser import HTMLParser
 
 import numpy as np
@@ -231,22 +232,19 @@ class _References:
     """Parsed references of the hosts met last."""
 
     def __init__(self):
-        self.held: dict[str, tuple[Node, dict[int, int], tuple]] = {}
+        self.held: dict[str, tuple[Node, dict[int, int], bytes]] = {}
 
-    def get(self, host: str, html: str) -> tuple[Node, dict[int, int], tuple]:
+    def get(self, host: str, html: str) -> tuple[Node, dict[int, int], bytes]:
         if host not in self.held:
             if len(self.held) >= 64:
                 self.held.pop(next(iter(self.held)))
             root = parse(html)
-            self.held[host] = root, text_slots(root), _all_text(root)
+            self.held[host] = root, text_slots(root), _article(content(root))
         return self.held[host]
 
 
-def _all_text(root: Node) -> tuple:
-    order = [root]
-    for n in order:
-        order.extend(n.kids)
-    return tuple(n.text for n in order if n.tag == "#text")
+def _article(blocks: list[Node]) -> bytes:
+    return blake2b("\n".join(b.text for b in blocks).encode("utf-8", "surrogatepass"), digest_size=16).digest()
 
 
 def _aligned(batches):
@@ -257,16 +255,16 @@ def _aligned(batches):
         for host, html, reference in zip(*(batch.column(c).to_pylist() for c in ("host", "html", "reference")), strict=True):
             page = parse(html or "")
             blocks = content(page)
-            slots, copy = {}, False
+            slots, article, copy = {}, _article(blocks), False
             if reference is not None:
                 root, numbers, own = seen.get(host, reference)
-                copy = _all_text(page) == own
+                copy = article == own
                 slots = {id(b): (numbers[id(a)], a.text == b.text) for a, b in align(root, page) if a.tag == "#text"}
             found = [slots.get(id(b), (-1, False)) for b in blocks]
-            out.append(([b.text for b in blocks], [f[0] for f in found], [f[1] for f in found], copy))
-        kinds = [pa.list_(pa.string()), pa.list_(pa.int32()), pa.list_(pa.bool_()), pa.bool_()]
+            out.append(([b.text for b in blocks], [f[0] for f in found], [f[1] for f in found], article, copy))
+        kinds = [pa.list_(pa.string()), pa.list_(pa.int32()), pa.list_(pa.bool_()), pa.binary(), pa.bool_()]
         columns = [pa.array([o[i] for o in out], k) for i, k in enumerate(kinds)]
-        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("page_id", "url", "host")), *columns], ["page_id", "url", "host", "blocks", "slots", "same", "copy"])
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("page_id", "url", "host")), *columns], ["page_id", "url", "host", "blocks", "slots", "same", "article", "copy"])
 
 
 def _small(df: DataFrame, size) -> DataFrame:
@@ -290,10 +288,12 @@ def main_text(pages: DataFrame) -> DataFrame:
     refs = usable.withColumn("h", mark).join(firsts, ["host", "h"]).groupBy("host").agg(F.min("html").alias("reference"))
     refs = stored(refs, "references")
     joined = rows.join(_small(refs, F.octet_length("reference") + 64), "host", "left").select("page_id", "url", "host", "html", "reference")
-    schema = "page_id long, url string, host string, blocks array<string>, slots array<int>, same array<boolean>, copy boolean"
+    schema = "page_id long, url string, host string, blocks array<string>, slots array<int>, same array<boolean>, article binary, copy boolean"
     parsed = stored(joined.mapInArrow(_aligned, schema), "blocks", "zstd")
-    each = parsed.where("NOT copy").select("host", F.explode(F.arrays_zip("slots", "same")).alias("x")).where("x.slots >= 0")
-    counts = each.groupBy("host", F.col("x.slots").alias("slot")).agg(F.count("*").alias("n"), F.sum(F.col("x.same").cast("long")).alias("same"))
+    articles = parsed.where("NOT copy").groupBy("host", "article").agg(F.min(F.struct("slots", "same")).alias("x"))
+    articles = articles.select("host", "x.*")
+    each = articles.select("host", F.explode(F.arrays_zip("slots", "same")).alias("x")).where("x.slots >= 0").select("host", "x.*")
+    counts = each.groupBy("host", F.col("slots").alias("slot")).agg(F.count("*").alias("n"), F.sum(F.col("same").cast("long")).alias("same"))
     constant = counts.where((F.col("n") >= PAGES) & (F.col("same") >= CONSTANT * F.col("n")))
     wrappers = stored(constant.groupBy("host").agg(F.collect_list("slot").alias("template")), "wrappers")
     named = parsed.join(_small(wrappers, 4 * F.size("template") + 64), "host", "left")

@@ -34,6 +34,17 @@ def test_page_text(spark):
     assert page_text.main_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_same_article_with_other_menus(spark):
+    page = lambda menu, body: f"<html><body><nav>{menu}</nav><article>{body}<p>Terms apply</p></article></body></html>"
+    own = "<p>First part</p><p>Second part</p>"
+    rows = [(i, f"http://one.org/{i}", page(f"menu {i}", own)) for i in range(30)]
+    rows += [(30 + i, f"http://two.org/{i}", page("menu", f"<p>story {i}</p><p>more {i}</p>")) for i in range(12)]
+    got = page_text.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    found = {r["page_id"]: r["text"] for r in got}
+    assert {found[i] for i in range(30)} == {"First part\nSecond part\nTerms apply"}
+    assert all(found[30 + i] == f"story {i}\nmore {i}" for i in range(12))
+
+
 def test_tree_matching_is_the_largest():
     a = page_text.parse("<ul><li>a</li><li>b<p>c</p></li></ul><p>x</p>")
     b = page_text.parse("<p>n</p><ul><li>b<p>d</p></li></ul><p>x</p><p>y</p>")
