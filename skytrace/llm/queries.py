@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from skytrace.llm import (
     additive,
+    lexical,
+    merkle,
     mixing,
     near_dedup,
     neighbours,
@@ -17,6 +19,7 @@ from skytrace.llm import (
     pieces,
     quality_rules,
     toxicity,
+    weighted_sampling,
 )
 
 
@@ -73,6 +76,18 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixture(table(spark, sf_dir, "documents"))
 
 
+def op11_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return weighted_sampling.with_edits(table(spark, sf_dir, "documents"))
+
+
+def op12_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.verified(table(spark, sf_dir, "documents"))
+
+
+def op13_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_near_dedup": (op1_near_dedup, None),
     "op2_page_text": (op2_page_text, None),
@@ -84,4 +99,7 @@ QUERIES = {
     "op8_packing": (op8_packing, None),
     "op9_personal_data": (op9_personal_data, personal_data.OP9_SQL),
     "op10_mixing": (op10_mixing, mixing.OP10_SQL),
+    "op11_fingerprints": (op11_fingerprints, None),
+    "op12_manifest": (op12_manifest, merkle.OP12_SQL),
+    "op13_search": (op13_search, lexical.OP13_SQL),
 }

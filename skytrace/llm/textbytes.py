@@ -52,12 +52,15 @@ def slices(batch: pa.RecordBatch, column: str, size: int = 4 * BLOCK) -> Iterato
         begin = end
 
 
-def word_spans(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Begin and end of each word, and the index of the first word of each text (one more at the end)."""
+def word_spans(data: np.ndarray, at: np.ndarray, breaks: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Begin and end of each word, and the index of the first word of each text (one more at the end).
+
+    ``breaks`` says for each byte value whether it ends a word.
+    """
     if not len(data):
         none = np.zeros(0, np.int64)
         return none, none, np.zeros(len(at), np.int64)
-    inside = ~_SPACE[data]
+    inside = ~breaks[data]
     full = at[:-1][at[1:] > at[:-1]]
     begins = inside.copy()
     begins[1:] &= ~inside[:-1]
