@@ -28,12 +28,22 @@ from skytrace.session import shuffle_partitions
 
 SIZE = 64  # samples of a fingerprint, 32 bits each
 PER_RANGE = 64  # sampled keys for each range's bounds
-_BLOCK = 2048
+_BLOCK = 1024
 _EDGE = np.uint64(0x2545F4914F6CDD1D)
 _LAST = (1 << 63) - 1
 _FACTORS = np.random.default_rng(11).integers(0, 1 << 63, SIZE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
+def _gamma_quantiles(bits: int) -> np.ndarray:
+    """Gamma(2, 1) at the middles of ``2 ** bits`` equal parts of probability: ``1 - (1 + x) exp(-x)`` inverted on a fine grid."""
+    x = np.concatenate((np.geomspace(1e-6, 1e-2, 20_000), np.linspace(0.01, 25, 500_000)[1:]))
+    below = np.where(x < 1e-3, x * x / 2 - x**3 / 3, 1 - (1 + x) * np.exp(-x))
+    return np.interp((np.arange(1 << bits) + 0.5) / (1 << bits), below, x)
+
+
+_LOG_GAMMA = np.log(_gamma_quantiles(16)).astype(np.float32)
+
+
 def pairs(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Hash of every adjacent pair of words, ends included, and the index of each text's first (one more at the end)."""
     words, first = word_hashes(texts)
@@ -56,56 +66,76 @@ def bags(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return text[at], found[at], np.diff(np.append(at, len(found)))
 
 
-def _unit(bits: np.ndarray, count: int) -> np.ndarray:
-    """Integers of ``count`` bits as numbers inside (0, 1)."""
-    return (bits.astype(np.float32) + np.float32(0.5)) * np.float32(2.0**-count)
-
-
-def draws(terms: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """``r``, ``ln c`` and ``b`` of each sample (rows) and term (columns)."""
-    one = terms[None, :] * _FACTORS[:, None]
-    one ^= one >> np.uint64(32)
-    one *= np.uint64(0x9E3779B97F4A7C15)
-    one ^= one >> np.uint64(29)
-    two = one * np.uint64(0xBF58476D1CE4E5B9)
-    two ^= two >> np.uint64(32)
-    shape = (*one.shape, 2)
-    halves, others = one.view(np.uint32).reshape(shape), two.view(np.uint32).reshape(shape)
-    r = _unit(halves[..., 0] >> 8, 24)
-    r *= _unit(halves[..., 1] >> 8, 24)
-    r = -np.log(r)
-    # the second word: 21 bits for each factor of c, 22 for b
-    c = _unit(others[..., 0] >> 11, 21)
-    c *= _unit(others[..., 1] >> 11, 21)
-    c = np.log(-np.log(c))
-    b = (((others[..., 0] & 0x7FF) << 11) | (others[..., 1] & 0x7FF)).astype(np.float32) * np.float32(2.0**-22)
-    return r, c, b
-
-
-def samples(terms: np.ndarray, weights: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """The samples of bags ``terms[begin[i]:end[i]]``, a row each; ``begin`` and ``end`` ascend. No term gives all ones."""
-    best = np.full((len(begin), SIZE), np.inf, np.float32)
-    term, time = np.zeros((len(begin), SIZE), np.uint64), np.zeros((len(begin), SIZE), np.float32)
-    line = np.arange(SIZE)
+class Draws:
+    """``r``, ``ln c`` and ``b`` of each sample (rows) and term (columns), in arrays that the next call overwrites."""
+
+    def __init__(self):
+        self.words = np.empty((3, SIZE, _BLOCK), np.uint64)
+        self.numbers = np.empty((3, SIZE, _BLOCK), np.float32)
+
+    def __call__(self, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        n = len(terms)
+        word, part, other = (w.reshape(-1)[: SIZE * n].reshape(SIZE, n) for w in self.words)
+        r, c, b = (x.reshape(-1)[: SIZE * n].reshape(SIZE, n) for x in self.numbers)
+        np.multiply(terms[None, :], _FACTORS[:, None], out=word)
+        for shift, factor in ((32, 0x9E3779B97F4A7C15), (29, 0xBF58476D1CE4E5B9)):
+            word ^= np.right_shift(word, np.uint64(shift), out=part)
+            word *= np.uint64(factor)
+        # r: -ln of the product of two uniforms of 24 bits is Gamma(2, 1)
+        np.bitwise_or(np.right_shift(word, np.uint64(40), out=part), np.uint64(1), out=part)
+        np.bitwise_or(np.bitwise_and(word, np.uint64(0xFFFFFF), out=other), np.uint64(1), out=other)
+        part *= other
+        np.copyto(r, part.view(np.int64), casting="unsafe")
+        r *= np.float32(2.0**-48)
+        np.negative(np.log(r, out=r), out=r)
+        # c: by quantile of the 16 bits between; b: 16 bits of a further product
+        np.bitwise_and(np.right_shift(word, np.uint64(24), out=part), np.uint64(0xFFFF), out=part)
+        np.take(_LOG_GAMMA, part.view(np.int64), out=c, mode="clip")
+        word *= np.uint64(0x94D049BB133111EB)
+        np.copyto(b, np.right_shift(word, np.uint64(48), out=part).view(np.int64), casting="unsafe")
+        b *= np.float32(2.0**-16)
+        return r, c, b
+
+
+def samples(terms: np.ndarray, weights: np.ndarray, *bags: tuple[np.ndarray, np.ndarray]) -> list[np.ndarray]:
+    """For each ``(begin, end)`` the samples of the bags ``terms[begin[i]:end[i]]``, a row each; bounds ascend.
+
+    A bag without terms has all ones.
+    """
+    best = [np.full((len(begin), SIZE), np.inf, np.float32) for begin, _ in bags]
+    term = [np.zeros((len(begin), SIZE), np.uint64) for begin, _ in bags]
+    time = [np.zeros((len(begin), SIZE), np.int64) for begin, _ in bags]
+    line, draws = np.arange(SIZE), Draws()
     log_weight = np.log(weights).astype(np.float32)
     for at in range(0, len(terms), _BLOCK):
         to = min(at + _BLOCK, len(terms))
         r, c, b = draws(terms[at:to])
-        t = np.floor(log_weight[at:to] / r + b)
-        a = c - r * (t + np.float32(1) - b)
-        for i in range(int(np.searchsorted(end, at, "right")), int(np.searchsorted(begin, to, "left"))):
-            low, high = max(int(begin[i]), at) - at, min(int(end[i]), to) - at
-            if low >= high:
-                continue
-            k = a[:, low:high].argmin(1) + low
-            value = a[line, k]
-            better = value < best[i]
-            best[i] = np.where(better, value, best[i])
-            term[i] = np.where(better, terms[at + k], term[i])
-            time[i] = np.where(better, t[line, k], time[i])
-    chosen = (mix(term + time.astype(np.int64).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)).astype(np.uint32)
-    chosen[begin >= end] = np.iinfo(np.uint32).max
-    return chosen
+        several = np.flatnonzero(weights[at:to] != 1)  # t is 0 for the others
+        t = np.floor(log_weight[at:to][several] / r[:, several] + b[:, several])
+        times = np.full(to - at, -1)
+        times[several] = np.arange(len(several))
+        b -= np.float32(1)
+        b[:, several] -= t
+        b *= r
+        c += b
+        for k, (begin, end) in enumerate(bags):
+            for i in range(int(np.searchsorted(end, at, "right")), int(np.searchsorted(begin, to, "left"))):
+                low, high = max(int(begin[i]), at) - at, min(int(end[i]), to) - at
+                if low >= high:
+                    continue
+                j = c[:, low:high].argmin(1)
+                j += low
+                value = c[line, j]
+                better = np.flatnonzero(value < best[k][i])
+                j = j[better]
+                best[k][i, better], term[k][i, better] = value[better], terms[at + j]
+                time[k][i, better] = np.where(times[j] < 0, 0, t[better, times[j]]) if len(several) else 0
+    out = []
+    for (begin, end), x, y in zip(bags, term, time, strict=True):
+        found = (mix(x + y.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)).astype(np.uint32)
+        found[begin >= end] = np.iinfo(np.uint32).max
+        out.append(found)
+    return out
 
 
 def _starts(text: np.ndarray, n: int) -> np.ndarray:
@@ -116,7 +146,7 @@ def of_texts(texts: pa.Array) -> np.ndarray:
     """Samples of each text, a row each."""
     text, term, weight = bags(texts)
     at = _starts(text, len(texts))
-    return samples(term, weight, at[:-1], at[1:])
+    return samples(term, weight, (at[:-1], at[1:]))[0]
 
 
 def of_texts_and_edits(texts: list[str], edited: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -135,7 +165,7 @@ def of_texts_and_edits(texts: list[str], edited: list[str]) -> tuple[np.ndarray,
     n = len(texts)
     count = np.bincount(text * 3 + side, minlength=3 * n).reshape(n, 3)
     first = _starts(text, n)[:-1]
-    return samples(term, weight, first, first + count[:, 0] + count[:, 1]), samples(term, weight, first + count[:, 0], first + count.sum(1))
+    return tuple(samples(term, weight, (first, first + count[:, 0] + count[:, 1]), (first + count[:, 0], first + count.sum(1))))
 
 
 def _hex(rows: np.ndarray) -> list[str]:

@@ -24,7 +24,7 @@ def test_samples_equal_a_plain_loop():
             assert set(row.tolist()) == {2**32 - 1}
             continue
         terms = np.array(sorted(bag), np.uint64)
-        r, c, b = weighted_sampling.draws(terms)
+        r, c, b = weighted_sampling.Draws()(terms)
         for d in range(0, weighted_sampling.SIZE, 9):
             best = None
             for i, term in enumerate(terms.tolist()):
@@ -36,7 +36,9 @@ def test_samples_equal_a_plain_loop():
 
 
 def test_draws_have_their_distributions():
-    r, c, b = weighted_sampling.draws(np.arange(1, 4001, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    terms = np.arange(1, 100_001, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    take = weighted_sampling.Draws()
+    r, c, b = (np.concatenate(x, 1) for x in zip(*([y.copy() for y in take(terms[i : i + 500])] for i in range(0, 4000, 500)), strict=True))
     assert abs(r.mean() - 2) < 0.02 and abs(r.var() - 2) < 0.1
     assert abs(np.exp(c).mean() - 2) < 0.02 and abs(b.mean() - 0.5) < 0.005
     assert abs(np.corrcoef(r.ravel(), np.exp(c).ravel())[0, 1]) < 0.01
@@ -49,7 +51,7 @@ def test_collisions_estimate_weighted_jaccard():
         terms = np.sort(rng.integers(1, 1 << 62, 60, dtype=np.uint64))
         one = rng.integers(1, 9, 60).astype(float)
         two = np.maximum(1, np.where(rng.random(60) < 0.5, one, rng.integers(1, 30, 60)))
-        found = [weighted_sampling.samples(terms, w, np.array([0]), np.array([60]))[0] for w in (one, two)]
+        found = [weighted_sampling.samples(terms, w, (np.array([0]), np.array([60])))[0][0] for w in (one, two)]
         shares.append((found[0] == found[1]).mean())
         wanted.append(np.minimum(one, two).sum() / np.maximum(one, two).sum())
     assert abs(np.mean(shares) - np.mean(wanted)) < 0.02
