@@ -186,7 +186,11 @@ def _changes(batch: pa.RecordBatch, group: list[str], last: list | None) -> np.n
     first[1:] = False
     for c in group:
         col = batch.column(c)
-        first[1:] |= pc.not_equal(col.slice(1), col.slice(0, len(col) - 1)).to_numpy(zero_copy_only=False)
+        after, before = col.slice(1), col.slice(0, len(col) - 1)
+        # NULL keys are a series of their own
+        differ = pc.fill_null(pc.not_equal(after, before), False)
+        differ = pc.or_(differ, pc.xor(pc.is_null(after), pc.is_null(before)))
+        first[1:] |= differ.to_numpy(zero_copy_only=False)
     if last is not None:
         first[0] = [batch.column(c)[0].as_py() for c in group] != last
     return first

@@ -161,8 +161,7 @@ def _feature_sql(kind: str) -> str:
     return "WITH " + ",\n".join([base, l1, l2, l3, l4, l5, l6]) + f"\nSELECT seq, {body} FROM u"
 
 
-def _engineered(spark, d, kind):
-    f = flight(spark, d)
+def _engineered(f, kind):
     out = features.engineer(f, kind)
     names = features.feature_names(kind)
     # Negative zero prints like zero but is another value; adding zero evens it out.
@@ -171,17 +170,23 @@ def _engineered(spark, d, kind):
 
 @query("W20 W1 W2 W3 W4 W5 W6 W7 P30", _feature_sql("ATTITUDE"))
 def features_attitude(spark, d):
-    return _engineered(spark, d, "ATTITUDE")
+    return _engineered(flight(spark, d), "ATTITUDE")
 
 
 @query("W20", _feature_sql("GPS_RAW_INT"))
 def features_gps(spark, d):
-    return _engineered(spark, d, "GPS_RAW_INT")
+    return _engineered(flight(spark, d), "GPS_RAW_INT")
 
 
 @query("W20", _feature_sql("VFR_HUD"))
 def features_hud(spark, d):
-    return _engineered(spark, d, "VFR_HUD")
+    return _engineered(flight(spark, d), "VFR_HUD")
+
+
+@query("W20", _feature_sql("VFR_HUD").replace("FROM flight WHERE", "FROM (SELECT * REPLACE (CASE WHEN drone_id % 3 > 0 THEN drone_id END AS drone_id) FROM flight) f WHERE"))
+def features_of_unknown_drones(spark, d):
+    f = flight(spark, d)
+    return _engineered(f.withColumn("drone_id", F.when(F.col("drone_id") % 3 > 0, F.col("drone_id"))), "VFR_HUD")
 
 
 # --- windows ------------------------------------------------------------------------
