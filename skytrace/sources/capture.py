@@ -4,25 +4,41 @@ from __future__ import annotations
 
 import csv
 import re
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from py4j.protocol import Py4JJavaError
-from pyspark.errors import AnalysisException, PySparkException
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.errors import PySparkException
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
 from skytrace import fixed_values as fixed
 from skytrace.functions import scalars as S
 from skytrace.operators.labeling import with_constant_label
-from skytrace.session import cut_lineage
+from skytrace.session import cut_lineage, stored
+from skytrace.sources.table_log import TableLog
 
 PATH = "_path"
 
 
+@contextmanager
+def _listing(spark: SparkSession) -> Iterator[None]:
+    """Many folders are listed by a few tasks a core, instead of one task a folder."""
+    name = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(min(int(before), 4 * spark.sparkContext.defaultParallelism)))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def _files(spark: SparkSession, root: str, glob: str) -> DataFrame:
     """Paths, sizes and times only: the content column is pruned, so nothing is read."""
-    return (
-        spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", glob).load(root).select("path", "length", "modificationTime")
-    )
+    with _listing(spark):
+        return (
+            spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+            .option("pathGlobFilter", glob).load(root).select("path", "length", "modificationTime")
+        )
 
 
 def run_of(path: Column | str) -> Column:
@@ -37,36 +53,59 @@ def with_drone_id(df: DataFrame, layout: str = "capture", path: str = PATH) -> D
     return df.withColumn("drone_id", F.regexp_extract(path, pattern, 1).try_cast("int"))
 
 
-def _csv(spark: SparkSession, root: str, glob: str | None = None) -> DataFrame:
-    """All-string CSV with header, files united by column name; columns a file lacks are NULL."""
-    found = {"recursiveFileLookup": "true", "pathGlobFilter": glob} if glob else {}
-    raw = spark.read.options(**found).text(root).filter("value <> ''")
-    lines = raw.select("value", F.col("_metadata.file_path").alias(PATH), F.col("_metadata.file_block_start").alias("_start"))
-    first = lines.filter("_start = 0").withColumn("_at", F.monotonically_increasing_id())
-    headers = cut_lineage(first.groupBy(PATH).agg(F.min_by("value", "_at").alias("_header")))
+def landed(spark: SparkSession, roots: str | list[str], glob: str = "*.csv") -> DataFrame:
+    """The lines of all files below ``roots``, read once and stored in the shared folder.
+
+    Headers, counts and cells come from this table, so the text itself is scanned a single time. Columns: value,
+    the file's path, the line's place ``_at`` in its block, and whether the block is the file's first.
+    """
+    with _listing(spark):
+        raw = spark.read.options(recursiveFileLookup="true", pathGlobFilter=glob).text(roots)
+    lines = raw.filter("value <> ''").select(
+        "value", F.col("_metadata.file_path").alias(PATH),
+        (F.col("_metadata.file_block_start") == 0).alias("_first"), F.monotonically_increasing_id().alias("_at"),
+    )
+    return stored(lines, "landed")
+
+
+def _parsed(lines: DataFrame) -> DataFrame:
+    """Cells of landed lines as text, files united by column name; columns a file lacks are NULL."""
+    headers = lines.filter("_first").groupBy(PATH).agg(F.min_by("value", "_at").alias("_header"))
+    headers = cut_lineage(headers)  # a row a file
     # Headers differ by message type and dialect version, so there are few whatever the number of files.
     known = sorted(r[0] for r in headers.select("_header").distinct().collect())
-    if len(known) <= 1:
-        reader = spark.read.options(header="true", inferSchema="false", enforceSchema="false", **found)
-        return reader.csv(root).withColumn(PATH, F.col("_metadata.file_path"))
+    if not known:
+        return lines.select(PATH)
     names = [next(csv.reader([h])) for h in known]
     union = list(dict.fromkeys(c for n in names for c in n))
-    cells = [f"c{i}" for i in range(max(map(len, names)))]
-    rows = lines.join(headers, PATH).filter(F.col("value") != F.col("_header"))
-    header = F.array_position(F.array(*[F.lit(h) for h in known]), F.col("_header")).cast("int") - 1
-    parsed = rows.select(PATH, header.alias("_which"), F.from_csv("value", ", ".join(f"{c} string" for c in cells)).alias("_row"))
-    parsed = parsed.select(PATH, "_which", F.array(*[F.col("_row")[c] for c in cells]).alias("_cells"))
-    place = lambda c: F.array(*[F.lit(n.index(c) if c in n else None).cast("int") for n in names])
+    cells = ", ".join(f"c{i} string" for i in range(max(map(len, names))))
+    rows = lines
+    which = F.lit(0)
+    if len(known) > 1:
+        rows = lines.join(headers, PATH)
+        which = F.array_position(F.array(*[F.lit(h) for h in known]), F.col("_header")).cast("int") - 1
+    rows = rows.filter(F.col("value") != (F.col("_header") if len(known) > 1 else F.lit(known[0])))
+    parsed = rows.select(PATH, which.alias("_which"), F.from_csv("value", cells).alias("_row"))
+    if len(known) == 1:
+        return parsed.select(*[F.col("_row")[f"c{i}"].alias(c) for i, c in enumerate(names[0])], PATH)
+    parsed = parsed.select(PATH, "_which", F.array(*[F.col("_row")[f"c{i}"] for i in range(max(map(len, names)))]).alias("_cells"))
+    place = lambda c: F.array(*[F.lit(n.index(c) if c in n else None).cast("int") for n in names])
     return parsed.select(*[F.get("_cells", F.get(place(c), F.col("_which"))).alias(c) for c in union], PATH)
 
 
+def _captured(lines: DataFrame) -> DataFrame:
+    """Landed lines of drone files only, with the run's name and the drone's number."""
+    named = with_drone_id(lines.withColumn("run_name", run_of(PATH)))
+    return named.filter(F.col("drone_id").isNotNull())
+
+
 def read_capture(spark: SparkSession, root: str) -> DataFrame:
     """Capture rows of all runs under ``root``, with run name, file name and drone number.
 
     Only files of a drone count; other CSV files beside them are left alone.
     """
-    rows = with_drone_id(_csv(spark, root, "*.csv")).filter(F.col("drone_id").isNotNull())
-    return rows.withColumn("run_name", run_of(PATH)).withColumnRenamed(PATH, "filename")
+    rows = _parsed(_captured(landed(spark, root)).drop("run_name", "drone_id"))
+    return with_drone_id(rows).withColumn("run_name", run_of(PATH)).withColumnRenamed(PATH, "filename")
 
 
 def write_capture(df: DataFrame, root: str) -> None:
@@ -93,18 +132,23 @@ def write_capture(df: DataFrame, root: str) -> None:
 LAYOUT = ["run_name", "mav_packet_type", "drone_id"]
 
 
-def write_flight(df: DataFrame, out: str, force: bool = False, clock: str = "timestamp") -> None:
-    """Parquet by run and message type, sorted by drone and clock, ZSTD level 1.
+def write_flight(df: DataFrame, out: str, force: bool = False, clock: str = "timestamp") -> int:
+    """Parquet by run and message type, sorted by drone and clock, ZSTD level 1; returns the rows written.
 
     Range partitioning includes the clock, so a run or drone of any size spreads over
     many tasks while each file still covers few drones and its statistics stay tight.
-    Readers see a run only after the job commits.
+    Readers see a run only after the job commits. The write counts its own rows, and the table's log
+    gets the columns; a column of another type than the table's is an error before anything is written.
     """
+    log = TableLog(df.sparkSession, out)
+    log.check(df.schema)
     clock_order = [c for c in (clock,) if c in df.columns]
     # The clock is text here; ordering must follow its number.
     sort = [*[F.col(c) for c in LAYOUT], *[F.col(c).try_cast("double") for c in clock_order]]
+    seen = Observation()
+    # Observed above the exchange, which the sampling job doesn't run.
     writer = (
-        df.repartitionByRange(*sort).sortWithinPartitions(*sort)
+        df.repartitionByRange(*sort).sortWithinPartitions(*sort).observe(seen, F.count(F.lit(1)).alias("rows"))
         .write.partitionBy("run_name", "mav_packet_type")
         .option("compression", "zstd").option("parquet.compression.codec.zstd.level", "1")
     )
@@ -112,14 +156,18 @@ def write_flight(df: DataFrame, out: str, force: bool = False, clock: str = "tim
         writer.option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(out)
     else:
         writer.mode("append").parquet(out)
+    rows = seen.get["rows"]
+    log.commit(df.schema, rows)
+    return rows
 
 
 def built_runs(spark: SparkSession, out: str) -> DataFrame:
     """Runs the flight table already holds; none when it does not exist yet."""
-    try:
-        return spark.read.parquet(out).select("run_name").distinct()
-    except AnalysisException:
+    if not TableLog(spark, out).has_table():
         return spark.createDataFrame([], "run_name string")
+    with _listing(spark):
+        # stated, so that no file is opened to infer it
+        return spark.read.schema("run_name string, mav_packet_type string").parquet(out).select("run_name").distinct()
 
 
 def to_flight(df: DataFrame, out: str, force: bool = False) -> DataFrame:
@@ -127,11 +175,11 @@ def to_flight(df: DataFrame, out: str, force: bool = False) -> DataFrame:
 
     Returns ``(run_name, status)`` with status ``built`` or ``skipped``.
     """
-    runs = df.select("run_name").distinct()
+    # Fixed before the write, which changes what the table holds; one narrow pass, so that reading it costs none.
+    runs = cut_lineage(df.select("run_name").distinct())
     if force:
         write_flight(df, out, force=True)
         return runs.withColumn("status", F.lit("built"))
-    # Fixed before the write, which changes what the table holds.
     have = cut_lineage(built_runs(df.sparkSession, out).withColumn("status", F.lit("skipped")))
     # Rows without a run are one run, built once as well.
     same = df["run_name"].eqNullSafe(have["run_name"])
@@ -141,28 +189,52 @@ def to_flight(df: DataFrame, out: str, force: bool = False) -> DataFrame:
     return marked.withColumn("status", F.coalesce("status", F.lit("built")))
 
 
+def _unreadable(error: Exception) -> str | None:
+    """The file whose reading failed, if that is what the error says."""
+    found = re.search(r"\[FAILED_READ_FILE[.A-Z_]*\] Encountered error while reading file (\S+?)\.?(?=\s|$)", str(error))
+    return found[1] if found else None
+
+
 def convert_all(spark: SparkSession, root: str, out: str, force: bool = False) -> DataFrame:
-    """Convert all runs in one job; if that fails, run by run, so that one broken run stops no other.
+    """Convert all runs in one job that scans the text of each run to build once.
 
-    Returns ``(run_name, status)`` with status ``built``, ``skipped`` or ``failed``.
+    Returns ``(run_name, status)`` with status ``built``, ``skipped`` or ``failed``. A run with a file that can't be read
+    is left out, and the others go on together; only such files lead to another try, one for each broken run.
     """
-    try:
-        return to_flight(read_capture(spark, root), out, force)
-    except (PySparkException, Py4JJavaError):
-        folder = F.regexp_extract("path", r"^(.*/(?:[a-z_]+=)?run_[^/]+)/", 1)
-        folders = drone_files(spark, root).select("run_name", folder.alias("folder")).distinct().collect()
-    said = []
-    for run, where in sorted(map(tuple, folders), key=str):
+    folder = F.regexp_extract("path", r"^(.*/(?:[a-z_]+=)?run_[^/]+)/", 1)
+    # one row a run; runs number in thousands, rows don't come here
+    folders = sorted(map(tuple, drone_files(spark, root).select("run_name", folder.alias("folder")).distinct().collect()), key=str)
+    have = set() if force else {r[0] for r in built_runs(spark, out).collect()}
+    said = {run: "skipped" if run in have else "built" for run, _ in folders}
+    while True:
+        todo = sorted(where for run, where in folders if said[run] == "built")
+        if not todo:
+            break
         try:
-            said += [tuple(r) for r in to_flight(read_capture(spark, where), out, force).collect()]
-        except (PySparkException, Py4JJavaError):
-            said.append((run, "failed"))
-    return spark.createDataFrame(said, "run_name string, status string")
+            lines = _captured(landed(spark, todo))
+            rows = with_drone_id(_parsed(lines.drop("run_name", "drone_id"))).withColumn("run_name", run_of(PATH))
+            write_flight(rows.withColumnRenamed(PATH, "filename"), out, force)
+            break
+        except (PySparkException, Py4JJavaError) as error:
+            file = _unreadable(error)
+            plain = lambda path: re.sub(r"^(\w+:)/+", r"\1/", path)  # noqa: E731  file:/ and file:/// are the same
+            broken = [run for run, where in folders if file and plain(file).startswith(plain(f"{where}/")) and said[run] == "built"]
+            if not broken:
+                raise
+            said |= dict.fromkeys(broken, "failed")
+    return spark.createDataFrame(list(said.items()), "run_name string, status string")
 
 
 def read_flight(spark: SparkSession, out: str) -> DataFrame:
-    """The flight table with the columns of all imports; runs written before a column came have NULL."""
-    return spark.read.option("mergeSchema", "true").parquet(out)
+    """The flight table with the columns of all imports; runs written before a column came have NULL.
+
+    The schema comes from the table's log; a table without one is asked file by file.
+    """
+    schema = TableLog(spark, out).schema()
+    with _listing(spark):
+        if schema is None:
+            return spark.read.option("mergeSchema", "true").parquet(out)
+        return spark.read.schema(schema).parquet(out)
 
 
 def read_primary(
@@ -232,7 +304,7 @@ def discover_legacy(spark: SparkSession, root: str, cls: str, names: list[str] |
 # --- legacy import --------------------------------------------------------
 def read_legacy(spark: SparkSession, root: str) -> DataFrame:
     """All per-type files below ``root`` as one frame, united by name over types and header versions."""
-    return with_drone_id(_csv(spark, root, "*.csv"), "legacy").withColumnRenamed(PATH, "filename")
+    return with_drone_id(_parsed(landed(spark, root)), "legacy").withColumnRenamed(PATH, "filename")
 
 
 def read_legacy_run(spark: SparkSession, run_dir: str) -> DataFrame:
@@ -250,15 +322,18 @@ def import_legacy(spark: SparkSession, root: str, cls: str, out: str, names: lis
 
     Returns the verification, one row per run with any violated rules listed.
     """
-    rows = read_legacy(spark, root)
-    folder = lambda up: F.element_at(F.split("filename", "/"), F.lit(-up))
+    lines = landed(spark, root)
+    folder = lambda up: F.element_at(F.split(PATH, "/"), F.lit(-up))
     source, kind = folder(3), F.lit(None).cast("string") if cls == "benign" else folder(4)
-    named = rows.withColumn("run_name", S.dst_run_name(F.lit(cls), kind, source))
-    wanted = discover_legacy(spark, root, cls, names).select("run_name").distinct()
-    todo = named.join(wanted, "run_name", "left_semi").withColumn("attack_type", expected_label())
-    to_flight(todo, out, force)
+    wanted = cut_lineage(discover_legacy(spark, root, cls, names).select("run_name").distinct())
+    todo = lines.withColumn("run_name", S.dst_run_name(F.lit(cls), kind, source)).join(wanted, "run_name", "left_semi")
+    rows = _parsed(todo.drop("run_name")).withColumn("run_name", S.dst_run_name(F.lit(cls), kind, source))
+    rows = with_drone_id(rows, "legacy").withColumnRenamed(PATH, "filename").withColumn("attack_type", expected_label())
+    to_flight(rows, out, force)
+    # the source's counts need the landed paths and headers, not the cells
+    counted = with_drone_id(todo, "legacy").join(todo.filter("_first").groupBy(PATH).agg(F.min_by("value", "_at").alias("_header")), PATH)
     written = read_flight(spark, out).join(wanted, "run_name", "left_semi")
-    return verify_import(todo, written, expected_label())
+    return verify_import(counted.filter("value <> _header"), written, expected_label())
 
 
 def import_invariants(df: DataFrame, expected: Column) -> DataFrame:

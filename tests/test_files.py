@@ -3,10 +3,9 @@
 import json
 
 import pytest
-from pyspark.errors import PySparkValueError
 from pyspark.sql import functions as F
 
-from skytrace.sources import cache, capture, logs, metadata
+from skytrace.sources import cache, capture, logs, metadata, table_log
 
 
 def put(path, text):
@@ -57,20 +56,50 @@ def test_rows_without_run_are_built_once(spark, tmp_path):
     assert capture.read_flight(spark, out).count() == 1
 
 
-def test_broken_run_stops_no_other(spark, tmp_path, monkeypatch):
-    for run in ("run_1_a", "run_2_a"):
+def test_broken_run_stops_no_other(spark, tmp_path):
+    for run in ("run_1_a", "run_2_a", "run_3_a"):
         put(tmp_path / f"in/{run}/csv/drone_001.csv", "timestamp,mav_packet_type\n1,ATTITUDE\n")
-    whole = capture.to_flight
+    (tmp_path / "in/run_2_a/csv/.drone_001.csv.crc").write_bytes(b"crc\x00\x00\x00\x02\x00\x00\x00\x00\x07")  # its checksum is wrong
+    said = capture.convert_all(spark, str(tmp_path / "in"), str(tmp_path / "flight"))
+    assert {tuple(r) for r in said.collect()} == {("run_1_a", "built"), ("run_2_a", "failed"), ("run_3_a", "built")}
+    assert capture.read_flight(spark, str(tmp_path / "flight")).count() == 2
 
-    def breaks(df, out, force=False):
-        if df.filter("run_name = 'run_2_a'").count():
-            raise PySparkValueError("unreadable")
-        return whole(df, out, force)
 
-    monkeypatch.setattr(capture, "to_flight", breaks)
-    said = capture.convert_all(spark, str(tmp_path / "in"), str(tmp_path / "flight"))
-    assert {tuple(r) for r in said.collect()} == {("run_1_a", "built"), ("run_2_a", "failed")}
-    assert capture.read_flight(spark, str(tmp_path / "flight")).count() == 1
+def test_conversion_scans_the_text_once(spark, tree, tmp_path, monkeypatch):
+    from pyspark.sql.readwriter import DataFrameReader as Reader
+
+    opened = []
+    for kind in ("text", "csv"):
+        own = getattr(Reader, kind)
+        monkeypatch.setattr(Reader, kind, lambda self, *a, _own=own, _kind=kind, **b: opened.append((_kind, a)) or _own(self, *a, **b))
+    out = str(tmp_path / "flight")
+    capture.convert_all(spark, tree, out).collect()
+    assert [k for k, _ in opened] == ["text"]
+    capture.convert_all(spark, tree, out).collect()
+    assert len(opened) == 1  # built runs are not read again
+    plan = capture.read_flight(spark, out)._jdf.queryExecution().executedPlan().toString()
+    assert "FileScan parquet" in plan and "FileScan text" not in plan
+
+
+def test_table_log(spark, tmp_path):
+    out, schema = str(tmp_path / "flight"), "run_name string, mav_packet_type string, drone_id int, timestamp string"
+    capture.to_flight(spark.createDataFrame([("run_1", "A", 1, "1", "5")], schema + ", roll string"), out)
+    capture.to_flight(spark.createDataFrame([("run_2", "A", 1, "1", "7")], schema + ", groundspeed string"), out)
+    log = table_log.TableLog(spark, out)
+    assert [v["rows"] for v in log.versions()] == [1, 1]
+    assert list(log.columns()) == ["run_name", "mav_packet_type", "drone_id", "timestamp", "roll", "groundspeed"]
+    with pytest.raises(table_log.ColumnConflict, match="roll: string, now double"):
+        capture.to_flight(spark.createDataFrame([("run_3", "A", 1, "1", 0.5)], schema + ", roll double"), out)
+    assert capture.read_flight(spark, out).count() == 2 and len(log.versions()) == 2
+    # two writers that saw the same version: both are kept
+    one, two = table_log.TableLog(spark, out), table_log.TableLog(spark, out)
+    seen = one.versions()
+    two.versions = one.versions = lambda: seen
+    assert (one.commit(log.schema(), 0), two.commit(log.schema(), 0)) == (2, 3)
+    assert len(log.versions()) == 4
+    # a table without a log still has all columns
+    spark.createDataFrame([("r", "A", "1")], "run_name string, mav_packet_type string, a string").write.partitionBy("run_name", "mav_packet_type").parquet(str(tmp_path / "old"))
+    assert capture.read_flight(spark, str(tmp_path / "old")).columns == ["a", "run_name", "mav_packet_type"]
 
 
 def test_innermost_run_folder(spark):
