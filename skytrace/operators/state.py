@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -12,7 +11,7 @@ from skytrace.functions import scalars as S
 from skytrace.operators.ordered import (
     HOUR_MS, OWN_PIECE, PIECE, ROWS_BEFORE, carry_forward, spread, time_bucket,
 )
-from skytrace.session import cut_lineage
+from skytrace.session import cut_lineage, stored
 
 GAUGES = [
     "roll_deg", "pitch_deg", "yaw_deg", "heading_deg", "groundspeed_mps", "airspeed_mps",
@@ -151,39 +150,55 @@ POSE = ["time", "x", "y", "z", "qw", "qx", "qy", "qz"]
 
 
 class PoseGate:
-    """Compares a pose with the last one let through."""
+    """Compares poses with the last one let through; poses are rows of eight numbers, in the order of ``POSE``."""
+
+    NEAR = 4  # following poses that are compared for all poses at once
 
     def __init__(self, age: float, distance2: float, rotation2: float):
         self.age, self.distance2, self.rotation2 = age, distance2, rotation2
 
-    def passes(self, old: tuple, new: tuple) -> bool:
+    def passes(self, old: np.ndarray, new: np.ndarray) -> np.ndarray:
+        """Whether each pose of ``new`` passes after its (or the one) pose of ``old``."""
+        old, new = old.T, new.T
         elapsed = new[0] - old[0]
-        if 0 < elapsed < self.age:
-            return False
-        moved = sum((n - o) ** 2 for n, o in zip(new[1:4], old[1:4]))
-        if moved > self.distance2:
-            return True
-        w, v = new[4], new[5:8]
-        size = w * w + sum(c * c for c in v)
-        if size == 0:
-            return False
-        # Vector part of inverse(new) * old.
-        ow, ov = old[4], old[5:8]
-        turn = [
-            w * ov[0] - v[0] * ow - (v[1] * ov[2] - v[2] * ov[1]),
-            w * ov[1] - v[1] * ow - (v[2] * ov[0] - v[0] * ov[2]),
-            w * ov[2] - v[2] * ow - (v[0] * ov[1] - v[1] * ov[0]),
-        ]
-        return sum((t / size) ** 2 for t in turn) > self.rotation2
-
-    def scan(self, rows: Iterator[tuple], state: tuple | None) -> tuple[list[bool], tuple | None]:
+        moved = (new[1] - old[1]) ** 2 + (new[2] - old[2]) ** 2 + (new[3] - old[3]) ** 2
+        w, x, y, z = new[4:]
+        ow, ox, oy, oz = old[4:]
+        size = w * w + x * x + y * y + z * z
+        # Vector part of inverse(new) * old; a pose without rotation doesn't turn.
+        turn = (w * ox - x * ow - (y * oz - z * oy)) ** 2
+        turn = turn + (w * oy - y * ow - (z * ox - x * oz)) ** 2
+        turn = turn + (w * oz - z * ow - (x * oy - y * ox)) ** 2
+        turned = turn > self.rotation2 * size * size
+        return ~((elapsed > 0) & (elapsed < self.age)) & ((moved > self.distance2) | (turned & (size != 0)))
+
+    def _next(self, state: np.ndarray, poses: np.ndarray, begin: int) -> int:
+        """The first pose from ``begin`` on that passes after ``state``, or the number of poses."""
+        width = 16
+        while begin < len(poses):
+            hit = self.passes(state, poses[begin : begin + width])
+            if hit.any():
+                return begin + int(hit.argmax())
+            begin, width = begin + width, min(2 * width, 65_536)
+        return len(poses)
+
+    def scan(self, poses: np.ndarray, state: np.ndarray | None) -> tuple[np.ndarray, np.ndarray | None]:
         """Which poses pass, and the state after them. The very first pose only primes."""
-        kept = []
-        for row in rows:
-            ok = state is not None and self.passes(state, row)
-            if state is None or ok:
-                state = row
-            kept.append(ok)
+        kept = np.zeros(len(poses), bool)
+        if not len(poses):
+            return kept, state
+        near = np.zeros(len(poses), np.int8)  # distance to the first of the next poses that passes
+        for k in range(min(self.NEAR, len(poses) - 1), 0, -1):
+            near[:-k][self.passes(poses[:-k], poses[k:])] = k
+        at = 0 if state is None else self._next(state, poses, 0)
+        if state is not None and at < len(poses):
+            kept[at] = True
+        steps = near.tolist()
+        while at < len(poses):
+            state = poses[at]
+            at = at + steps[at] if steps[at] else self._next(state, poses, at + 1 + self.NEAR)
+            if at < len(poses):
+                kept[at] = True
         return kept, state
 
 
@@ -199,9 +214,10 @@ def dead_band(
 
     ``poses`` holds name, time, position, rotation and an arrival number ``seq``. Each
     decision depends on the one before, so a large entity is cut into pieces that start
-    from the state the previous piece ends in. Pieces run in parallel from a provisional
-    start; a round repeats while some start changed, so the fixed point is the exact
-    sequential result. One state row per piece is all that passes between rounds.
+    from the state the previous piece ends in. All pieces run in parallel from a provisional
+    start. Then only pieces run again whose start turned out to be another, until none is left, which is
+    the sequential result. One state row per piece is all that passes between rounds. A piece whose
+    end doesn't depend on its start, as with most movement, ends the chain: it runs twice at most.
     """
     gate = PoseGate(age, distance2, rotation2)
     order = list(order)
@@ -211,36 +227,37 @@ def dead_band(
     state_schema = "name string, _piece long, " + ", ".join(f"{c} double" for c in POSE)
     by = ["name", PIECE]
 
-    def start_of(states: pd.DataFrame) -> tuple | None:
-        return None if states.empty else tuple(states[POSE].iloc[0])
+    def start_of(states: pd.DataFrame) -> np.ndarray | None:
+        return None if states.empty else states[POSE].to_numpy(float)[0]
 
     def outgoing(key, rows: pd.DataFrame, states: pd.DataFrame) -> pd.DataFrame:
         if rows.empty:
             return pd.DataFrame(columns=["name", PIECE, *POSE])
         rows = rows.sort_values(order, kind="stable")
-        _, state = gate.scan(rows[POSE].itertuples(index=False, name=None), start_of(states))
+        _, state = gate.scan(rows[POSE].to_numpy(float), start_of(states))
         return pd.DataFrame([(*key, *state)], columns=["name", PIECE, *POSE])
 
     def emitted(key, rows: pd.DataFrame, states: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(order, kind="stable")
-        kept, _ = gate.scan(rows[POSE].itertuples(index=False, name=None), start_of(states))
+        kept, _ = gate.scan(rows[POSE].to_numpy(float), start_of(states))
         return rows.loc[kept, columns]
 
-    def run(fn, starts: DataFrame, schema) -> DataFrame:
-        return pieces.groupBy(*by).cogroup(starts.groupBy(*by)).applyInPandas(fn, schema)
+    def run(of: DataFrame, fn, starts: DataFrame, schema) -> DataFrame:
+        return of.groupBy(*by).cogroup(starts.groupBy(*by)).applyInPandas(fn, schema)
 
-    none = poses.sparkSession.createDataFrame([], state_schema)
+    starts = poses.sparkSession.createDataFrame([], state_schema)
     if not pieces.filter(F.col(PIECE) > 0).isEmpty():
+        pieces = stored(pieces, "pieces")
+        moving = pieces.select(*by, *order, *[c for c in POSE if c not in order])
         following = Window.partitionBy("name").orderBy(PIECE)
-        hand_over = lambda ends: ends.select(
-            "name", F.lead(PIECE).over(following).alias(PIECE), *POSE
-        ).filter(F.col(PIECE).isNotNull())
-        starts = cut_lineage(hand_over(run(outgoing, none, state_schema)))
+        ends = cut_lineage(run(moving, outgoing, starts, state_schema))
         while True:
-            again = cut_lineage(hand_over(run(outgoing, starts, state_schema)))
-            changed = not again.exceptAll(starts).isEmpty()
-            starts = again
-            if not changed:
+            given = ends.select("name", F.lead(PIECE).over(following).alias(PIECE), *POSE).filter(F.col(PIECE).isNotNull())
+            given = cut_lineage(given)
+            changed = given.exceptAll(starts)
+            if changed.isEmpty():
                 break
-        none = starts
-    return run(emitted, none, poses.schema)
+            again = run(moving.join(changed.select(*by), by, "left_semi"), outgoing, changed, state_schema)
+            ends = cut_lineage(ends.join(changed.select(*by), by, "left_anti").unionByName(again))
+            starts = given
+    return run(pieces, emitted, starts, poses.schema)

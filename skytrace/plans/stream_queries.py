@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+import time
+
+from pyspark.sql import DataFrame, Window, functions as F
 
 from skytrace.functions import scalars as S
 from skytrace.operators.windows import training_rows
@@ -83,6 +85,28 @@ def stream_throttle(spark, d):
     return out.select("sysid", F.unix_millis("emit_at").alias("emit_ms"), "seq", "value")
 
 
+@query("ST3", """
+SELECT sysid, ARG_MAX(seq, timestamp * 1000000 + seq) AS seq, TRUE AS repeated, TRUE AS within_rate FROM flight GROUP BY sysid""")
+def stream_ticking(spark, d):
+    # All messages come in the first batch; what follows are emissions of silent systems, driven by their timers.
+    sdf = flight_stream(spark, d).select("sysid", "ts", "seq")
+    period, out, marks = 500, scratch_path(spark, "sink"), scratch_path(spark, "marks")
+    ticks = live.ticking(sdf, period, order=["ts", "seq"])
+    run = (ticks.writeStream.format("parquet").option("path", out).option("checkpointLocation", marks)
+           .outputMode("append").trigger(processingTime="1 second").start())
+    try:
+        while run.isActive and (run.lastProgress is None or run.lastProgress["batchId"] < 3):
+            time.sleep(0.2)
+    finally:
+        run.stop()
+    got = spark.read.schema(ticks.schema).parquet(out)
+    by_time = Window.partitionBy("sysid").orderBy("emitted_ms")
+    got = got.withColumn("gap", F.col("emitted_ms") - F.lag("emitted_ms").over(by_time))
+    return got.groupBy("sysid").agg(
+        F.max_by("seq", "emitted_ms").alias("seq"), (F.count(F.lit(1)) > 1).alias("repeated"),
+        F.coalesce(F.min("gap") >= period, F.lit(False)).alias("within_rate"))
+
+
 @query("ST4", """
 WITH told AS (SELECT *, LAST_VALUE(CASE WHEN mav_packet_type = 'HEARTBEAT' THEN type END IGNORE NULLS) OVER (
     PARTITION BY run_id, sysid ORDER BY seq ROWS UNBOUNDED PRECEDING) AS t FROM flight),

@@ -126,6 +126,42 @@ def test_ticking_repeats_without_new_messages(spark, tmp_path):
     assert spark.sql("select max(n) from (select count(*) n from ticks group by value)").first()[0] >= 2
 
 
+def test_ticking_keeps_the_rate_and_forgets_silent_systems(spark, tmp_path):
+    import time
+
+    rows = [(1, pd.Timestamp(i, unit="s").to_pydatetime(), i) for i in range(5)] + [(2, pd.Timestamp(9, unit="s").to_pydatetime(), 9)]
+    spark.createDataFrame(rows, "sysid int, ts timestamp, value long").coalesce(1).write.parquet(str(tmp_path / "in"))
+    sdf = spark.readStream.schema("sysid int, ts timestamp, value long").parquet(str(tmp_path / "in"))
+    q = live.ticking(sdf, 300, silent_ms=12_000).writeStream.format("memory").queryName("rated").outputMode("append").trigger(processingTime="100 milliseconds").start()
+    end, last, still = time.time() + 120, -1, 0
+    while time.time() < end and still < 20:  # until nothing comes for a while
+        time.sleep(0.5)
+        n = spark.table("rated").count()
+        still, last = (still + 1, n) if n and n == last else (0, n)
+    q.stop()
+    got = spark.table("rated").toPandas()
+    assert still >= 20 and set(zip(got.sysid, got.value)) == {(1, 4), (2, 9)}
+    for _, part in got.groupby("sysid"):
+        times = np.sort(part.emitted_ms.to_numpy())
+        assert len(times) >= 2 and np.diff(times).min() >= 300
+
+
+def test_window_stream_over_many_batches(spark, tmp_path):
+    rows = [(1, 1, float(i), i, i % 2, float(i), float(-i)) for i in range(157)]
+    schema = "run_id int, drone_id int, timestamp double, seq long, y_true int, a double, b double"
+    rng, at, i = np.random.default_rng(2), 0, 0
+    while at < len(rows):
+        n = int(rng.integers(1, 25))
+        spark.createDataFrame(rows[at : at + n], schema).coalesce(1).write.parquet(str(tmp_path / f"in/part={i:02}"))
+        at, i = at + n, i + 1
+    sdf = spark.readStream.schema(schema).option("maxFilesPerTrigger", "1").option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
+    got = {r["window_index"]: r for r in run(live.window_stream(sdf, ["a", "b"], 10, 4), tmp_path).collect()}
+    assert sorted(got) == list(range((157 - 10) // 4 + 1))
+    for k, r in got.items():
+        assert r["tensor"] == [[float(v), float(-v)] for v in range(4 * k, 4 * k + 10)]
+        assert (r["row_start_index"], r["row_end_index"], r["window_end_timestamp"], r["y_true"]) == (4 * k, 4 * k + 10, 4 * k + 9.0, (4 * k + 9) % 2)
+
+
 def test_rate_board_and_dedup(stream, flight, tmp_path):
     got = run(live.dedup_logs(stream.selectExpr("sysid as id", "ts")), tmp_path)
     assert sorted(r["id"] for r in got.collect()) == [1, 2, 9]
@@ -182,6 +218,28 @@ def test_dead_band(spark, pose_list, target):
     assert sorted((r["name"], r["seq"]) for r in got.collect()) == brute(pose_list)
 
 
+def test_dead_band_with_shifting_pieces(spark):
+    # steady slow drift: where poses pass depends on the start, piece after piece
+    poses = [("hot", s, s * 0.01, (s * 0.0023, 0.0, 0.0), 0.0) for s in range(20_000)]
+    got = state.dead_band(frame(spark, poses), target_rows=1000)
+    assert sorted((r["name"], r["seq"]) for r in got.collect()) == brute(poses)
+
+
+def test_gate_equals_single_steps():
+    rng = np.random.default_rng(1)
+    poses = np.column_stack([np.cumsum(rng.choice([0.0, 0.01, 0.05, -0.2], 900, p=[0.3, 0.4, 0.29, 0.01])), rng.integers(0, 3, (900, 3)) * 0.006, rng.choice([0.0, 1.0, 0.9], (900, 1)), np.zeros((900, 2)), rng.choice([0.0, 0.02], (900, 1))])
+    poses[300:500, 1:] = poses[300, 1:]  # a long rest
+    gate = state.PoseGate(0.03, 1e-4, 1e-4)
+    for begin in (None, poses[7]):
+        kept, last = gate.scan(poses, begin)
+        now, want = begin, []
+        for p in poses:
+            ok = now is not None and bool(gate.passes(now, p[None])[0])
+            now = p if now is None or ok else now
+            want.append(ok)
+        assert kept.tolist() == want and last.tolist() == now.tolist()
+
+
 def test_dead_band_stream(spark, pose_list, tmp_path):
     df = frame(spark, pose_list)
     for i in range(3):
