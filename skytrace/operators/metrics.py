@@ -13,6 +13,8 @@ from operator import add
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from skytrace.operators.ordered import HOUR_MS, order_by, ranked, running_totals, time_bucket
+from skytrace.operators.selection import percentiles
+from skytrace.session import stored
 
 RUN, DRONE = "run_id", "drone_id"
 SEQUENCE = ["window_end_timestamp", "window_index"]
@@ -244,10 +246,11 @@ def detection_delay(pred: DataFrame, threshold: float = 0.5) -> DataFrame:
 
 def detection_summary(pred: DataFrame, threshold: float = 0.5) -> DataFrame:
     """Mean and median delay over detected runs (one value per run) and the undetected count."""
-    return detection_delay(pred, threshold).agg(
-        F.avg("delay_ms").alias("mean_delay_ms"), F.percentile("delay_ms", 0.5).alias("median_delay_ms"),
-        F.count_if(F.col("delay_ms").isNull()).alias("undetected_runs"),
-    )
+    delays = stored(detection_delay(pred, threshold), "delays")  # a row a run
+    none = delays.agg(F.count_if(F.col("delay_ms").isNull()).alias("undetected_runs"))
+    found = percentiles(delays, "delay_ms", {"median": 0.5})
+    return found.crossJoin(F.broadcast(none)).select(  # one row each
+        F.col("mean").alias("mean_delay_ms"), F.col("median").alias("median_delay_ms"), "undetected_runs")
 
 
 def _buckets(rows: DataFrame, by: list[str], width_ms: int) -> DataFrame:
@@ -337,12 +340,11 @@ def onset_latency(pred: DataFrame, threshold: float = 0.5, width_ms: int = HOUR_
 
 def onset_summary(latency: DataFrame) -> DataFrame:
     """Mean and median over detected drones (one value per drone)."""
-    return latency.agg(
-        F.avg("windows_after_onset").alias("mean_windows"),
-        F.floor(F.percentile("windows_after_onset", 0.5)).alias("median_windows"),
-        F.avg("seconds_after_onset").alias("mean_seconds"),
-        F.percentile("seconds_after_onset", 0.5).alias("median_seconds"),
-    )
+    latency = stored(latency, "latency")
+    counted = percentiles(latency, "windows_after_onset", {"median": 0.5})
+    timed = percentiles(latency, "seconds_after_onset", {"median": 0.5})
+    return counted.select(F.col("mean").alias("mean_windows"), F.floor("median").alias("median_windows")).crossJoin(
+        F.broadcast(timed.select(F.col("mean").alias("mean_seconds"), F.col("median").alias("median_seconds"))))
 
 
 # --- curve ----------------------------------------------------------------
