@@ -10,21 +10,30 @@ from skytrace.functions.scalars import run_class
 BUCKET_S = 3600.0
 
 
+def _level(bucket_s: float) -> Column:
+    """How often ``bucket_s`` must double until a window touches few buckets."""
+    length = (F.col("end_epoch") - F.col("start_epoch")) / F.lit(float(bucket_s))
+    return F.when(length > 1, F.ceil(F.log2(length))).otherwise(0).cast("int")
+
+
 def window_lookup(windows: DataFrame, by: list[str] = (), bucket_s: float = BUCKET_S) -> DataFrame:
-    """Windows per (run columns, drone, time bucket), each list sorted by ``window_idx``.
+    """Windows per (run columns, drone, level, time bucket), each list sorted by ``window_idx``.
 
     Targets come as an array ``target_drones`` or, in long form, one ``drone_id`` per
-    row. A list holds only the windows that touch one bucket of one drone.
+    row. A list holds only the windows that touch one bucket of one drone. Buckets of level ``n`` are
+    ``bucket_s * 2 ** n`` long and hold windows of up to this length, so a window is listed three times at most,
+    whether it lasts a second or ten years.
     """
     if "target_drones" in windows.columns:
         windows = windows.withColumn("drone_id", F.explode(F.array_distinct("target_drones")))
-    bucket = lambda c: F.floor(F.col(c) / bucket_s).cast("long")
+    bucket = lambda c: F.floor(F.col(c) / (F.lit(float(bucket_s)) * F.pow(F.lit(2.0), F.col("_level")))).cast("long")
     return (
         windows.filter(F.col("start_epoch") <= F.col("end_epoch"))
         .select(*by, "window_idx", "start_epoch", "end_epoch", "attack_type",
                 F.col("drone_id").cast("long").alias("drone_id"))
+        .withColumn("_level", _level(bucket_s))
         .withColumn("_bucket", F.explode(F.sequence(bucket("start_epoch"), bucket("end_epoch"))))
-        .groupBy(*by, "drone_id", "_bucket")
+        .groupBy(*by, "drone_id", "_level", "_bucket")
         .agg(F.sort_array(F.collect_list(
             F.struct("window_idx", "start_epoch", "end_epoch", "attack_type"))).alias("_windows"))
     )
@@ -40,24 +49,32 @@ def label_rows(
 ) -> DataFrame:
     """First window in list order that covers the row's time and targets its drone.
 
-    Both bounds count as inside; a NULL drone gets NULL. The match is one left equi-join
-    on (run columns, drone, time bucket) that never multiplies rows, so there is no
-    grouping by row afterwards. No broadcast is forced: Spark broadcasts the lookup
-    while it is below its own size limit and joins by shuffle beyond it. Choose
-    ``bucket_s`` near the usual window length: long windows repeat once per bucket.
+    Both bounds count as inside; a NULL drone gets NULL. The match is one left equi-join on (run columns,
+    drone, time bucket) for each level of window length that occurs (:func:`window_lookup`), one where windows are of
+    similar length. It never multiplies rows, so there is no grouping by row afterwards. No broadcast is
+    forced: Spark broadcasts the lookup while it is below its own size limit and joins by shuffle beyond it.
+    Rows of a NULL drone can match nothing and are spread instead of meeting in one task.
     """
     t = F.col(time) if isinstance(time, str) else time
+    valid = windows.filter(F.col("start_epoch") <= F.col("end_epoch"))
+    levels = sorted(r[0] for r in valid.select(_level(bucket_s)).distinct().collect())  # one a doubling of the length
     look = window_lookup(windows, list(by), bucket_s)
-    keys = [*by, "drone_id", "_bucket"]
-    rows = df.drop(out).withColumns({"_t": t.cast("double"), "_bucket": F.floor(t.cast("double") / bucket_s).cast("long")})
-    right = look.withColumnsRenamed({k: f"_w_{k}" for k in keys})
-    cond = [rows[k] == right[f"_w_{k}"] for k in keys]
-    inside = F.filter("_windows", lambda w: F.col("_t").between(w["start_epoch"], w["end_epoch"]))
-    return (
-        rows.join(right, cond, "left")
-        .withColumn(out, F.try_element_at(F.transform(inside, lambda w: w["attack_type"]), F.lit(1)))
-        .drop("_t", "_bucket", "_windows", *[f"_w_{k}" for k in keys])
-    )
+    rows = df.drop(out).withColumn("_t", t.cast("double"))
+    found = []
+    for level in levels or [0]:
+        width = float(bucket_s) * 2.0**level
+        right = look.filter(F.col("_level") == level).drop("_level")
+        keys = [*by, "drone_id", "_bucket"]
+        right = right.withColumnsRenamed({**{k: f"_w_{k}" for k in keys}, "_windows": f"_windows_{level}"})
+        bucket = F.floor(F.col("_t") / F.lit(width)).cast("long")
+        # a row without a drone joins on NULL, which equals nothing, and is dealt out by its time
+        cond = [rows[k] == right[f"_w_{k}"] for k in keys[:-1]] + [bucket == right["_w__bucket"]]
+        rows = rows.join(right, cond, "left").drop(*[f"_w_{k}" for k in keys])
+        found.append(F.coalesce(F.col(f"_windows_{level}"), F.array().cast(look.schema["_windows"].dataType)))
+    listed = found[0] if len(found) == 1 else F.sort_array(F.concat(*found))
+    inside = F.filter(listed, lambda w: F.col("_t").between(w["start_epoch"], w["end_epoch"]))
+    label = F.try_element_at(F.transform(inside, lambda w: w["attack_type"]), F.lit(1))
+    return rows.withColumn(out, label).drop("_t", *[f"_windows_{v}" for v in levels or [0]])
 
 
 def with_constant_label(df: DataFrame, value: str = fixed.NULL_TEXT) -> DataFrame:

@@ -230,6 +230,44 @@ def breakdown(pred: DataFrame, threshold: float = 0.5) -> DataFrame:
     )
 
 
+# --- report ---------------------------------------------------------------
+def report(pred: DataFrame, runs: DataFrame, thresholds: list[float], primary: float, excluded: DataFrame) -> dict[str, DataFrame]:
+    """All sections of an evaluation: ``per_run``, ``aggregate_primary``, ``threshold_sweep``,
+    ``per_attack_type_primary``, ``per_attack_type_sweep`` and ``excluded_runs``.
+
+    ``runs`` as in :func:`run_metrics`; ``excluded`` names the runs left out (run_name). One pass over the windows counts
+    them by run, class, type, truth and number of thresholds passed; grouping sets over these counts and the threshold levels
+    give every table of rates at once. Flight hours and percentiles of scores come from their own operators.
+    """
+    cuts = sorted({float(t) for t in [*thresholds, primary]})
+    passed = reduce(add, [(F.col("y_prob") >= F.lit(t)).cast("int") for t in cuts])
+    cells = stored(pred.groupBy(RUN, "run_label", "attack_type", "y_true", passed.alias("_passed")).agg(F.count(F.lit(1)).alias("_n")), "cells")
+    level = F.posexplode(F.array(*[F.lit(t) for t in cuts])).alias("_i", "threshold")
+    hit, real = F.col("_passed") > F.col("_i"), F.col("y_true") == 1
+    total = lambda cond: F.sum(F.when(cond, F.col("_n")).otherwise(0))
+    rates = (
+        cells.select("*", level)
+        .groupingSets([["run_label", "threshold"], ["run_label", "attack_type", "threshold"]], "run_label", "attack_type", "threshold")
+        .agg(
+            F.grouping("attack_type").alias("_all"), F.count_distinct(RUN).alias("n_runs"), F.sum("_n").alias("windows"),
+            total(hit & real).alias("tp"), total(hit & ~real).alias("fp"), total(~hit & real).alias("fn"), total(~hit & ~real).alias("tn"),
+        )
+    )
+    rates = stored(prf(rates).withColumn("false_positive_rate", _ratio(F.col("fp"), F.col("fp") + F.col("tn"))), "rates")
+    sweep = rates.filter("_all = 1").drop("_all", "attack_type")
+    types = rates.filter("_all = 0 AND run_label = 'attack'").drop("_all", "run_label")
+    at_primary = F.col("threshold") == F.lit(float(primary))
+    asked = F.col("threshold").isin([float(t) for t in thresholds])
+    return {
+        "per_run": run_metrics(pred, runs, primary),
+        "aggregate_primary": sweep.filter(at_primary),
+        "threshold_sweep": sweep.filter(asked),
+        "per_attack_type_primary": types.filter(at_primary),
+        "per_attack_type_sweep": types.filter(asked),
+        "excluded_runs": excluded.select("run_name"),
+    }
+
+
 # --- timing ---------------------------------------------------------------
 def _attacks(pred: DataFrame, threshold: float) -> DataFrame:
     return pred.filter(F.col("y_true") == 1).withColumn("_hit", _hit(threshold).cast("int"))

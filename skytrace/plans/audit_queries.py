@@ -101,6 +101,18 @@ def audit_zero_window_runs(spark, d):
     return zero_window_only(per_run.filter("windows = 0").select("run_name"), per_run.filter("below_window").select("run_name"))
 
 
+@query("U3", "SELECT run_name FROM runs WHERE run_label = 'attack'", runs=True)
+def zero_window_runs_unexplained(spark, d):
+    from skytrace.operators.sets import zero_window_only
+
+    f = flight(spark, d)
+    dim = runs(f)
+    # windows longer than any capture: all runs have none, and only benign ones are known to be short
+    per_run = audit.run_totals(audit.usable_rows(f, dim, "ATTITUDE"), dim, 10**9, STEP)
+    short = per_run.filter("run_label = 'benign'").select("run_name")
+    return zero_window_only(per_run.filter("windows = 0").select("run_name"), short)
+
+
 @query("D1 K7 U3", "WITH " + _USABLE.strip() + """,
 sh AS (SELECT shape, COUNT(DISTINCT run_label) AS c, MIN(run_label) AS l, CAST(SUM(windows) AS BIGINT) AS w FROM per_run GROUP BY shape),
 c AS (SELECT run_label AS cls, COUNT(*) AS n, CAST(SUM(windows) AS BIGINT) AS w FROM per_run GROUP BY run_label),
@@ -182,6 +194,14 @@ def split_overlap(spark, d):
     return splits.check_split(splits.three_way_split(units(flight(spark, d))))
 
 
+@query("U4", _SPLIT + """
+SELECT run_name, split || '/test' AS pair FROM split WHERE drone_id % 3 = 0 AND split <> 'test'""")
+def split_overlap_found(spark, d):
+    split = splits.three_way_split(units(flight(spark, d)))
+    # every third drone is in the test split as well
+    return splits.check_split(split.unionByName(split.filter("drone_id % 3 = 0").withColumn("split", F.lit("test"))))
+
+
 @query("J5 A24", _SPLIT + """
 SELECT split, COUNT(*) FILTER (WHERE y = 0) AS benign, COUNT(*) FILTER (WHERE y = 1) AS attack
 FROM (SELECT s.split, CASE WHEN f.run_label = 'attack' AND attack_type <> 'null' THEN 1 ELSE 0 END AS y FROM flight f JOIN split s ON s.drone_id = f.drone_id) x

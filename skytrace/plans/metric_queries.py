@@ -207,16 +207,36 @@ def best_threshold(spark, d):
     return rounded(metrics.best_threshold(_pred(spark, d)), "precision", "recall", "f1")
 
 
-@query("S20", f"SELECT 'per_run' AS section, COUNT(*) AS lines FROM (SELECT DISTINCT run_id FROM pred) UNION ALL SELECT 'per_type', COUNT(*) FROM (SELECT DISTINCT attack_type FROM pred WHERE run_label = 'attack') UNION ALL SELECT 'settings', 1", pred=True)
+_LINE = f"windows, tp, fp, fn, tn, {_PRF}"
+_T_ALL = f"SELECT run_label, threshold, {_CM_T} FROM pred, {_GRID} GROUP BY run_label, threshold"
+_T_TYPE = f"SELECT attack_type, threshold, {_CM_T} FROM pred, {_GRID} WHERE run_label = 'attack' GROUP BY attack_type, threshold"
+
+
+@query("S20", f"""
+SELECT 'per_run' AS section, CAST(run_id AS VARCHAR) AS name, NULL::DOUBLE AS threshold, {_LINE} FROM (SELECT run_id, COUNT(*) AS windows, {_CM} FROM pred GROUP BY run_id) a
+UNION ALL SELECT 'aggregate_primary', run_label, threshold, {_LINE} FROM ({_T_ALL}) b WHERE threshold = {T}
+UNION ALL SELECT 'threshold_sweep', run_label, threshold, {_LINE} FROM ({_T_ALL}) c
+UNION ALL SELECT 'per_attack_type_primary', attack_type, threshold, {_LINE} FROM ({_T_TYPE}) d WHERE threshold = {T}
+UNION ALL SELECT 'per_attack_type_sweep', attack_type, threshold, {_LINE} FROM ({_T_TYPE}) e
+UNION ALL SELECT 'excluded_runs', run_name, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM runs WHERE run_id >= 8
+UNION ALL SELECT 'settings', 'ATTITUDE', {T}, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL""", runs=True, pred=True)
 def evaluation_report(spark, d):
     from skytrace.session import scratch_path
     from skytrace.sources import metadata
 
-    p = stored_predictions(flight(spark, d))
+    f = flight(spark, d)
+    dim = runs(f)
+    sections = metrics.report(stored_predictions(f), dim.select("run_id", "run_label", "drones"), _SWEEP, T, dim.filter("run_id >= 8"))
     path = scratch_path(spark, "evaluation")
-    sections = {"per_run": metrics.confusion(p, T, ["run_id"]), "per_type": metrics.attack_metrics(p, T, ["attack_type"])}
     metadata.write_report(sections, path, {"primary_type": "ATTITUDE", "primary_threshold": T})
-    return spark.read.text(path).groupBy("section").agg(F.count(F.lit(1)).alias("lines"))
+    # read back from the JSON bodies
+    fields = ("run_id string, run_label string, attack_type string, run_name string, primary_type string, primary_threshold double, "
+              "threshold double, windows long, tp long, fp long, fn long, tn long, precision double, recall double, f1 double")
+    body = spark.read.text(path).select("section", F.from_json("value", fields).alias("b")).select("section", "b.*")
+    name = F.when(F.col("section") == "per_run", F.col("run_id")).when(F.col("section").startswith("per_attack"), F.col("attack_type"))
+    out = body.select("section", F.coalesce(name, "run_name", "primary_type", "run_label").alias("name"), F.coalesce("threshold", "primary_threshold").alias("threshold"),
+                      "windows", "tp", "fp", "fn", "tn", "precision", "recall", "f1")
+    return rounded(out, "precision", "recall", "f1")
 
 
 @query("S15 S21 D6 D7 K4", f"""
@@ -228,6 +248,7 @@ FROM t UNION ALL SELECT 'model' || CAST((run_id + 1) % 2 + 1 AS VARCHAR), CAST(r
 def sweep_summary(spark, d):
     from skytrace.session import scratch_path
     from skytrace.sources import logs
+    from skytrace.sources.files import put
 
     # One console text per run with its metrics in the layout trainers print.
     m = metrics.prf(metrics.confusion(_pred(spark, d), T, ["run_id"]))
@@ -235,7 +256,10 @@ def sweep_summary(spark, d):
     line = F.concat(F.lit("      Attack     "), shown, F.lit("   0.50   "), shown, F.lit("    "), (F.col("tp") + F.col("fn")).cast("string"), F.lit("\n"))
     text = F.concat(F.lit("Optimal threshold (from val) : 0.25\n"), line, F.lit("== TEST ==\n"), line)
     tag = F.format_string("model%d_w%d_s2", F.col("run_id") % 2 + 1, F.col("run_id") + 1)
-    parsed = m.select(tag.alias("tag"), *logs.train_metrics(text))
+    console = scratch_path(spark, "logs")
+    for name, said in m.select(tag, text).collect():  # a console text per run
+        put(spark, f"{console}/{name}.log", said.encode())
+    parsed = logs.parse_train_logs(spark, console)
     grid = splits.sweep_grid(spark, ["model1", "model2"], [(w, 2) for w in range(1, 11)])
     path = scratch_path(spark, "sweep")
     logs.write_sweep_summary(splits.collate_sweep(grid, parsed), path)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from skytrace.operators import labeling, reports, state, traffic
 from skytrace.functions import scalars as S
 from skytrace.plans.registry import query, r6, rounded
+from skytrace.session import scratch_path
 from skytrace.plans.views import bronze, flight, runs
 from skytrace.sources import capture
 
@@ -211,5 +212,7 @@ def stage_timing(spark, d):
 
     line = F.format_string("[stage%d instance=%d] step=%s elapsed=%.2fs",
                            F.when(F.col("k") % 2 == 0, 2).otherwise(3), "drone_id", F.lower("mav_packet_type"), "value")
-    steps = logs.stage_steps(flight(spark, d).select(line.alias("value")))
+    path = scratch_path(spark, "stages")
+    flight(spark, d).select(line.alias("value")).write.text(path)
+    steps = logs.parse_stage_logs(spark, path)
     return rounded(logs.stage_timing(steps), "mean_s", "max_s")

@@ -11,7 +11,7 @@ from skytrace.operators import features, labeling
 from skytrace.plans.registry import query, r6, rounded
 from skytrace.plans.views import bronze, flight, runs
 from skytrace.session import scratch_path
-from skytrace.sources import cache, capture, metadata
+from skytrace.sources import cache, capture, files, logs, metadata
 
 
 def _written_capture(spark, d):
@@ -103,6 +103,48 @@ def import_verification(spark, d):
     return out.withColumn("violations", F.array_join("violations", ","))
 
 
+def _written_legacy(spark, d):
+    """Benign runs in the older layout: a folder per run, in it a folder per drone with a file per message type."""
+    root = scratch_path(spark, "legacy")
+    rows = bronze(spark, d).filter("run_label = 'benign'")
+    rows = rows.withColumn("source", F.concat(F.lit("Nominal-"), F.col("run_id"))).withColumn("unit", F.concat("source", F.lit("-"), F.col("drone_id")))
+    cells = ["mav_packet_type", "timestamp", "seq", "roll"]
+    rows.select("source", "unit", *cells).repartition("source", "unit").write.partitionBy("source", "unit").option("header", "true").csv(root)
+    return root
+
+
+@query("S8", """
+SELECT DISTINCT 'source=Nominal-' || CAST(run_id AS VARCHAR) AS source, 'run_legacy-nominal-' || CAST(run_id AS VARCHAR) || '_none_legacy' AS run_name FROM flight WHERE run_label = 'benign'""")
+def legacy_discovered(spark, d):
+    return capture.discover_legacy(spark, _written_legacy(spark, d), "benign").select("source", "run_name")
+
+
+@query("S4", """
+SELECT CAST(drone_id AS INTEGER) AS drone_id, mav_packet_type, CAST(timestamp AS VARCHAR) AS timestamp, CAST(seq AS VARCHAR) AS seq, COALESCE(CAST(roll AS VARCHAR), 'null') AS roll
+FROM flight WHERE run_label = 'benign' AND mav_packet_type <> 'ATTITUDE'""")
+def legacy_scan(spark, d):
+    rows = capture.read_legacy(spark, _written_legacy(spark, d))
+    return rows.filter("mav_packet_type <> 'ATTITUDE'").select("drone_id", "mav_packet_type", "timestamp", "seq", "roll")
+
+
+@query("S4 J11", """
+SELECT 'run_legacy-nominal-' || CAST(run_id AS VARCHAR) || '_none_legacy' AS run_name, COUNT(*) AS src_rows, COUNT(*) AS rows,
+  COUNT(DISTINCT drone_id) AS src_drones, COUNT(DISTINCT drone_id) AS drones, '' AS violations FROM flight WHERE run_label = 'benign' GROUP BY run_id""")
+def legacy_import(spark, d):
+    out = capture.import_legacy(spark, _written_legacy(spark, d), "benign", scratch_path(spark, "flight"))
+    return out.select("run_name", "src_rows", "rows", "src_drones", "drones", F.array_join("violations", ",").alias("violations"))
+
+
+@query("S17", """
+SELECT mav_packet_type || '.BIN' AS name, COUNT(*) / 1048576.0::DOUBLE AS size_mb FROM flight GROUP BY mav_packet_type
+UNION ALL SELECT NULL, COUNT(*) / 1048576.0::DOUBLE FROM flight""")
+def archived_log_sizes(spark, d):
+    root = scratch_path(spark, "archive")
+    for kind, n in flight(spark, d).groupBy("mav_packet_type").count().collect():  # a file per message type, a byte per row
+        files.put(spark, f"{root}/{kind}.BIN", bytes(n))
+    return logs.log_inventory(spark, root).select("name", "size_mb")
+
+
 @query("A27", """
 WITH e AS (SELECT sha256(CONCAT('run_', CAST(run_id AS VARCHAR), '/', CAST(seq AS VARCHAR), '|', CAST(timestamp AS VARCHAR), '|', CAST(k AS VARCHAR))) AS h FROM flight),
 a AS (SELECT CONCAT(h[1:4], sha256(string_agg(h, '' ORDER BY h))) AS g FROM e GROUP BY h[1:4]),

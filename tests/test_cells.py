@@ -230,3 +230,22 @@ def test_causal_windows_count_matches_formula(spark):
     assert [t["tensor"][0][0] for t in tensors] == [0, 3, 6, 9, 12, 15] and all(len(t["tensor"]) == 8 for t in tensors)
     small = windows.causal_windows(df, 8, 3, target_rows=10).exceptAll(windows.causal_windows(df, 8, 3))
     assert small.isEmpty()
+
+
+def test_labels_of_windows_of_any_length(spark):
+    from skytrace.operators.labeling import label_rows, window_lookup
+
+    day, year = 86_400.0, 365 * 86_400.0
+    wins = [(0, 5 * day, 5 * day + 2.5, [1], "short"), (1, 0.0, 10 * year, [1, 2], "decade"), (2, 4 * day, 6 * day, [1, 2], "days"), (3, 9.0, 3.0, [1], "backwards")]
+    windows = spark.createDataFrame(wins, "window_idx int, start_epoch double, end_epoch double, target_drones array<int>, attack_type string")
+    assert window_lookup(windows, bucket_s=1.0).count() <= 3 * 5
+    times = [-1.0, 0.0, 5 * day, 5 * day + 2.5, 5 * day + 2.6, 6 * day, 10 * year, 10 * year + 0.1, None]
+    rows = [(i, drone, t) for i, (drone, t) in enumerate((d, t) for d in (1, 2, 3, None) for t in times)]
+    df = spark.createDataFrame(rows, "seq int, drone_id int, frame_timestamp double")
+    for bucket in (1.0, 3600.0):
+        got = {r["seq"]: r["attack_type"] for r in label_rows(df, windows, bucket_s=bucket).collect()}
+        assert len(got) == len(rows)
+        for seq, drone, t in rows:
+            want = [w[4] for w in wins if t is not None and w[1] <= t <= w[2] and drone in w[3]]
+            assert got[seq] == (want[0] if want else None)
+    assert label_rows(df, windows.limit(0)).filter("attack_type IS NOT NULL").isEmpty()
