@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql.types import ArrayType, FloatType, LongType, StructField, StructType
 
 from skytrace import fixed_values as fixed
 from skytrace.functions.scalars import is_labelled
 from skytrace.operators.features import KEYS, MINUTE_MS, ORDER
 from skytrace.operators.ordered import (
-    TARGET_ROWS, own_rows, piece_window, row_number_in_key, size_checked, spread, time_bucket,
+    OWN_PIECE, PIECE, TARGET_ROWS, order_by, own_rows, piece_window, row_number_in_key, size_checked, spread, time_bucket,
 )
 from skytrace.session import cut_lineage, stored
 
@@ -74,15 +79,53 @@ def window_tensors(
     keep: list[str] = (),
     target_rows: int = TARGET_ROWS,
 ) -> DataFrame:
-    """Windows as ``size`` x ``len(cols)`` float arrays. Costs rows x size; ask for it last."""
-    keys, order = keys or KEYS, order or ORDER
-    step = F.array(*[F.col(c).cast("float") for c in cols])
+    """Windows as ``size`` x ``len(cols)`` float arrays.
+
+    One pass over the numbered rows in Arrow batches: a strided view over the batch and the ``size - 1`` rows before it
+    holds all windows, and only those that end on the stride are copied out. NULL cells stay NULL.
+    """
+    keys, order, cols, keep = keys or KEYS, order or ORDER, list(cols), list(keep)
+    carried = list(dict.fromkeys([*keys, *keep]))
+    values = [F.col(c).cast("float").alias(f"_x{i}") for i, c in enumerate(cols)]
     numbered = _numbered(df, keys, order, size - 1, target_rows)
-    frame = piece_window(keys, order).rowsBetween(-(size - 1), 0)
-    ends = own_rows(numbered.withColumn("tensor", F.collect_list(step).over(frame)).filter(_is_end(size, stride)))
-    return ends.select(
-        *keys, F.floor((F.col("_rn") - size) / stride).cast("long").alias("window_index"), *keep, "tensor"
-    )
+    end = (F.col(PIECE) == F.col(OWN_PIECE)) & _is_end(size, stride)
+    # the numbering's own order; a piece begins with the rows its first window needs
+    rows = numbered.sortWithinPartitions(*keys, PIECE, *order_by(order)).select(
+        *carried, F.floor((F.col("_rn") - size) / stride).cast("long").alias("window_index"), end.alias("_end"), *values)
+    shown = df.select(*carried).schema
+    schema = StructType([*[shown[c] for c in keys], StructField("window_index", LongType()), *[shown[c] for c in keep],
+                         StructField("tensor", ArrayType(ArrayType(FloatType())))])
+    return rows.mapInArrow(_strided(size, len(cols), [*keys, "window_index", *keep]), schema)
+
+
+def _strided(size: int, width: int, columns: list[str]):
+    def lists(flat: pa.Array, step: int) -> pa.ListArray:
+        return pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, step, dtype=np.int32)), flat)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tail = np.empty((0, width), np.float32)
+        gaps = np.empty((0, width), bool)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            cells = [batch.column(f"_x{i}") for i in range(width)]
+            x = np.concatenate([tail, np.column_stack([c.to_numpy(zero_copy_only=False) for c in cells]).astype(np.float32, copy=False)])
+            gap = np.concatenate([gaps, np.column_stack([c.is_null().to_numpy(zero_copy_only=False) for c in cells])])
+            ends = np.flatnonzero(batch.column("_end").to_numpy(zero_copy_only=False).astype(bool))
+            if len(ends):
+                view, holes = (np.lib.stride_tricks.sliding_window_view(v, size, axis=0) for v in (x, gap))
+                block = max(1, (1 << 20) // (size * width))  # about a million cells at a time
+                for k in range(0, len(ends), block):
+                    some = ends[k : k + block]
+                    at = some + len(tail) - size + 1
+                    flat = pa.array(view[at].transpose(0, 2, 1).ravel(), mask=holes[at].transpose(0, 2, 1).ravel())
+                    rows = pa.array(some)
+                    yield pa.RecordBatch.from_arrays(
+                        [*[batch.column(c).take(rows) for c in columns], lists(lists(flat, width), size)], [*columns, "tensor"])
+            held = min(size - 1, len(x))
+            tail, gaps = x[len(x) - held :], gap[len(x) - held :]
+
+    return run
 
 
 def tensor_steps(tensors: DataFrame, keys: list[str] | None = None) -> DataFrame:

@@ -249,3 +249,24 @@ def test_labels_of_windows_of_any_length(spark):
             want = [w[4] for w in wins if t is not None and w[1] <= t <= w[2] and drone in w[3]]
             assert got[seq] == (want[0] if want else None)
     assert label_rows(df, windows.limit(0)).filter("attack_type IS NOT NULL").isEmpty()
+
+
+@pytest.mark.parametrize(("size", "stride", "target", "batch"), [(5, 1, 10**6, 10_000), (5, 3, 40, 7), (1, 2, 10**6, 3), (60, 5, 80, 11)])
+def test_tensors_are_the_rows_of_their_windows(spark, size, stride, target, batch):
+    from skytrace.operators import windows
+
+    rows = [(1, d, t * 61_000, t, None if t % 4 == 0 else float(t), float(-t)) for d, n in ((1, 150), (None, 70), (3, 4)) for t in range(n)]
+    df = spark.createDataFrame(rows, "run_id int, drone_id int, timestamp long, seq long, a double, b double").repartition(3)
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(batch))
+    try:
+        got = windows.window_tensors(df, ["a", "b"], size, stride, keep=["seq"], target_rows=target).collect()
+    finally:
+        spark.conf.set(name, before)
+    want = {}
+    for d, n in ((1, 150), (None, 70), (3, 4)):
+        for k, first in enumerate(range(0, n - size + 1, stride)):
+            want[d, k] = (first + size - 1, [[None if t % 4 == 0 else float(t), float(-t)] for t in range(first, first + size)])
+    assert len(got) == len(want)
+    assert {(r["drone_id"], r["window_index"]): (r["seq"], r["tensor"]) for r in got} == want
