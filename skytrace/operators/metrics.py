@@ -94,14 +94,20 @@ def prob_summary_approx(pred: DataFrame, by: list[str] = (), accuracy: int = 10_
     )
 
 
+def _span() -> Column:
+    return (F.max("window_end_timestamp") - F.min("window_start_timestamp")).alias("_span")
+
+
+def _hours() -> Column:
+    """Hours of all drones' spans."""
+    total = F.sum(F.when(F.col("_span") > 0, F.col("_span")).otherwise(0.0))
+    return (F.coalesce(total, F.lit(0.0)) / 1000.0 / 3600.0).alias("flight_hours")
+
+
 def flight_hours(win: DataFrame, by: list[str] = ()) -> DataFrame:
     """Hours covered by windows, per drone from first start to last end, summed."""
     keys = list(dict.fromkeys([*by, RUN, DRONE]))
-    spans = win.groupBy(*keys).agg(
-        (F.max("window_end_timestamp") - F.min("window_start_timestamp")).alias("_span")
-    )
-    total = F.sum(F.when(F.col("_span") > 0, F.col("_span")).otherwise(0.0))
-    return spans.groupBy(*by).agg((F.coalesce(total, F.lit(0.0)) / 1000.0 / 3600.0).alias("flight_hours"))
+    return win.groupBy(*keys).agg(_span()).groupBy(*by).agg(_hours())
 
 
 def _joined(parts: list[DataFrame], by: list[str]) -> DataFrame:
@@ -113,12 +119,13 @@ def _joined(parts: list[DataFrame], by: list[str]) -> DataFrame:
 
 def run_metrics(pred: DataFrame, runs: DataFrame, threshold: float = 0.5) -> DataFrame:
     """One line per run, runs without windows too. ``runs`` needs run_id, run_label, drones."""
-    counted = pred.groupBy(RUN, DRONE).agg(F.count(F.lit(1)).alias("n"), *_cell_counts(threshold))
+    # one shuffle for counts and hours: a row a drone
+    counted = pred.groupBy(RUN, DRONE).agg(F.count(F.lit(1)).alias("n"), _span(), *_cell_counts(threshold))
     per_run = counted.groupBy(RUN).agg(
-        F.sum("n").alias("windows"), F.count(DRONE).alias("_scored"),
+        F.sum("n").alias("windows"), F.count(DRONE).alias("_scored"), _hours(),
         *[F.sum(c).alias(c) for c in ("tp", "fp", "fn", "tn")],
     )
-    rest = prf(per_run).join(flight_hours(pred, [RUN]), RUN, "left").join(prob_summary(pred, [RUN]), RUN, "left")
+    rest = prf(per_run).join(prob_summary(pred, [RUN]), RUN, "left")
     benign = F.col("run_label") == "benign"
     return runs.join(rest, RUN, "left").select(
         RUN, "run_label", "drones",
@@ -139,13 +146,13 @@ def benign_rates(pred: DataFrame, threshold: float = 0.5, drones: DataFrame | No
     window count as well; without it the drones with windows do.
     """
     rows = pred.filter(F.col("run_label") == "benign")
-    cm = rows.groupBy(RUN, DRONE).agg(F.count(F.lit(1)).alias("n"), *_cell_counts(threshold)).agg(
-        F.coalesce(F.sum("n"), F.lit(0)).alias("windows"), F.count(DRONE).alias("drones"),
+    cm = rows.groupBy(RUN, DRONE).agg(F.count(F.lit(1)).alias("n"), _span(), *_cell_counts(threshold)).agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("windows"), F.count(DRONE).alias("drones"), _hours(),
         *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("tp", "fp", "fn", "tn")],
     )
     if drones is not None:
         cm = cm.drop("drones").crossJoin(F.broadcast(_files_of(rows, drones)))
-    joined = _joined([cm, flight_hours(rows), prob_summary(rows)], [])
+    joined = _joined([cm, prob_summary(rows)], [])
     return joined.withColumn("threshold", F.lit(float(threshold))).withColumns(_alarm_rates()).filter("windows > 0")
 
 
