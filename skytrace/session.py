@@ -60,6 +60,22 @@ def stored(df, label: str):
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(df) -> None:
+    """Deletes the table of :func:`stored` that ``df`` reads, once nothing needs it any more.
+
+    Only folders this library made in the shared folder are ever deleted.
+    """
+    spark = df.sparkSession
+    folders = {os.path.dirname(name) for name in df.inputFiles()}
+    for folder in folders:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        shared = spark._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
+        files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        made = re.fullmatch(r"[a-z]+-[0-9a-f]{32}", path.getName())
+        if made and files.makeQualified(path).getParent() == files.makeQualified(shared):
+            files.delete(path, True)
+
+
 def cut_lineage(df):
     """Reliable checkpoint in the shared folder, so a lost executor costs no recompute chain."""
     spark = df.sparkSession

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions
 from skytrace import fixed_values as fixed
 from skytrace.functions import scalars as S
 from skytrace.operators.labeling import with_constant_label
-from skytrace.session import cut_lineage, stored
+from skytrace.session import cut_lineage, discard, stored
 from skytrace.sources.table_log import TableLog
 
 PATH = "_path"
@@ -211,9 +211,10 @@ def convert_all(spark: SparkSession, root: str, out: str, force: bool = False) -
         if not todo:
             break
         try:
-            lines = _captured(landed(spark, todo))
-            rows = with_drone_id(_parsed(lines.drop("run_name", "drone_id"))).withColumn("run_name", run_of(PATH))
+            text = landed(spark, todo)
+            rows = with_drone_id(_parsed(_captured(text).drop("run_name", "drone_id"))).withColumn("run_name", run_of(PATH))
             write_flight(rows.withColumnRenamed(PATH, "filename"), out, force)
+            discard(text)
             break
         except (PySparkException, Py4JJavaError) as error:
             file = _unreadable(error)

@@ -1,6 +1,7 @@
 """File sources and sinks on small hand-made trees."""
 
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -72,9 +73,13 @@ def test_conversion_scans_the_text_once(spark, tree, tmp_path, monkeypatch):
     for kind in ("text", "csv"):
         own = getattr(Reader, kind)
         monkeypatch.setattr(Reader, kind, lambda self, *a, _own=own, _kind=kind, **b: opened.append((_kind, a)) or _own(self, *a, **b))
-    out = str(tmp_path / "flight")
+    out, landed = str(tmp_path / "flight"), []
+    own_landed = capture.landed
+    monkeypatch.setattr(capture, "landed", lambda *a: landed.append(own_landed(*a)) or landed[-1])
     capture.convert_all(spark, tree, out).collect()
     assert [k for k, _ in opened] == ["text"]
+    # the landed lines are gone, as nothing needs them after the write
+    assert not any(os.path.exists(name.removeprefix("file:").replace("///", "/")) for name in landed[0].inputFiles())
     capture.convert_all(spark, tree, out).collect()
     assert len(opened) == 1  # built runs are not read again
     plan = capture.read_flight(spark, out)._jdf.queryExecution().executedPlan().toString()
