@@ -329,22 +329,24 @@ def near_duplicates(docs: DataFrame, width: int = 3, percent: int = 85, trees: i
     large = stored(large, "large")
     subs = stored(_candidates(groups, classes, percent), "candidates")
     texts = stored(everything.join(subs.select("doc").unionByName(large.select("doc")).distinct(), "doc", "left_semi"), "texts")
-    found, labels = [subs], components(links)
+    found, labels, active = [subs], components(links), classes
     for level in range(1, DEPTH + 1):
         if large.isEmpty():
             break
+        # whatever this level and later ones compare; each level's signatures are those of the one before that are left
+        active = stored(active.join(large.select("doc").distinct(), "doc", "left_semi"), "active")
         open_ = _several(found[-1].join(large.select("doc").distinct(), "doc", "left_semi"), "sub", labels)
         links = links.unionByName(stored(_confirmed(open_, texts, width, percent), "confirmed"))
         labels = components(links)
         met, large = _apart(large, "node", labels)
         large = stored(large, "large")
         if level < DEPTH:
-            rows = stored(_branch(large.join(classes.select("doc", "signature"), "doc"), "node", percent), "nodes")
+            rows = stored(_branch(large.join(active.select("doc", "signature"), "doc"), "node", percent), "nodes")
             groups, large = _groups(rows)
             large = stored(large, "large")
         else:
             groups = _in_blocks(_once(large), "node")
-        found.append(stored(_candidates(met.unionByName(groups), classes, percent), "candidates"))
+        found.append(stored(_candidates(met.unionByName(groups), active, percent), "candidates"))
     if len(found) > 1:
         subs = stored(reduce(DataFrame.unionByName, found).groupBy("sub", "doc").agg(F.min("tree").alias("tree")), "candidates")
     near = components(_stars(subs))
