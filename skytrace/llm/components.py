@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skytrace.llm.tasks import stored
+from skytrace.session import discard
 
 
 def _checksum(edges: DataFrame) -> tuple:
@@ -33,7 +34,8 @@ def components(links: DataFrame) -> DataFrame:
         down = large.where("u <> v").distinct().select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
         least = down.groupBy("u").agg(F.min("v").alias("m"))
         small = down.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = stored(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "links")
+        before, edges = edges, stored(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "links")
+        discard(before)
         now = _checksum(edges)
         if now == seen:
             break

@@ -10,28 +10,22 @@ minwise agreement lies four deviations under the threshold, then intersects the
 Scale and skew:
 
 * Equal sets are one class before the join, by a map-side combined aggregate. Copies never meet.
-* Only (node, document) ids are shuffled for all documents; signatures follow for nodes of two
-  documents or more. Nodes with the same members are compared once. Pairs whose signatures may reach
-  the threshold make candidate classes; texts are read only for their members, and where a class has
-  up to ``LEAF`` members each text once: all its pairs are intersected in one task.
+* The first ``FIRST`` trees run before the others. A node whose documents are one component of confirmed
+  links already has nothing to find, so it ends before signatures or texts are fetched for it: the
+  other trees cost what is still in question. Only (node, document, component) ids are shuffled for all
+  documents. Nodes with the same members are compared once, and so are candidate groups.
+* A task searches a group from one document to those not reached yet, so a family of near copies takes
+  few steps, and its result is a spanning forest: one row per document at most.
 * A node over ``LEAF`` is dealt into blocks, each with the node's pivot, so a family of near copies
   becomes one component without its pairs being listed. It branches on until its members are one
   component of links confirmed on the texts; agreeing signatures alone don't end it. Once at most
   ``OTHERS`` documents are outside its largest component, these meet the rest block by block, and so
   does all that is left beyond ``DEPTH`` levels: no pair is given up for a node's size.
-* A class over ``LEAF`` is confirmed in the nodes of two trees. If its largest component then leaves at
-  most ``OTHERS`` members out, these meet the rest block by block, otherwise the nodes of all trees
-  that still hold several components are compared.
-* Results leave a task as a spanning forest of confirmed links, one row per document at most.
-
-Two sets at exactly the threshold miss every tree with probability under 1e-4 for nodes three levels
-deep (1e-9 for leaves of the first), and fail the signature filter of 128 values with probability 3e-5.
+* Tables of a level are deleted once the next one is stored.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
@@ -41,12 +35,13 @@ from pyspark.sql import functions as F
 from skytrace.llm.components import components
 from skytrace.llm.tasks import fixed_bytes, long_keys, map_groups, stored, to_binary
 from skytrace.llm.textbytes import mix, shingle_sets, slices, word_hashes
+from skytrace.session import discard
 
 SIZE = 128  # minwise values per set
 TREES = 10
-FIRST = 2  # trees whose texts are compared before the others
-LEAF = 128
-OTHERS = 256  # documents outside a group's largest class that are compared with all of it
+FIRST = 2  # trees that run before the others
+LEAF = 1024
+OTHERS = 256  # documents outside a node's largest component that are compared with all of it
 DEPTH = 6
 _FACTORS = np.random.default_rng(20).integers(0, 1 << 63, SIZE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -85,8 +80,8 @@ def shingle_signatures(docs: DataFrame, width: int) -> DataFrame:
     )
 
 
-def _branch(sets: DataFrame, node: str, percent: int) -> DataFrame:
-    """Children of each row's node: ``(tree, node, doc)``."""
+def _branch(rows: DataFrame, percent: int) -> DataFrame:
+    """Children of each row's node: ``(node, doc, part)``."""
     extra = 100 / percent - 1
 
     def run(batches):
@@ -94,27 +89,27 @@ def _branch(sets: DataFrame, node: str, percent: int) -> DataFrame:
             if not batch.num_rows:
                 continue
             sig = fixed_bytes(batch.column("signature"), 4 * SIZE).view(np.uint32)
-            tree = batch.column("tree").to_numpy()
-            doc = batch.column("doc").to_numpy()
+            doc, part = batch.column("doc").to_numpy(), batch.column("part").to_numpy()
             parent = batch.column("node").to_numpy().view(np.uint64)
             one, two, chance = (mix(parent + np.uint64(k)) for k in (11, 12, 13))
             twice = np.flatnonzero(chance / 2.0**64 < extra)
-            rows = np.concatenate((np.arange(len(doc)), twice))
+            own = np.concatenate((np.arange(len(doc)), twice))
             at = np.concatenate((one, two[twice])) % np.uint64(SIZE)
-            child = mix(mix(parent[rows] + at + np.uint64(17)) ^ sig[rows, at.astype(np.int64)].astype(np.uint64))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(tree[rows]), pa.array(long_keys(child)), pa.array(doc[rows])], ["tree", "node", "doc"]
-            )
+            child = mix(mix(parent[own] + at + np.uint64(17)) ^ sig[own, at.astype(np.int64)].astype(np.uint64))
+            yield pa.RecordBatch.from_arrays([pa.array(long_keys(child)), pa.array(doc[own]), pa.array(part[own])], ["node", "doc", "part"])
 
-    return sets.select("tree", F.col(node).alias("node"), "doc", "signature").mapInArrow(run, "tree int, node long, doc long")
+    return rows.select("node", "doc", "part", "signature").mapInArrow(run, "node long, doc long, part long")
 
 
-def _roots(sets: DataFrame, percent: int, trees: int) -> DataFrame:
-    """First level of all trees: ``(tree, node, doc)``. The trees' first coordinates differ."""
+def _picks(percent: int, trees: int) -> list[tuple[int, int]]:
+    """Tree and coordinate of all roots. The trees' first coordinates differ."""
     rng = np.random.default_rng(7)
     first = [int(rng.permutation(SIZE)[0]) if trees > SIZE else int(x) for x in rng.permutation(SIZE)[:trees]]
-    picks = [(t, c) for t, c in enumerate(first)]
-    picks += [(t, int(rng.integers(SIZE))) for t in range(trees) if rng.random() < 100 / percent - 1]
+    return [*enumerate(first), *((t, int(rng.integers(SIZE))) for t in range(trees) if rng.random() < 100 / percent - 1)]
+
+
+def _roots(sets: DataFrame, picks: list[tuple[int, int]]) -> DataFrame:
+    """First level of trees: ``(node, doc, part)``."""
 
     def run(batches):
         for batch in batches:
@@ -123,79 +118,73 @@ def _roots(sets: DataFrame, percent: int, trees: int) -> DataFrame:
             sig = fixed_bytes(batch.column("signature"), 4 * SIZE).view(np.uint32)
             n = len(sig)
             node = np.concatenate([mix(mix(np.full(n, t * SIZE + c + 1, np.uint64)) ^ sig[:, c].astype(np.uint64)) for t, c in picks])
-            tree = np.repeat(np.array([t for t, _ in picks], np.int32), n)
-            doc = np.tile(batch.column("doc").to_numpy(), len(picks))
-            yield pa.RecordBatch.from_arrays([pa.array(tree), pa.array(long_keys(node)), pa.array(doc)], ["tree", "node", "doc"])
-
-    return sets.select("doc", "signature").mapInArrow(run, "tree int, node long, doc long")
-
+            doc, part = (np.tile(batch.column(c).to_numpy(), len(picks)) for c in ("doc", "part"))
+            yield pa.RecordBatch.from_arrays([pa.array(long_keys(node)), pa.array(doc), pa.array(part)], ["node", "doc", "part"])
 
-def _forest(n: int, pairs) -> np.ndarray:
-    """Smallest index of each of ``n`` items' group under ``pairs``."""
-    root = np.arange(n)
-
-    def find(i):
-        while root[i] != i:
-            root[i] = root[root[i]]
-            i = root[i]
-        return i
-
-    for i, j in pairs:
-        i, j = find(i), find(j)
-        root[max(i, j)] = min(i, j)
-    return np.array([find(i) for i in range(n)], np.int64)
+    return sets.select("doc", "part", "signature").mapInArrow(run, "node long, doc long, part long")
 
 
 def _candidates(groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Members of each group that may have a link there, as ``(tree, sub, doc)``; equal subgroups get equal names."""
-    near = percent / 100 - 4 * np.sqrt(percent / 100 * (1 - percent / 100) / SIZE)
+    """Members of each ``(group, doc)`` that may have a link there, as ``(sub, doc)``; equal subgroups get equal names."""
+    near = (percent / 100 - 4 * np.sqrt(percent / 100 * (1 - percent / 100) / SIZE)) * SIZE
 
     def work(table: pa.Table, bounds: np.ndarray):
         low = fixed_bytes(table.column("low"), SIZE)
-        n, doc, tree = (table.column(c).to_numpy() for c in ("n_shingles", "doc", "tree"))
+        n, doc = (table.column(c).to_numpy() for c in ("n_shingles", "doc"))
         size = np.diff(bounds)
         rows, names = [], []
 
-        def keep(index: np.ndarray) -> None:
-            rows.append(index)
-            names.append(np.full(len(index), mix(doc[index].view(np.uint64)).sum(dtype=np.uint64) + np.uint64(len(index))))
+        def alike(i, j):
+            return ((low[i] == low[j]).sum(1) >= near) & (100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j]))
 
         two = bounds[:-1][size == 2]
-        alike = (low[two] == low[two + 1]).mean(1) >= near
-        small, large = np.minimum(n[two], n[two + 1]), np.maximum(n[two], n[two + 1])
-        two = two[alike & (100 * small >= percent * large) & (doc[two] != doc[two + 1])]
+        two = two[alike(two, two + 1) & (doc[two] != doc[two + 1])]
         if len(two):
             rows.append(np.stack((two, two + 1), 1).ravel())
-            both = mix(doc[two].view(np.uint64)) + mix(doc[two + 1].view(np.uint64)) + np.uint64(2)
-            names.append(np.repeat(both, 2))
-        for i in np.flatnonzero(size > 2):
-            a, b = bounds[i], bounds[i + 1]
-            order = a + np.unique(doc[a:b], return_index=True)[1]
-            block = low[order]
-            alike = np.stack([(block == x).mean(1) for x in block]) >= near
-            sizes = n[order]
-            alike &= 100 * np.minimum(sizes[:, None], sizes) >= percent * np.maximum(sizes[:, None], sizes)
-            left, right = np.nonzero(np.triu(alike, 1))
-            root = _forest(len(order), zip(left.tolist(), right.tolist(), strict=True))
-            for r, count in zip(*np.unique(root, return_counts=True), strict=True):
-                if count > 1:
-                    keep(order[root == r])
+            names.append(np.repeat(mix(doc[two].view(np.uint64)) + mix(doc[two + 1].view(np.uint64)) + np.uint64(2), 2))
+        for g in np.flatnonzero(size > 2):
+            left = bounds[g] + np.unique(doc[bounds[g] : bounds[g + 1]], return_index=True)[1]
+            while len(left) > 1:
+                reached, left, k = [left[0]], left[1:], 0
+                while k < len(reached) and len(left):
+                    hit = alike(left, reached[k])
+                    reached.extend(left[hit])
+                    left, k = left[~hit], k + 1
+                if len(reached) > 1:
+                    index = np.array(reached)
+                    rows.append(index)
+                    names.append(np.full(len(index), mix(doc[index].view(np.uint64)).sum(dtype=np.uint64) + np.uint64(len(index))))
         if not rows:
             return None
-        index = np.concatenate(rows)
-        return pa.RecordBatch.from_arrays(
-            [pa.array(tree[index]), pa.array(long_keys(np.concatenate(names))), pa.array(doc[index])], ["tree", "sub", "doc"]
-        )
+        return pa.RecordBatch.from_arrays([pa.array(long_keys(np.concatenate(names))), pa.array(doc[np.concatenate(rows)])], ["sub", "doc"])
 
     members = groups.join(sets.select("doc", "n_shingles", "low"), "doc")
-    found = map_groups(members, "group", work, "tree int, sub long, doc long")
-    return found.groupBy("sub", "doc").agg(F.min("tree").alias("tree"))
-
-
-def _stars(subs: DataFrame) -> DataFrame:
-    """Each member of a subgroup linked with its smallest."""
-    least = subs.groupBy("sub").agg(F.min("doc").alias("v"))
-    return subs.join(least, "sub").select(F.col("doc").alias("u"), "v")
+    return map_groups(members, "group", work, "sub long, doc long").distinct()
+
+
+def _forest(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """Links that join all members of each component: every set is searched from one already reached."""
+    size = np.array([len(x) for x in sets])
+    ids = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    ends = np.cumsum(size)
+    mark = np.zeros(int(ids.max()) + 1 if len(ids) else 0, np.int32)
+    left = np.flatnonzero(size)
+    flat = ids  # the sets of ``left``, end to end
+    links = []
+    while len(left) > 1:
+        reached, flat, left = [left[0]], flat[size[left[0]] :], left[1:]
+        while reached and len(left):
+            i = reached.pop()
+            own = ids[ends[i] - size[i] : ends[i]]
+            mark[own] = 1
+            both = np.add.reduceat(mark[flat], np.cumsum(size[left]) - size[left])
+            mark[own] = 0
+            hit = 100 * both >= percent * (size[i] + size[left] - both)
+            if hit.any():
+                links.extend((int(i), int(j)) for j in left[hit])
+                reached.extend(left[hit])
+                flat, left = flat[np.repeat(~hit, size[left])], left[~hit]
+    return links
 
 
 def _confirmed(subs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
@@ -213,19 +202,9 @@ def _confirmed(subs: DataFrame, texts: DataFrame, width: int, percent: int) -> D
             words, first = word_hashes(part.column("text"))
             found = list(shingle_sets(words, first, width))
             for a, b in zip(bounds[begin:end] - bounds[begin], bounds[begin + 1 : end + 1] - bounds[begin], strict=True):
-                root = np.arange(b - a)
-                for i in range(a + 1, b):
-                    for j in range(a, i):
-                        if root[i - a] == root[j - a]:
-                            continue
-                        x, y = found[i], found[j]
-                        if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
-                            continue
-                        both = len(np.intersect1d(x, y, assume_unique=True))
-                        if both and 100 * both >= percent * (len(x) + len(y) - both):
-                            u.append(doc[i])
-                            v.append(doc[j])
-                            root[root == root[i - a]] = root[j - a]
+                for i, j in _forest(found[a:b], percent):
+                    u.append(doc[a + i])
+                    v.append(doc[a + j])
             begin = end
         return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
 
@@ -233,73 +212,107 @@ def _confirmed(subs: DataFrame, texts: DataFrame, width: int, percent: int) -> D
     return map_groups(members, "sub", work, "u long, v long")
 
 
-def _several(rows: DataFrame, key: str, labels: DataFrame) -> DataFrame:
-    """The rows of groups that hold several components.
+def _nodes(rows: DataFrame) -> DataFrame:
+    """``(node, n, h1, h2)`` of the nodes that hold several components; h1 and h2 identify the members."""
+    nodes = rows.groupBy("node").agg(
+        F.count("*").alias("n"), F.min("part").alias("lo"), F.max("part").alias("hi"),
+        F.bit_xor(F.xxhash64("doc")).alias("h1"), F.bit_xor(F.xxhash64("doc", F.lit(1))).alias("h2"),
+    )
+    return nodes.where("lo < hi").select("node", "n", "h1", "h2")
 
-    Only rows with a link meet their label; a group is one component if all its rows have one, the same.
-    """
-    named = rows.join(labels.withColumnRenamed("id", "doc"), "doc").groupBy(key).agg(
-        F.count("*").alias("named"), F.min("component").alias("lo"), F.max("component").alias("hi")
-    ).where("lo = hi")
-    whole = rows.groupBy(key).agg(F.count("*").alias("n")).join(named, key).where("n = named")
-    return rows.join(whole.select(key), key, "left_anti")
 
+def _once(nodes: DataFrame) -> DataFrame:
+    """One of the nodes with the same members."""
+    return nodes.groupBy("n", "h1", "h2").agg(F.min("node").alias("node")).select("node")
 
-def _groups(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Groups to compare ``(tree, group, doc)``, and the rows of nodes that must branch on."""
-    mixed = F.xxhash64("node", "doc")
-    nodes = rows.groupBy("node").agg(
-        F.count("*").alias("n"), F.sum(F.xxhash64("doc").cast("decimal(38,0)")).alias("members"),
-        F.min(F.struct(mixed.alias("h"), "doc")).alias("pivot"), F.min("tree").alias("tree"),
-    ).where("n > 1")
-    nodes = nodes.groupBy("n", "members").agg(F.min(F.struct("tree", "node", "pivot")).alias("x")).select(
-        "x.tree", "x.node", F.col("x.pivot.doc").alias("pivot"), "n"
-    )
-    sizes = rows.groupBy("node").agg(F.count("*").alias("n")).where(F.col("n") > LEAF)
-    inside = rows.drop("tree").join(nodes, "node")
-    block = F.when(F.col("n") > LEAF, F.pmod(mixed, F.ceil(F.col("n") / LEAF))).otherwise(F.lit(0))
-    group = lambda block: F.xxhash64("node", block).alias("group")
-    large = nodes.where(F.col("n") > LEAF)
-    members = inside.where((F.col("n") <= LEAF) | (F.col("doc") != F.col("pivot"))).select("tree", group(block.cast("long")), "doc")
-    pivots = large.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("n") / LEAF) - 1)).alias("block"))
-    pivots = pivots.select("tree", group(F.col("block")), F.col("pivot").alias("doc"))
-    # nodes of several trees with the same members branch on each by its own coordinates
-    return members.unionByName(pivots), rows.join(sizes, "node").select("tree", "node", "doc")
-
-
-def _once(rows: DataFrame) -> DataFrame:
-    """The rows of one of the nodes with the same members."""
-    nodes = rows.groupBy("node").agg(F.count("*").alias("n"), F.sum(F.xxhash64("doc").cast("decimal(38,0)")).alias("members"))
-    return rows.join(nodes.groupBy("n", "members").agg(F.min("node").alias("node")).select("node"), "node", "left_semi")
-
-
-def _in_blocks(rows: DataFrame, key: str) -> DataFrame:
-    """All pairs of half-size blocks of each group: the exact way for what never became small."""
-    half = LEAF // 2
-    counted = rows.join(rows.groupBy(key).agg(F.ceil(F.count("*") / half).alias("k")), key)
-    own = counted.withColumn("b", F.pmod(F.xxhash64("doc", key), F.col("k")))
+
+def _dealt(large: DataFrame) -> DataFrame:
+    """Blocks ``(group, doc)`` of large nodes, each with the node's pivot."""
+    order = F.xxhash64("node", "doc")
+    pivots = large.groupBy("node").agg(F.min_by("doc", order).alias("doc"), F.ceil(F.first("n") / LEAF).alias("k"))
+    pivots = pivots.select("node", "doc", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)).alias("b"))
+    own = large.select("node", "doc", F.pmod(order, F.ceil(F.col("n") / LEAF)).alias("b"))
+    return own.unionByName(pivots).select(F.xxhash64("node", "b").alias("group"), "doc")
+
+
+def _in_blocks(large: DataFrame) -> DataFrame:
+    """All pairs of half-size blocks of each node: the exact way for what never became small."""
+    own = large.withColumn("k", F.ceil(F.col("n") / (LEAF // 2))).withColumn("b", F.pmod(F.xxhash64("doc", "node"), F.col("k")))
     met = own.withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)))
-    return met.select("tree", F.xxhash64(key, F.least("b", "o"), F.greatest("b", "o")).alias("group"), "doc")
+    return met.select(F.xxhash64("node", F.least("b", "o"), F.greatest("b", "o")).alias("group"), "doc")
 
 
-def _apart(rows: DataFrame, key: str, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Rows of groups with several components of confirmed links, in two parts.
+def _with_part(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """``rows`` with ``part``, the component of doc."""
+    named = rows.join(labels.withColumnRenamed("id", "doc"), "doc", "left")
+    return named.withColumn("part", F.coalesce("component", "doc")).drop("component")
 
-    First, as ``(tree, group, doc)``: where at most ``OTHERS`` rows are outside the largest component, blocks of the
-    group with all of these. Second, as they are: the rows of the other groups.
+
+def _apart(large: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows of ``large(node, doc, part)`` in nodes with several components of confirmed links, in two parts.
+
+    First, as ``(group, doc)``: where at most ``OTHERS`` rows are outside the largest component, blocks of the
+    node with all of these. Second, as ``(node, doc, part, n)``: the rows of the other nodes.
     """
-    named = rows.join(labels.withColumnRenamed("id", "doc"), "doc", "left").withColumn("part", F.coalesce("component", "doc"))
-    named = stored(named.drop("component"), "classes")
-    sizes = named.groupBy(key, "part").agg(F.count("*").alias("n")).groupBy(key).agg(
+    sizes = large.groupBy("node", "part").agg(F.count("*").alias("n")).groupBy("node").agg(
         F.sum("n").alias("n"), F.max("n").alias("most"), F.max_by("part", F.struct("n", "part")).alias("main")
     )
-    sizes = sizes.where("n > most")
-    found = named.join(sizes, key)
+    found = large.join(sizes.where("n > most"), "node")
     few = found.where(F.col("n") - F.col("most") <= OTHERS).withColumn("k", F.ceil(F.col("n") / LEAF))
-    inside = few.where("part = main").withColumn("b", F.pmod(F.xxhash64("doc", key), F.col("k")))
+    inside = few.where("part = main").withColumn("b", F.pmod(F.xxhash64("doc", "node"), F.col("k")))
     outside = few.where("part <> main").withColumn("b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)))
-    met = inside.unionByName(outside).select("tree", F.xxhash64(key, "b").alias("group"), "doc")
-    return met, found.where(F.col("n") - F.col("most") > OTHERS).select("tree", key, "doc")
+    met = inside.unionByName(outside).select(F.xxhash64("node", "b").alias("group"), "doc")
+    return met, found.where(F.col("n") - F.col("most") > OTHERS).select("node", "doc", "part", "n")
+
+
+class _Search:
+    """Confirmed links so far, as components; each candidate group is read once."""
+
+    def __init__(self, sets: DataFrame, texts: DataFrame, width: int, percent: int, links: DataFrame):
+        self.sets, self.texts, self.width, self.percent = sets, texts, width, percent
+        self.done, self.labels = None, components(links)
+
+    def compare(self, groups: DataFrame) -> None:
+        subs = stored(_candidates(groups, self.sets, self.percent), "candidates")
+        fresh = subs
+        if self.done is not None:
+            fresh = fresh.join(self.done, "sub", "left_anti")
+            parts = _with_part(fresh, self.labels).groupBy("sub").agg(F.min("part").alias("lo"), F.max("part").alias("hi"))
+            fresh = fresh.join(parts.where("lo < hi").select("sub"), "sub", "left_semi")
+        links = stored(_confirmed(fresh, self.texts, self.width, self.percent), "confirmed")
+        names = subs.select("sub").distinct()
+        self.done = names if self.done is None else self.done.unionByName(names)
+        if links.isEmpty():
+            discard(links)
+            return
+        before, self.labels = self.labels, components(links.unionByName(self.labels.select(F.col("id").alias("u"), F.col("component").alias("v"))))
+        discard(before)
+        discard(links)
+
+    def search(self, picks: list[tuple[int, int]]) -> None:
+        """All levels of the trees with these roots."""
+        rows = stored(_roots(_with_part(self.sets.select("doc", "signature"), self.labels), picks), "nodes")
+        for level in range(DEPTH + 1):
+            nodes = stored(_nodes(rows), "sizes")
+            small = rows.join(_once(nodes.where(F.col("n") <= LEAF)), "node", "left_semi").select(F.col("node").alias("group"), "doc")
+            big = nodes.where(F.col("n") > LEAF)
+            if big.isEmpty():
+                self.compare(small)
+                discard(rows)
+                discard(nodes)
+                return
+            large = stored(rows.join(big.select("node", "n"), "node").select("node", "doc", "n"), "large")
+            self.compare(small.unionByName(_dealt(large.join(_once(big), "node", "left_semi"))))
+            discard(rows)
+            met, rest = _apart(stored(_with_part(large.drop("n"), self.labels), "parts"))
+            self.compare(met)
+            if level < DEPTH:
+                rest = rest.join(self.sets.select("doc", "signature"), "doc")
+                rows = stored(_branch(rest, self.percent), "nodes")
+            else:
+                self.compare(_in_blocks(rest.join(_once(big), "node", "left_semi")))
+            discard(large)
+            discard(nodes)
 
 
 def near_duplicates(docs: DataFrame, width: int = 3, percent: int = 85, trees: int = TREES) -> DataFrame:
@@ -316,56 +329,18 @@ def near_duplicates(docs: DataFrame, width: int = 3, percent: int = 85, trees: i
     full = sets.where("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = full.groupBy(*key).agg(F.min("doc_id").alias("doc"), F.count("*").alias("copies"), F.first("signature").alias("signature"))
     classes = stored(classes.withColumn("low", _low_bytes(F.col("signature"))), "classes")
-    rows = stored(_roots(classes, percent, trees), "nodes")
-
-    everything = docs.select(F.col("doc_id").cast("long").alias("doc"), F.col("text").cast("string").alias("text"))
     # rows that share a doc_id, with different sets
     shared = full.groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1").select("doc_id")
     shared = full.join(shared, "doc_id").select("doc_id", *key).join(classes.select(*key, "doc"), key)
-    links = stored(shared.select(F.col("doc_id").alias("u"), F.col("doc").alias("v")), "confirmed")
-
-    # candidate classes, by signatures; nodes over LEAF end at one component of links on the full sets
-    groups, large = _groups(rows)
-    large = stored(large, "large")
-    subs = stored(_candidates(groups, classes, percent), "candidates")
-    texts = stored(everything.join(subs.select("doc").unionByName(large.select("doc")).distinct(), "doc", "left_semi"), "texts")
-    found, labels = [subs], components(links)
-    for level in range(1, DEPTH + 1):
-        if large.isEmpty():
-            break
-        open_ = _several(found[-1].join(large.select("doc").distinct(), "doc", "left_semi"), "sub", labels)
-        links = links.unionByName(stored(_confirmed(open_, texts, width, percent), "confirmed"))
-        labels = components(links)
-        met, large = _apart(large, "node", labels)
-        large = stored(large, "large")
-        if level < DEPTH:
-            rows = stored(_branch(large.join(classes.select("doc", "signature"), "doc"), "node", percent), "nodes")
-            groups, large = _groups(rows)
-            large = stored(large, "large")
-        else:
-            groups = _in_blocks(_once(large), "node")
-        found.append(stored(_candidates(met.unionByName(groups), classes, percent), "candidates"))
-    if len(found) > 1:
-        subs = stored(reduce(DataFrame.unionByName, found).groupBy("sub", "doc").agg(F.min("tree").alias("tree")), "candidates")
-    near = components(_stars(subs))
-    near = stored(near.select(F.col("id").alias("doc"), F.col("component").alias("class")), "near")
-
-    # links, on the full sets
-    sizes = near.groupBy("class").agg(F.count("*").alias("n"))
-    small = near.join(sizes.where(F.col("n") <= LEAF), "class").select(F.col("class").alias("sub"), "doc")
-    links = links.unionByName(stored(_confirmed(small, texts, width, percent), "confirmed"))
-    crowd = stored(near.join(sizes.where(F.col("n") > LEAF), "class").select("class", "doc"), "crowd")
-    if not crowd.isEmpty():
-        subs = stored(subs.join(crowd.select("doc"), "doc"), "candidates")
-        first = _several(subs.where(F.col("tree") < FIRST), "sub", labels)
-        links = links.unionByName(stored(_confirmed(first, texts, width, percent), "confirmed"))
-        labels = components(links)
-        met, rest = _apart(crowd.withColumn("tree", F.lit(0)), "class", labels)
-        rest = _several(subs.join(rest.select("doc"), "doc", "left_semi"), "sub", labels)
-        last = met.select(F.col("group").alias("sub"), "doc").unionByName(rest.select("sub", "doc"))
-        links = links.unionByName(stored(_confirmed(last, texts, width, percent), "confirmed"))
-    labels = components(links)
-    named = classes.select(*key, "doc", "copies").join(labels.withColumnRenamed("id", "doc"), "doc", "left")
+    links = stored(shared.select(F.col("doc_id").alias("u"), F.col("doc").alias("v")), "shared")
+
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc"), F.col("text").cast("string").alias("text"))
+    job = _Search(classes, texts, width, percent, links)
+    picks = _picks(percent, trees)
+    for some in ([p for p in picks if p[0] < FIRST], [p for p in picks if p[0] >= FIRST]):
+        if some:
+            job.search(some)
+    named = classes.select(*key, "doc", "copies").join(job.labels.withColumnRenamed("id", "doc"), "doc", "left")
     named = named.withColumn("component", F.coalesce("component", "doc"))
     # only classes of several rows or with a link: the others' rows are their own component
     named = named.where("copies > 1 OR component <> doc").select(*key, "component")
@@ -378,8 +353,6 @@ def _low_bytes(signature):
     return F.unhex(F.regexp_replace(F.hex(signature), "(..)......", "$1"))
 
 
-
-
 def one_of_each(docs: DataFrame, width: int = 3, percent: int = 85) -> DataFrame:
     """``docs`` with one document of each near-duplicate class, the one with the smallest doc_id.
 
