@@ -15,7 +15,7 @@ Scale and skew:
   other trees cost what is still in question. Only (node, document, component) ids are shuffled for all
   documents. Nodes with the same members are compared once, and so are candidate groups.
 * A task searches a group from one document to those not reached yet, so a family of near copies takes
-  few steps, and its result is a spanning forest: one row per document at most.
+  few steps, and its result is a star: one row per document at most.
 * A node over ``LEAF`` is dealt into blocks, each with the node's pivot, so a family of near copies
   becomes one component without its pairs being listed. It branches on until its members are one
   component of links confirmed on the texts; agreeing signatures alone don't end it. Once at most
@@ -162,8 +162,8 @@ def _candidates(groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return map_groups(members, "group", work, "sub long, doc long").distinct()
 
 
-def _forest(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
-    """Links that join all members of each component: every set is searched from one already reached."""
+def _stars(sets: list[np.ndarray], doc: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Each member of a component with its smallest: every set is searched from one already reached."""
     size = np.array([len(x) for x in sets])
     ids = np.unique(np.concatenate(sets), return_inverse=True)[1]
     ends = np.cumsum(size)
@@ -172,23 +172,24 @@ def _forest(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
     flat = ids  # the sets of ``left``, end to end
     links = []
     while len(left) > 1:
-        reached, flat, left = [left[0]], flat[size[left[0]] :], left[1:]
-        while reached and len(left):
-            i = reached.pop()
+        reached, flat, left, k = [left[0]], flat[size[left[0]] :], left[1:], 0
+        while k < len(reached) and len(left):
+            i, k = reached[k], k + 1
             own = ids[ends[i] - size[i] : ends[i]]
             mark[own] = 1
             both = np.add.reduceat(mark[flat], np.cumsum(size[left]) - size[left])
             mark[own] = 0
             hit = 100 * both >= percent * (size[i] + size[left] - both)
             if hit.any():
-                links.extend((int(i), int(j)) for j in left[hit])
                 reached.extend(left[hit])
                 flat, left = flat[np.repeat(~hit, size[left])], left[~hit]
+        members = doc[np.array(reached)]
+        links.extend((int(u), int(members.min())) for u in members if u != members.min())
     return links
 
 
 def _confirmed(subs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """Links ``(u, v)`` within each subgroup, exact on the full sets: a spanning forest."""
+    """Components ``(u, v)`` within each subgroup, v the smallest, by links exact on the full sets."""
 
     def work(table: pa.Table, bounds: np.ndarray):
         u, v = [], []
@@ -202,9 +203,9 @@ def _confirmed(subs: DataFrame, texts: DataFrame, width: int, percent: int) -> D
             words, first = word_hashes(part.column("text"))
             found = list(shingle_sets(words, first, width))
             for a, b in zip(bounds[begin:end] - bounds[begin], bounds[begin + 1 : end + 1] - bounds[begin], strict=True):
-                for i, j in _forest(found[a:b], percent):
-                    u.append(doc[a + i])
-                    v.append(doc[a + j])
+                for i, j in _stars(found[a:b], doc[a:b], percent):
+                    u.append(i)
+                    v.append(j)
             begin = end
         return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
 
@@ -248,21 +249,23 @@ def _with_part(rows: DataFrame, labels: DataFrame) -> DataFrame:
     return named.withColumn("part", F.coalesce("component", "doc")).drop("component")
 
 
-def _apart(large: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Rows of ``large(node, doc, part)`` in nodes with several components of confirmed links, in two parts.
+def _apart(large: DataFrame) -> DataFrame:
+    """Rows of ``large(node, doc, part)`` in nodes with several components of confirmed links.
 
-    First, as ``(group, doc)``: where at most ``OTHERS`` rows are outside the largest component, blocks of the
-    node with all of these. Second, as ``(node, doc, part, n)``: the rows of the other nodes.
+    With the node's size ``n``, its largest component ``main`` and that one's size ``most``.
     """
     sizes = large.groupBy("node", "part").agg(F.count("*").alias("n")).groupBy("node").agg(
         F.sum("n").alias("n"), F.max("n").alias("most"), F.max_by("part", F.struct("n", "part")).alias("main")
     )
-    found = large.join(sizes.where("n > most"), "node")
-    few = found.where(F.col("n") - F.col("most") <= OTHERS).withColumn("k", F.ceil(F.col("n") / LEAF))
+    return large.join(sizes.where("n > most"), "node")
+
+
+def _met(few: DataFrame) -> DataFrame:
+    """Blocks ``(group, doc)`` of nodes, each with all rows outside the largest component."""
+    few = few.withColumn("k", F.ceil(F.col("n") / LEAF))
     inside = few.where("part = main").withColumn("b", F.pmod(F.xxhash64("doc", "node"), F.col("k")))
     outside = few.where("part <> main").withColumn("b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)))
-    met = inside.unionByName(outside).select(F.xxhash64("node", "b").alias("group"), "doc")
-    return met, found.where(F.col("n") - F.col("most") > OTHERS).select("node", "doc", "part", "n")
+    return inside.unionByName(outside).select(F.xxhash64("node", "b").alias("group"), "doc")
 
 
 class _Search:
@@ -278,7 +281,8 @@ class _Search:
         if self.done is not None:
             fresh = fresh.join(self.done, "sub", "left_anti")
             parts = _with_part(fresh, self.labels).groupBy("sub").agg(F.min("part").alias("lo"), F.max("part").alias("hi"))
-            fresh = fresh.join(parts.where("lo < hi").select("sub"), "sub", "left_semi")
+            # stored, so that the join with the texts knows how few they are before it shuffles any text
+            fresh = stored(fresh.join(parts.where("lo < hi").select("sub"), "sub", "left_semi"), "fresh")
         links = stored(_confirmed(fresh, self.texts, self.width, self.percent), "confirmed")
         names = subs.select("sub").distinct()
         self.done = names if self.done is None else self.done.unionByName(names)
@@ -304,15 +308,22 @@ class _Search:
             large = stored(rows.join(big.select("node", "n"), "node").select("node", "doc", "n"), "large")
             self.compare(small.unionByName(_dealt(large.join(_once(big), "node", "left_semi"))))
             discard(rows)
-            met, rest = _apart(stored(_with_part(large.drop("n"), self.labels), "parts"))
-            self.compare(met)
+            apart = stored(_apart(_with_part(large.drop("n"), self.labels)), "apart")
+            if apart.isEmpty():
+                return
+            beyond = F.col("n") - F.col("most") > OTHERS
+            met, rest = apart.where(~beyond), apart.where(beyond)
+            if not met.isEmpty():
+                self.compare(_met(met))
+            if rest.isEmpty():
+                return
             if level < DEPTH:
                 rest = rest.join(self.sets.select("doc", "signature"), "doc")
                 rows = stored(_branch(rest, self.percent), "nodes")
             else:
                 self.compare(_in_blocks(rest.join(_once(big), "node", "left_semi")))
-            discard(large)
-            discard(nodes)
+            for table in (large, nodes, apart):
+                discard(table)
 
 
 def near_duplicates(docs: DataFrame, width: int = 3, percent: int = 85, trees: int = TREES) -> DataFrame:
