@@ -205,8 +205,9 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = ROWS) -> Model:
     """A model from at most ``rows`` labelled rows outside the held-out fold."""
     marks = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.min("quality").alias("mark"))
     marks = marks.where(fold(F.col("id"), FOLDS) != HELD_OUT).orderBy(F.xxhash64("id"), "id").limit(rows)
-    chosen = docs.join(F.broadcast(marks), docs.doc_id == marks.id).withColumn("mark", (F.col("mark") == 1).cast("int"))  # ``rows`` ids at most
-    table = _measured(chosen, "mark").toArrow()
+    chosen = docs.join(F.broadcast(marks), docs.doc_id == marks.id)  # ``rows`` ids at most, each perhaps on many rows
+    chosen = chosen.withColumn("key", F.struct((F.col("mark") == 1).cast("int").alias("mark"), F.xxhash64("id", "text").alias("order")))
+    table = _measured(chosen, "key").orderBy("key.order", "x").limit(rows).select("key.mark", "x").toArrow()
     x = table.column("x").combine_chunks().flatten().to_numpy().reshape(-1, len(MEASURES))
     return boost(x, table.column("mark").to_numpy().astype(float))
 

@@ -9,8 +9,8 @@ Inside a source the target is shared once more in the same way between bands of
 (``LENGTHS``, with ``TILT`` as weight per word), so expected copies ``m = target / size`` differ from band to band. Each
 document gets ``floor(m)`` certain copies. The remaining ``m - floor(m)`` is an inclusion probability
 p; documents are ranked by the random odds u / (1 - u) divided by the inclusion odds p / (1 - p), and
-taken in that order until the source's remaining words are reached. u comes from the doc_id, so
-reruns agree.
+taken in that order until the source's remaining words are reached. u comes from the doc_id, or from
+the text where that is null, so reruns agree.
 
 The ranking needs no sort of a source. Ranks fall into ``CELLS`` fixed cells; words per cell, added up
 before the shuffle, tell which cells are taken whole, and only the one cell that holds the cut is ordered.
@@ -51,7 +51,9 @@ def water_targets(sizes: DataFrame, by: list[str], order: str) -> DataFrame:
 
 def _sized(docs: DataFrame) -> DataFrame:
     """``docs`` as struct ``row`` with id, source, size, band and u."""
-    digits = F.substr(F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit(f":{SEED}"))), F.lit(1), F.lit(13))
+    text = F.concat(F.lit("null:"), F.md5(F.coalesce(F.col("text").cast("string"), F.lit(""))))
+    key = F.coalesce(F.col("doc_id").cast("string"), text)
+    digits = F.substr(F.md5(F.concat(key, F.lit(f":{SEED}"))), F.lit(1), F.lit(13))
     df = docs.select(
         F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id"), F.col("source").cast("string").alias("source"),
         F.size(words(F.col("text").cast("string"))).cast("long").alias("size"), (F.conv(digits, 16, 10).cast("double") / 2.0**52).alias("u"),
@@ -121,8 +123,8 @@ def mixture(docs: DataFrame, share: float = SHARE, cap: float = CAP) -> DataFram
     """What the mix takes of each row of ``docs(doc_id, text, source, ...)``.
 
     Returns doc_id, size, source_size, target, taken, copies. A null text has size 0 and is never taken;
-    a null source is a source of its own, the last. Rows that share source and doc_id are decided
-    alike, each is returned. Other columns are ignored; an empty table gives an empty result.
+    a null source is a source of its own, the last. Rows that share source and doc_id (without one: the text) are
+    decided alike, each is returned. Other columns are ignored; an empty table gives an empty result.
     """
     narrow = stored(_sized(docs.select("doc_id", "text", "source")).drop("row"), "sizes")
     df, sources = _with_copies(narrow, narrow, share, cap)
@@ -143,7 +145,7 @@ OP10_SQL = rf"""
 WITH d AS (SELECT *, {" + ".join(f"(size >= {b})::INT" for b in LENGTHS)} AS band FROM (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^ 	-
 ]+'))::BIGINT AS size,
-         ('0x' || substr(md5(coalesce(doc_id::VARCHAR, 'null') || ':{SEED}'), 1, 13))::BIGINT / 4503599627370496.0 AS u
+         ('0x' || substr(md5(coalesce(doc_id::VARCHAR, 'null:' || md5(coalesce(text, ''))) || ':{SEED}'), 1, 13))::BIGINT / 4503599627370496.0 AS u
   FROM documents)),
 b AS (SELECT source, band, sum(size)::BIGINT AS size FROM d GROUP BY ALL),
 s0 AS (SELECT source, sum(size)::BIGINT AS source_size FROM b GROUP BY ALL),

@@ -17,6 +17,7 @@ them in an equi-join that Spark splits where a host is hot. No task sees a host
 from __future__ import annotations
 
 import re
+from collections import Counter
 from hashlib import blake2b
 from html.parser import HTMLParser
 
@@ -68,6 +69,7 @@ class _Builder(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.root = Node("#root", "#root", False)
         self.open = [self.root]
+        self.over = Counter()  # started at the depth limit, not in ``open``, end still to come
 
     def _hides(self, tag: str, attrs: dict) -> bool:
         if tag in HIDDEN:
@@ -94,6 +96,9 @@ class _Builder(HTMLParser):
         if tag in VOID:
             self.handle_data(" ")
             return
+        if len(self.open) > DEEPEST and self.open[-1].hidden:  # all that is inside stays hidden
+            self.over[tag] += 1
+            return
         named = {k: v or "" for k, v in attrs}
         hidden = self._hides(tag, named)
         if tag not in BLOCKS and not hidden:
@@ -104,7 +109,7 @@ class _Builder(HTMLParser):
             self._close(*ENDS[tag])
         node = Node(tag, f"{tag}.{named.get('class', '')}", hidden)
         if len(self.open) > DEEPEST:
-            self.open.pop()
+            self.over[self.open.pop().tag] += 1
         self.open[-1].kids.append(node)
         self.open.append(node)
 
@@ -114,7 +119,12 @@ class _Builder(HTMLParser):
             self.handle_endtag(tag)
 
     def handle_endtag(self, tag):
+        if self.over[tag] > 0:
+            self.over[tag] -= 1
+            return
         self._close({tag}, set() if tag in BLOCKS else BLOCKS)
+        if len(self.open) <= DEEPEST:
+            self.over.clear()
 
     def handle_data(self, data):
         kids = self.open[-1].kids

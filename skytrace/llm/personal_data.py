@@ -7,7 +7,11 @@ checksum stand on their own; national numbers have none and count only with such
 
 A pattern that could run over the same characters again and again starts only where its run of
 characters starts (or the last match ended), and repeats possessively: the matches are the same, in
-linear time and without deep recursion on very long runs.
+linear time and without deep recursion on very long runs. Positions are running totals over the
+pieces between matches, and context is cut from blocks of the text, so a text with very many matches
+costs little more than its length.
+
+Account numbers end at their country's length, whatever follows, and may be printed in groups of four.
 """
 
 from __future__ import annotations
@@ -17,12 +21,30 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skytrace.llm.sqltext import found, total
+from skytrace.llm.sqltext import blocks, cut, found, let, running, total
 
 NEAR = 40
 ENOUGH = 0.5
 
 
+# Public lengths of account numbers by country. Other countries: 15 to 34 characters in one run.
+ACCOUNT_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FO GL NL", 19: "MK SI", 20: "AT BA EE KZ LT LU XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG",
+    25: "PT", 26: "IS TR", 27: "FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB PL SV", 29: "BR EG PS QA UA",
+    30: "JO KW MU", 31: "MT SC", 32: "LC",
+}
+
+
+def _account_pattern() -> str:
+    def of(size: int, countries: str) -> str:
+        groups, rest = divmod(size - 4, 4)
+        tail = rf"\x20?[A-Z0-9]{{{rest}}}" if rest else ""
+        return rf"(?:{countries.replace(' ', '|')})[0-9]{{2}}(?:\x20?[A-Z0-9]{{4}}){{{groups}}}{tail}"
+
+    return "|".join([*(of(n, c) for n, c in ACCOUNT_LENGTHS.items()), r"[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}"])
+
+
 class Kind(NamedTuple):
     name: str
     pattern: str
@@ -39,7 +61,7 @@ KINDS = [
          r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", 0.6, "ip|addr|host|server", r"[0-9]\.[0-9]"),
     Kind("card", r"[0-9](?:[\x20-]?[0-9])++", r"[0-9]([\x20-]?[0-9])+", 0.7, "card|visa|credit|pay", "[0-9]"),
     Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", r"\+[0-9][\x20().0-9-]+[0-9]", 0.6, "tel|phone|call|mobile|fax", r"\+[0-9]"),
-    Kind("iban", r"[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}", r"[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}", 0.8, "iban|account|bank|konto", "[A-Z]{2}[0-9]{2}"),
+    Kind("iban", _account_pattern(), _account_pattern(), 0.8, "iban|account|bank|konto", "[A-Z]{2}[0-9]{2}"),
     Kind("national_id", r"[0-9]{3}-[0-9]{2}-[0-9]{4}", r"[0-9]{3}-[0-9]{2}-[0-9]{4}", 0.3, "ssn|social|security|national", "[0-9]-[0-9]{2}-[0-9]"),
 ]
 BASE = ["email", "ip", "card", "phone"]
@@ -56,6 +78,7 @@ def _luhn(digits: Column) -> Column:
 
 def _mod97(account: Column) -> Column:
     """The first four characters move to the end, letters count 10 to 35; the remainder must be 1."""
+    account = F.replace(account, F.lit(" "), F.lit(""))
     moved = F.split(F.concat(F.substr(account, F.lit(5)), F.substr(account, F.lit(1), F.lit(4))), "")
     letters = lambda c: F.ascii(c) - 55
     step = lambda acc, c: F.when(c.rlike("[0-9]"), acc * 10 + c.cast("int")).otherwise(acc * 100 + letters(c)) % 97
@@ -73,10 +96,10 @@ def _confirmed(kind: str, m: Column) -> Column:
     return _mod97(m) if kind == "iban" else F.lit(True)
 
 
-def _spans_of(kind: Kind, text: Column) -> Column:
+def _spans_of(kind: Kind, text: Column, pieces: Column) -> Column:
     def scored(x: Column) -> Column:
-        begin, size = F.greatest(x["start"] - NEAR + 1, F.lit(1)), F.least(x["start"], F.lit(NEAR))
-        near = F.lower(F.substring(text, begin.cast("int"), size.cast("int"))).rlike(rf"\b({kind.context})")
+        size = F.least(x["start"], F.lit(NEAR))
+        near = F.lower(cut(pieces, x["start"] - size, size)).rlike(rf"\b({kind.context})")
         score = F.when(near, F.least(F.lit(kind.score + 0.3), F.lit(1.0))).otherwise(F.lit(kind.score))
         return F.struct(F.lit(kind.name).alias("kind"), x["start"].alias("start"), (x["start"] + F.length(x["m"])).alias("end"), score.alias("score"))
 
@@ -87,9 +110,9 @@ def _spans_of(kind: Kind, text: Column) -> Column:
     return F.when(some, hits).otherwise(F.array().cast("array<struct<kind:string,start:long,end:long,score:double>>"))
 
 
-def spans(text: Column) -> Column:
+def spans(text: Column, pieces: Column) -> Column:
     """Confirmed spans as ``array<struct<kind, start, end, score>>`` by kind as listed, then start."""
-    return F.concat(*[_spans_of(k, text) for k in KINDS])
+    return F.concat(*[_spans_of(k, text, pieces) for k in KINDS])
 
 
 def _listed(items: Column) -> Column:
@@ -99,7 +122,8 @@ def _listed(items: Column) -> Column:
 def with_spans(docs: DataFrame) -> DataFrame:
     """The columns of ``docs`` as struct ``row``, its text as ``t`` (null: empty) and ``found`` spans."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.select(F.struct("*").alias("row"), text.alias("t")).withColumn("found", spans(F.col("t")))
+    df = docs.select(F.struct("*").alias("row"), text.alias("t"))
+    return df.withColumn("found", let(blocks(F.col("t")), lambda pieces: spans(F.col("t"), pieces)))
 
 
 def personal_data(docs: DataFrame) -> DataFrame:
@@ -127,17 +151,17 @@ def redacted(docs: DataFrame) -> DataFrame:
     """
     df = with_spans(docs)
     order = F.sort_array(F.transform("found", lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("back"), s["kind"].alias("kind"))))
-    first = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
 
-    def step(acc: Column, s: Column) -> Column:
-        end = -s["back"]
-        gap = F.substring(F.col("t"), (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int"))
-        mark = F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]"))
-        fresh = s["start"] >= acc["at"]
-        return F.struct(F.greatest(acc["at"], end).alias("at"), F.when(fresh, F.concat(acc["out"], gap, mark)).otherwise(acc["out"]).alias("out"))
+    def replaced(spans: Column, pieces: Column, ends: Column) -> Column:
+        before = lambda i: F.coalesce(F.get(ends, i - 1), F.lit(0).cast("long"))
+        mark = lambda s: F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]"))
+        # a span that starts inside earlier ones adds nothing
+        parts = F.transform(spans, lambda s, i: F.when(s["start"] >= before(i), F.concat(cut(pieces, before(i), s["start"] - before(i)), mark(s))).otherwise(""))
+        last = before(F.size(ends))
+        return F.concat(F.array_join(parts, ""), cut(pieces, last, F.length("t") - last))
 
-    rest = lambda acc: F.concat(acc["out"], F.substr(F.col("t"), (acc["at"] + 1).cast("int")))
-    df = df.withColumn("new", F.when(F.size("found") == 0, F.col("row.text")).otherwise(F.aggregate(order, first, step, rest)))
+    new = let(order, lambda o: let(running(F.transform(o, lambda s: -s["back"]), F.greatest), lambda e: let(blocks(F.col("t")), lambda p: replaced(o, p, e))))
+    df = df.withColumn("new", F.when(F.size("found") == 0, F.col("row.text")).otherwise(new))
     changed = {"text": F.col("new"), "n_chars": F.when(F.size("found") == 0, F.col("row.n_chars")).otherwise(F.length("new"))} if "n_chars" in docs.columns else {"text": F.col("new")}
     kinds = dict(docs.dtypes)
     return df.select(*[(changed[c].cast(kinds[c]) if c in changed else F.col("row")[c]).alias(c) for c in docs.columns])
@@ -150,7 +174,7 @@ def _sql_kind(k: Kind) -> str:
         "card": f"length({digits}) BETWEEN 13 AND 19 AND list_sum(list_transform(range(1, length({digits}) + 1), lambda i: "
         f"CASE WHEN i % 2 = 1 THEN reverse({digits})[i]::INT ELSE [0, 2, 4, 6, 8, 1, 3, 5, 7, 9][reverse({digits})[i]::INT + 1] END)) % 10 = 0",
         "phone": f"length({digits}) BETWEEN 9 AND 15",
-        "iban": "list_reduce(list_prepend(0, list_transform(string_split(substring(m, 5) || substring(m, 1, 4), ''), lambda c: "
+        "iban": "list_reduce(list_prepend(0, list_transform(string_split(substring(replace(m, ' ', ''), 5) || substring(m, 1, 4), ''), lambda c: "
         "CASE WHEN c BETWEEN '0' AND '9' THEN c::INT ELSE ascii(c) - 55 END)), lambda a, x: (a * CASE WHEN x > 9 THEN 100 ELSE 10 END + x) % 97) = 1",
     }
     near = rf"regexp_matches(lower(substring(t, greatest(s - {NEAR} + 1, 1), least(s, {NEAR}))), '\b({k.context})')"

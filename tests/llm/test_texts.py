@@ -45,6 +45,16 @@ def test_same_article_with_other_menus(spark):
     assert all(found[30 + i] == f"story {i}\nmore {i}" for i in range(12))
 
 
+def test_hidden_parts_stay_hidden_at_any_depth():
+    def shown(node):
+        return [] if node.hidden else [node.text] * bool(node.text) + [t for k in node.kids for t in shown(k)]
+
+    inner = "<nav><ul><li>one<li>two</ul><div>three</div>tail</nav><p>article</p>"
+    for depth in (0, 10, page_text.DEEPEST - 2, page_text.DEEPEST - 1, page_text.DEEPEST, page_text.DEEPEST + 60):
+        assert shown(page_text.parse("<div>" * depth + inner + "</div>" * depth + "<p>end</p>")) == ["article", "end"]
+        assert shown(page_text.parse("<div><nav>" + "<div>" * depth + "menu" + "</div>" * depth + "more</nav><p>end</p></div>")) == ["end"]
+
+
 def test_tree_matching_is_the_largest():
     a = page_text.parse("<ul><li>a</li><li>b<p>c</p></li></ul><p>x</p>")
     b = page_text.parse("<p>n</p><ul><li>b<p>d</p></li></ul><p>x</p><p>y</p>")
@@ -156,6 +166,41 @@ def test_personal_data(spark, odd, none):
     assert personal_data.redacted(odd).exceptAll(odd).count() == 0
 
 
+def test_account_numbers_end_at_their_length(spark):
+    texts = ["GB82WEST12345698765432", "is GB82 WEST 1234 5698 7654 32.", "GB82WEST12345698765432ABC99", "DE89 3704 0044 0532 0130 00 BANK", "GB83 WEST 1234 5698 7654 32"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    clean = {r["doc_id"]: r["text"] for r in personal_data.redacted(docs).collect()}
+    assert [clean[i] for i in range(5)] == ["[IBAN]", "is [IBAN].", "[IBAN]ABC99", "[IBAN] BANK", texts[4]]
+
+
+def test_very_many_matches_in_one_text(spark):
+    marks = ["a@b.co", "10.0.0.1", "+4930 1234567", "phone", "é\U0001f600 " * 700, "123-45-6789", "ssn 123-45-6789"]
+    rng = np.random.default_rng(6)
+    text = "; ".join(marks[k] for k in rng.integers(len(marks), size=3000))
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    got = personal_data.personal_data(docs).collect()[0]
+    want = []
+    for kind in personal_data.KINDS:
+        for m in re.finditer(kind.plain, text):
+            near = re.search(rf"\b({kind.context})", text[max(0, m.start() - personal_data.NEAR) : m.start()].lower())
+            if kind.name in ("email", "ip", "phone") or (kind.name == "national_id" and near):
+                want.append((kind.name, m.start(), m.end()))
+    assert got["spans"] == ",".join(f"{k}:{a}:{b}" for k, a, b in want)
+    plain, at = [], 0
+    for a, b, kind in sorted((a, b, k) for k, a, b in want):
+        plain += [text[at:a], f"[{kind.upper()}]"]
+        at = b
+    assert personal_data.redacted(docs).collect()[0]["text"] == "".join(plain) + text[at:]
+
+
+def test_rows_without_an_id_are_drawn_by_their_text(spark):
+    rows = [(None, f"w{i} " + "w " * 9, "a") for i in range(2000)] + [(i, "w " * 10, "b") for i in range(3000)]
+    got = mixing.mixture(spark.createDataFrame(rows, "doc_id long, text string, source string")).toPandas()
+    by = got.groupby(["source_size", "target"]).taken.sum().reset_index()
+    assert (abs(by.taken - by.target) <= 20).all()
+    assert got[got.doc_id.isna()].copies.nunique() > 1 or (by.target == 2 * by.source_size).any()
+
+
 def test_mixing(spark, odd, none):
     rows = [(i, "w " * (i % 50), f"s{i % 7 if i % 3 else 0}") for i in range(3000)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
