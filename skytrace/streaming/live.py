@@ -35,16 +35,22 @@ def label_stream(sdf: DataFrame, windows: DataFrame, time: str | Column = "frame
 
 
 def stream_capture(
-    sdf: DataFrame, windows: DataFrame, out: str, checkpoint: str, by: list[str] = (), bucket_s: float = BUCKET_S, **trigger
+    sdf: DataFrame, windows: DataFrame, out: str, checkpoint: str, by: list[str] = (), bucket_s: float = BUCKET_S, folders: bool = False, **trigger
 ) -> StreamingQuery:
-    """Label good messages of known drones and append them to one folder per drone."""
+    """Label good messages of known drones and append them, each batch's rows of a drone in one file where they aren't very many.
+
+    The number of files follows the rows. With ``folders`` each drone gets a folder, to which a batch adds a file;
+    that suits some thousand drones.
+    """
     rows = S.good_data(sdf).filter(F.col("drone_id").isNotNull())
     labelled = label_stream(rows, windows, by=by, bucket_s=bucket_s).withColumns({
         "timestamp": S.to_millis("frame_timestamp"),
         "attack_type": F.coalesce("attack_type", F.lit(fixed.NULL_TEXT)),
     })
+    # Adaptive execution splits the rows of a busy drone; without it they meet in one task.
+    writer = labelled.hint("rebalance", F.col("drone_id")).writeStream
     return (
-        labelled.writeStream.partitionBy("drone_id").format("parquet").option("path", out)
+        (writer.partitionBy("drone_id") if folders else writer).format("parquet").option("path", out)
         .option("checkpointLocation", checkpoint).outputMode("append").trigger(**(trigger or {"availableNow": True})).start()
     )
 

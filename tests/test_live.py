@@ -95,6 +95,21 @@ def test_label_stream_equals_batch(stream, flight, tmp_path, spark):
     assert same(got, want) and want.filter("attack_type = 'gps_spoof'").count() > 3
 
 
+def test_capture_files_follow_rows_not_drones(spark, tmp_path):
+    rows = [message(i, i % 150, "ATTITUDE", roll=float(i)) for i in range(600)]
+    for k in range(2):
+        spark.createDataFrame(rows[k::2], SCHEMA).coalesce(1).write.parquet(str(tmp_path / f"in/part={k}"))
+    stream = spark.readStream.schema(SCHEMA).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
+    wins = spark.createDataFrame([], "window_idx int, start_epoch double, end_epoch double, target_drones array<int>, attack_type string")
+    for name, folders in (("flat", False), ("folders", True)):
+        out = tmp_path / name
+        live.stream_capture(stream, wins, str(out), str(tmp_path / f"marks-{name}"), folders=folders).awaitTermination()
+        files = list(out.rglob("part-*.parquet"))
+        assert len(files) == 150 if folders else len(files) <= 8  # a file a task, not one for each of its drones
+        got = spark.read.parquet(str(out))
+        assert sorted(map(tuple, got.select("drone_id", "seq").collect())) == sorted((i % 150, i) for i in range(600))
+
+
 def test_window_stream_equals_batch(stream, flight, tmp_path):
     att = lambda df: df.filter("mav_packet_type = 'ATTITUDE' and roll is not null")
     cols = ["run_id", "drone_id", "window_index", "row_start_index", "row_end_index", "window_start_timestamp", "window_end_timestamp", "y_true"]
