@@ -14,10 +14,13 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions
 from skytrace import fixed_values as fixed
 from skytrace.functions import scalars as S
 from skytrace.operators.labeling import with_constant_label
-from skytrace.session import cut_lineage, discard, stored
+from skytrace.operators.ordered import TARGET_ROWS, size_checked
+from skytrace.session import cut_lineage, discard, shuffle_partitions, stored
 from skytrace.sources.table_log import TableLog
 
 PATH = "_path"
+#: Tasks move their files into place themselves; else the driver does it file by file after the last task.
+COMMIT_BY_TASK = {"mapreduce.fileoutputcommitter.algorithm.version": "2"}
 
 
 @contextmanager
@@ -108,23 +111,34 @@ def read_capture(spark: SparkSession, root: str) -> DataFrame:
     return with_drone_id(rows).withColumn("run_name", run_of(PATH)).withColumnRenamed(PATH, "filename")
 
 
-def write_capture(df: DataFrame, root: str) -> None:
+def write_capture(df: DataFrame, root: str, target_rows: int = TARGET_ROWS) -> None:
     """Capture layout by run and drone: ``capture=<run>/file=drone_NNN.csv/part-*``, cells as text.
 
-    Rows are range partitioned down to the clock, so a busy drone spreads over several
-    tasks and a quiet one sits in one or two files.
+    A drone's rows meet in one task and make one file. Drones of more than ``target_rows`` rows, found by a count, are
+    dealt by their clock into as many files as it takes. The rows themselves are computed once, and every
+    core gets several tasks, since most of the time goes into making files. A failed job can leave files behind.
     """
-    df = df.repartitionByRange("run_name", "drone_id", F.col("timestamp").try_cast("double"))
+    keys = ["run_name", "drone_id"]
     cells = [
         S.format_cell(F.col(f"`{f.name}`"), f.dataType).alias(f.name)
-        for f in df.schema if f.name not in ("run_name", "drone_id")
+        for f in df.schema if f.name not in keys
     ]
+    pieces = F.ceil(F.count(F.lit(1)) / target_rows).alias("_pieces")
+    # at most rows / target_rows drones, and checked besides
+    large, n = size_checked(df.groupBy(*keys).agg(pieces).filter("_pieces > 1"))
+    dealt = df.withColumn("_piece", F.lit(0).cast("long"))
+    if n:
+        of = large.withColumnsRenamed({k: f"_r_{k}" for k in keys})
+        dealt = df.join(of, [df[k].eqNullSafe(of[f"_r_{k}"]) for k in keys], "left")
+        dealt = dealt.withColumn("_piece", F.coalesce(F.pmod(F.xxhash64("timestamp"), "_pieces"), F.lit(0)))
+    spark = df.sparkSession
+    tasks = max(shuffle_partitions(spark), 4 * spark.sparkContext.defaultParallelism)
     (
-        df.select(
+        dealt.repartition(tasks, *keys, "_piece").select(
             F.col("run_name").alias("capture"),
             F.format_string("drone_%03d.csv", F.col("drone_id").cast("int")).alias("file"), *cells,
         )
-        .write.partitionBy("capture", "file").option("header", "true").mode("overwrite").csv(root)
+        .write.partitionBy("capture", "file").options(**COMMIT_BY_TASK).option("header", "true").mode("overwrite").csv(root)
     )
 
 

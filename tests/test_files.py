@@ -33,6 +33,19 @@ def test_capture_scan(spark, tree):
     assert rows.filter("roll = 'null'").count() == 1
 
 
+def test_written_drones_make_one_file_each(spark, tmp_path):
+    rows = [("run_1_none", i % 40, str(i), None if i % 7 else "1") for i in range(400)] + [("run_2_none", 3, str(i), "2") for i in range(400)]
+    df = spark.createDataFrame(rows, "run_name string, drone_id int, timestamp string, roll string").repartition(6)
+    for target, least, most in ((1000, 1, 1), (100, 2, 4)):  # a busy drone is dealt into several files, the others never
+        root = tmp_path / f"by{target}"
+        capture.write_capture(df, str(root), target_rows=target)
+        files = lambda drone: len(list(root.glob(f"capture={drone}/part-*.csv")))
+        assert all(files(f"run_1_none/file=drone_{d:03}.csv") == 1 for d in range(40))
+        assert least <= files("run_2_none/file=drone_003.csv") <= most
+        got = capture.read_capture(spark, str(root)).select("run_name", "drone_id", "timestamp", "roll").collect()
+        assert sorted(map(tuple, got)) == sorted((r, d, t, v or "null") for r, d, t, v in rows)
+
+
 def test_files_unite_by_name(spark, tmp_path):
     put(tmp_path / "run_1/csv/drone_001.csv", "a,b\n1,2\n")
     put(tmp_path / "run_1/csv/drone_002.csv", 'b,c,a\n2,"x,y",1\n')
