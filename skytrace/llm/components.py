@@ -9,11 +9,11 @@ from skytrace.llm.tasks import stored
 from skytrace.session import discard
 
 
-def _checksum(edges: DataFrame) -> tuple:
-    row = edges.agg(
-        F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.bit_xor(F.xxhash64("v", "u"))
-    ).first()
-    return tuple(row)
+def _all_stars(edges: DataFrame) -> bool:
+    """Whether no id of ``edges(u, v)``, u above v, has two edges down or edges down and up: then v is u's component."""
+    ends = edges.select(F.col("u").alias("id"), F.lit(1).alias("down")).unionByName(edges.select(F.col("v").alias("id"), F.lit(0).alias("down")))
+    ids = ends.groupBy("id").agg(F.sum("down").alias("down"), F.count("*").alias("n"))
+    return not ids.where("down > 0 AND n > 1").agg(F.count("*")).first()[0]
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -21,13 +21,14 @@ def components(links: DataFrame) -> DataFrame:
 
     Both steps keep connectivity and only ever attach ids to smaller ones, so hubs grow by a row per
     member and the number of rounds by the logarithm of the longest chain. Minima are combined
-    before the shuffle; a hub's rows meet its minimum in an equi-join that Spark can split. Nulls and
-    loops are ignored; an empty table gives an empty one.
+    before the shuffle; a hub's rows meet its minimum in an equi-join that Spark can split. Once all edges form
+    stars, which one aggregation tells, no further round follows. Nulls and loops are ignored; an empty table
+    gives an empty one.
     """
     spread = lambda e: e.select("u", "v").unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    edges = stored(links.select("u", "v").where("u <> v").distinct(), "links")
-    seen = _checksum(edges)
-    while seen[0]:
+    edges = links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+    edges = stored(edges, "links")
+    while not _all_stars(edges):
         both = spread(edges)
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -36,10 +37,6 @@ def components(links: DataFrame) -> DataFrame:
         small = down.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         before, edges = edges, stored(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "links")
         discard(before)
-        now = _checksum(edges)
-        if now == seen:
-            break
-        seen = now
     return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(
         edges.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
     )

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skytrace.llm.components import components
-from skytrace.llm.tasks import fixed_bytes, long_keys, map_groups, stored, to_binary
+from skytrace.llm.tasks import fixed_bytes, likely, long_keys, map_groups, stored, to_binary
 from skytrace.llm.textbytes import mix, shingle_sets, slices, word_hashes
 from skytrace.session import discard
 
@@ -283,7 +283,9 @@ class _Search:
             parts = _with_part(fresh, self.labels).groupBy("sub").agg(F.min("part").alias("lo"), F.max("part").alias("hi"))
             # stored, so that the join with the texts knows how few they are before it shuffles any text
             fresh = stored(fresh.join(parts.where("lo < hi").select("sub"), "sub", "left_semi"), "fresh")
-        links = stored(_confirmed(fresh, self.texts, self.width, self.percent), "confirmed")
+        # most texts are in no open group: they are left out before the join, which shuffles the rest
+        texts = likely(self.texts, "doc", fresh.select("doc"))
+        links = stored(_confirmed(fresh, texts, self.width, self.percent), "confirmed")
         names = subs.select("sub").distinct()
         self.done = names if self.done is None else self.done.unionByName(names)
         if links.isEmpty():

@@ -6,7 +6,8 @@ from itertools import combinations
 
 import pytest
 
-from skytrace.llm import near_dedup
+from skytrace.llm import components as module
+from skytrace.llm import near_dedup, tasks
 from skytrace.llm.components import components
 
 
@@ -97,3 +98,20 @@ def test_linked_pairs_in_a_template(spark, monkeypatch, others):
     rows = list(enumerate(texts))
     got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {(r["doc_id"], r["n_shingles"], r["component_id"]) for r in got} == brute(rows, 3, 85)
+
+
+def test_few_texts_reach_the_join(spark):
+    rows = spark.range(20_000).selectExpr("id - 9000 as doc", "cast(id as string) as text").unionByName(spark.sql("select null as doc, 'x' as text"))
+    ids = spark.createDataFrame([(i,) for i in (-9000, -1, 0, 3, 3, 10_999)], "id long")
+    got = tasks.likely(rows, "doc", ids)
+    found = {r["doc"] for r in got.collect()}
+    assert {-9000, -1, 0, 3, 10_999} <= found and len(found) < 20 and got.columns == rows.columns
+    assert tasks.likely(rows, "doc", ids.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize(("links", "stored"), [([(1, 9), (9, 3), (4, 1)], 2), ([(5, 2), (7, 2), (8, 6)], 1)])
+def test_components_end_with_the_first_stars(spark, monkeypatch, links, stored):
+    seen = []
+    monkeypatch.setattr(module, "stored", lambda df, label: seen.append(label) or tasks.stored(df, label))
+    got = dict(map(tuple, components(spark.createDataFrame(links, "u long, v long")).collect()))
+    assert got == ({1: 1, 3: 1, 4: 1, 9: 1} if stored == 2 else {2: 2, 5: 2, 7: 2, 6: 6, 8: 6}) and len(seen) == stored
