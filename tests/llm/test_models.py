@@ -43,6 +43,27 @@ def test_kneser_ney_sums_to_one(spark):
         assert (p.sum(0) < 1.01).all() or neutral
 
 
+@pytest.mark.parametrize(("words", "bigrams"), [(0, 0), (5, 0), (20, 10), (400_000, 3)])
+def test_words_and_bigrams_outside_the_head_count_as_well(spark, monkeypatch, words, bigrams):
+    rng = np.random.default_rng(3)
+    rows = []
+    for i in range(400):
+        bad = i % 3 == 0
+        text = " ".join(f"w{int(x)}" for x in rng.zipf(1.3, 40) % (90 if bad else 70))
+        rows.append((i, text + (" foul play" if bad and i % 2 else "") + f" only{i}"))
+    docs = spark.createDataFrame([*rows, (None, rows[0][1]), (3, rows[3][1]), (7, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(400)], "doc_id long, toxic int")
+    score = lambda: sorted(((r.doc_id is None, r.doc_id), r.score) for r in toxicity.toxicity(docs, labels).collect())
+    whole = score()
+    monkeypatch.setattr(toxicity, "WORDS", words)
+    monkeypatch.setattr(toxicity, "BIGRAMS", bigrams)
+    monkeypatch.setattr(toxicity, "BLOCK", 4096)
+    got = score()
+    assert [k for k, _ in got] == [k for k, _ in whole]
+    assert np.abs(np.array([s for _, s in got]) - np.array([s for _, s in whole])).max() < 1e-9
+    assert np.ptp([s for _, s in whole]) > 0.1
+
+
 def test_boosting_learns_an_interaction():
     rng = np.random.default_rng(2)
     x = rng.random((4000, 3))
