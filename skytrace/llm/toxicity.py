@@ -24,6 +24,7 @@ so other texts aren't shuffled.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from typing import NamedTuple
 
 import numpy as np
@@ -37,6 +38,7 @@ from skytrace.llm.tasks import likely, long_keys, stored
 from skytrace.llm.textbytes import mix, slices, word_hashes
 
 WORDS, BIGRAMS = 400_000, 1_000_000  # in the broadcast head; ids have 20 bits
+BUCKET = 8 << 20  # bytes of text whose words or bigrams make one bucket of counts
 BLOCK = 8 << 20  # bytes of text that share their answers from the table of the others
 SPANS = [1, 4, 16]
 SEEN, CONTEXTS = 4, 4
@@ -78,42 +80,94 @@ def labelled(docs: DataFrame, marks: DataFrame) -> DataFrame:
 def _counted(texts: DataFrame) -> DataFrame:
     """``(key, toxic, ordinary)``: words by class."""
 
-    def run(batches):
-        for batch in batches:
-            for part in slices(batch, "text", 16 << 20):
-                keys, first = word_hashes(part.column("text"))
-                toxic = np.repeat(part.column("mark").to_numpy() == 1, np.diff(first))
-                distinct, index = np.unique(keys, return_inverse=True)
-                t, n = _by_class(index, toxic, len(distinct))
-                yield pa.RecordBatch.from_arrays([pa.array(long_keys(distinct)), pa.array(t), pa.array(n - t)], ["key", "toxic", "ordinary"])
+    def count(part):
+        keys, first = word_hashes(part.column("text"))
+        toxic = np.repeat(part.column("mark").to_numpy() == 1, np.diff(first))
+        distinct, index = np.unique(keys, return_inverse=True)
+        t, n = _by_class(index, toxic, len(distinct))
+        return [long_keys(distinct), t, n - t]
 
-    found = texts.select("text", "mark").mapInArrow(run, "key long, toxic long, ordinary long")
-    return found.groupBy("key").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
+    return _summed(texts, count, ["key"])
 
 
 def _pairs(texts: DataFrame, vocabulary, others: DataFrame | None) -> DataFrame:
     """``(a, b, toxic, ordinary)``: bigrams of codes by class; ``others(w)`` are the codes of words outside the vocabulary."""
     wide = others is not None
 
-    def run(batches):
-        for batch in batches:
-            for part in slices(batch, "text", 16 << 20):
-                words, first = word_hashes(part.column("text"))
-                toxic = np.repeat(part.column("mark").to_numpy() == 1, np.diff(first))
-                after = _codes(words, vocabulary.value, wide)
-                before = _before(after, first)
-                _, at, index = np.unique(_pair_keys(before, after) if wide else _bigrams(before, after), return_index=True, return_inverse=True)
-                t, n = _by_class(index, toxic, len(at))
-                yield pa.RecordBatch.from_arrays([pa.array(before[at]), pa.array(after[at]), pa.array(t), pa.array(n - t)], ["a", "b", "toxic", "ordinary"])
-
-    sums = [F.sum(c).alias(c) for c in ("toxic", "ordinary")]
-    found = texts.select("text", "mark").mapInArrow(run, "a long, b long, toxic long, ordinary long").groupBy("a", "b").agg(*sums)
+    def count(part):
+        words, first = word_hashes(part.column("text"))
+        toxic = np.repeat(part.column("mark").to_numpy() == 1, np.diff(first))
+        after = _codes(words, vocabulary.value, wide)
+        before = _before(after, first)
+        _, at, index = np.unique(_pair_keys(before, after) if wide else _bigrams(before, after), return_index=True, return_inverse=True)
+        t, n = _by_class(index, toxic, len(at))
+        return [before[at], after[at], t, n - t]
+
+    found = _summed(texts, count, ["a", "b"])
     if others is None:
         return found
     for c in ("a", "b"):  # words outside the vocabulary that are too rare are the unknown word
         found = found.join(others.withColumnRenamed("w", "w" + c), F.col(c) == F.col("w" + c), "left")
         found = found.withColumn(c, F.when((F.col(c) < 0) & F.col("w" + c).isNull(), F.lit(UNKNOWN).cast("long")).otherwise(F.col(c)))
-    return found.groupBy("a", "b").agg(*sums)
+    return found.groupBy("a", "b").agg(*[F.sum(c).alias(c) for c in ("toxic", "ordinary")])
+
+
+def _summed(texts: DataFrame, count: Callable[[pa.RecordBatch], list[np.ndarray]], keys: list[str]) -> DataFrame:
+    """``(*keys, toxic, ordinary)``: the sums of what ``count`` finds in runs of ``texts(text, mark)``.
+
+    Keys are dealt into buckets by hash. A run's keys of one bucket are shuffled as one value: sorted, the first column
+    as differences, byte by byte, compressed; that takes a third of what single rows do.
+    """
+    names = [*keys, "toxic", "ordinary"]
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = np.uint64(size // BUCKET + 1)
+
+    def packed(batches):
+        for batch in batches:
+            for part in slices(batch, "text", 16 << 20):
+                columns = count(part)
+                if not len(columns[0]):
+                    continue
+                bucket = (_pair_keys(columns[0], columns[1] if len(keys) > 1 else BEGIN) % buckets).astype(np.int64)
+                order = np.lexsort((*columns[len(keys) - 1 :: -1], bucket))
+                bucket, columns = bucket[order], [c[order] for c in columns]
+                cuts = np.flatnonzero(np.diff(bucket, prepend=-1))
+                blobs = []
+                for begin, end in zip(cuts, [*cuts[1:], len(bucket)], strict=True):
+                    own = np.stack([np.diff(columns[0][begin:end], prepend=np.int64(0)), *(c[begin:end] for c in columns[1:])])
+                    blobs.append(pa.compress(own.view(np.uint8).reshape(len(own), -1, 8).transpose(0, 2, 1).tobytes(), "zstd", asbytes=True))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(bucket[cuts]), pa.array(np.diff(np.append(cuts, len(bucket)))), pa.array(blobs, pa.binary())], ["bucket", "n", "packed"]
+                )
+
+    def unpacked(n: int, blob: bytes) -> np.ndarray:
+        flat = np.frombuffer(pa.decompress(blob, 8 * n * len(names), "zstd", asbytes=True), np.uint8)
+        columns = flat.reshape(len(names), 8, n).transpose(0, 2, 1).copy().view(np.int64).reshape(len(names), n)
+        np.cumsum(columns[0], out=columns[0])
+        return columns
+
+    def total(held: list[np.ndarray]) -> pa.RecordBatch:
+        columns = np.concatenate(held, 1)
+        columns = columns[:, np.lexsort(columns[len(keys) - 1 :: -1])]
+        fresh = np.ones(columns.shape[1], bool)
+        fresh[1:] = (columns[: len(keys), 1:] != columns[: len(keys), :-1]).any(0)
+        at = np.flatnonzero(fresh)
+        return pa.RecordBatch.from_arrays([*(pa.array(c[at]) for c in columns[: len(keys)]), *(pa.array(np.add.reduceat(c, at)) for c in columns[len(keys) :])], names)
+
+    def merged(batches):
+        held, now = [], None
+        for batch in batches:
+            for bucket, n, blob in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if bucket != now and held:
+                    yield total(held)
+                    held = []
+                now = bucket
+                held.append(unpacked(n, blob))
+        if held:
+            yield total(held)
+
+    found = texts.select("text", "mark").mapInArrow(packed, "bucket long, n long, packed binary")
+    return found.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(merged, ", ".join(f"{c} long" for c in names))
 
 
 def _by_class(index: np.ndarray, toxic: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:

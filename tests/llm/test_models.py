@@ -64,6 +64,18 @@ def test_words_and_bigrams_outside_the_head_count_as_well(spark, monkeypatch, wo
     assert np.ptp([s for _, s in whole]) > 0.1
 
 
+def test_packed_counts_are_the_plain_ones(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "BUCKET", 300)
+    texts = [(" ".join(f"w{(i * k) % 23}" for k in range(1, 30)), i % 2) for i in range(50)] + [("", 1), (None, 0), ("w1", 1)]
+    got = toxicity._counted(spark.createDataFrame(texts, "text string, mark int").repartition(5)).collect()
+    plain = {}
+    for text, mark in texts:
+        for w in (text or "").split():
+            plain.setdefault(w, [0, 0])[1 - mark] += 1
+    assert len({r.key for r in got}) == len(got) and sorted([r.toxic, r.ordinary] for r in got) == sorted(plain.values())
+    assert toxicity._counted(spark.createDataFrame([], "text string, mark int")).count() == 0
+
+
 def test_boosting_learns_an_interaction():
     rng = np.random.default_rng(2)
     x = rng.random((4000, 3))
