@@ -16,18 +16,18 @@ def _all_stars(edges: DataFrame) -> bool:
     return not ids.where("down > 0 AND n > 1").agg(F.count("*")).first()[0]
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, tasks: int = 0) -> DataFrame:
     """``(id, component)`` for the ends of ``links(u, v)``; a component is its smallest id.
 
     Both steps keep connectivity and only ever attach ids to smaller ones, so hubs grow by a row per
     member and the number of rounds by the logarithm of the longest chain. Minima are combined
     before the shuffle; a hub's rows meet its minimum in an equi-join that Spark can split. Once all edges form
     stars, which one aggregation tells, no further round follows. Nulls and loops are ignored; an empty table
-    gives an empty one.
+    gives an empty one. Tables are stored by ``tasks`` tasks at most.
     """
     spread = lambda e: e.select("u", "v").unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
     edges = links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    edges = stored(edges, "links")
+    edges = stored(edges, "links", tasks=tasks)
     while not _all_stars(edges):
         both = spread(edges)
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
@@ -35,7 +35,7 @@ def components(links: DataFrame) -> DataFrame:
         down = large.where("u <> v").distinct().select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
         least = down.groupBy("u").agg(F.min("v").alias("m"))
         small = down.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        before, edges = edges, stored(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "links")
+        before, edges = edges, stored(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "links", tasks=tasks)
         discard(before)
     return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(
         edges.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()

@@ -20,8 +20,10 @@ Scale and skew:
   becomes one component without its pairs being listed. It branches on until its members are one
   component of links confirmed on the texts; agreeing signatures alone don't end it. Once at most
   ``OTHERS`` documents are outside its largest component, these meet the rest block by block, and so
-  does all that is left beyond ``DEPTH`` levels: no pair is given up for a node's size.
-* Tables of a level are deleted once the next one is stored.
+  do all documents of a node of up to ``WHOLE`` leaves, and what is left beyond ``DEPTH`` levels: no pair is given up
+  for a node's size.
+* Tables of a level are deleted once the next one is stored. Groups are worked on, and tables written, by a few
+  tasks a core, or as many as the sets have splits, whatever the number of shuffle partitions: many steps are small.
 """
 
 from __future__ import annotations
@@ -33,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skytrace.llm.components import components
-from skytrace.llm.tasks import fixed_bytes, likely, long_keys, map_groups, stored, to_binary
+from skytrace.llm.tasks import fixed_bytes, likely, long_keys, map_groups, stored, task_limit, to_binary
 from skytrace.llm.textbytes import mix, shingle_sets, slices, word_hashes
 from skytrace.session import discard
 
@@ -42,6 +44,7 @@ TREES = 10
 FIRST = 2  # trees that run before the others
 LEAF = 1024
 OTHERS = 256  # documents outside a node's largest component that are compared with all of it
+WHOLE = 4  # times ``LEAF``: a node of so many documents that is still open is compared by pairs of blocks, without further levels
 DEPTH = 6
 _FACTORS = np.random.default_rng(20).integers(0, 1 << 63, SIZE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -124,7 +127,7 @@ def _roots(sets: DataFrame, picks: list[tuple[int, int]]) -> DataFrame:
     return sets.select("doc", "part", "signature").mapInArrow(run, "node long, doc long, part long")
 
 
-def _candidates(groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _candidates(groups: DataFrame, sets: DataFrame, percent: int, tasks: int) -> DataFrame:
     """Members of each ``(group, doc)`` that may have a link there, as ``(sub, doc)``; equal subgroups get equal names."""
     near = (percent / 100 - 4 * np.sqrt(percent / 100 * (1 - percent / 100) / SIZE)) * SIZE
 
@@ -159,7 +162,7 @@ def _candidates(groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(long_keys(np.concatenate(names))), pa.array(doc[np.concatenate(rows)])], ["sub", "doc"])
 
     members = groups.join(sets.select("doc", "n_shingles", "low"), "doc")
-    return map_groups(members, "group", work, "sub long, doc long").distinct()
+    return map_groups(members, "group", work, "sub long, doc long", tasks).distinct()
 
 
 def _stars(sets: list[np.ndarray], doc: np.ndarray, percent: int) -> list[tuple[int, int]]:
@@ -188,7 +191,7 @@ def _stars(sets: list[np.ndarray], doc: np.ndarray, percent: int) -> list[tuple[
     return links
 
 
-def _confirmed(subs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+def _confirmed(subs: DataFrame, texts: DataFrame, width: int, percent: int, tasks: int) -> DataFrame:
     """Components ``(u, v)`` within each subgroup, v the smallest, by links exact on the full sets."""
 
     def work(table: pa.Table, bounds: np.ndarray):
@@ -210,7 +213,7 @@ def _confirmed(subs: DataFrame, texts: DataFrame, width: int, percent: int) -> D
         return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
 
     members = subs.select("sub", "doc").join(texts, "doc")
-    return map_groups(members, "sub", work, "u long, v long")
+    return map_groups(members, "sub", work, "u long, v long", tasks)
 
 
 def _nodes(rows: DataFrame) -> DataFrame:
@@ -273,33 +276,40 @@ class _Search:
 
     def __init__(self, sets: DataFrame, texts: DataFrame, width: int, percent: int, links: DataFrame):
         self.sets, self.texts, self.width, self.percent = sets, texts, width, percent
-        self.done, self.labels = None, components(links)
+        self.tasks = task_limit(sets)
+        self.done, self.labels = None, components(links, self.tasks)
+
+    def stored(self, df: DataFrame, label: str) -> DataFrame:
+        return stored(df, label, tasks=self.tasks)
 
     def compare(self, groups: DataFrame) -> None:
-        subs = stored(_candidates(groups, self.sets, self.percent), "candidates")
+        subs = self.stored(_candidates(groups, self.sets, self.percent, self.tasks), "candidates")
         fresh = subs
         if self.done is not None:
             fresh = fresh.join(self.done, "sub", "left_anti")
             parts = _with_part(fresh, self.labels).groupBy("sub").agg(F.min("part").alias("lo"), F.max("part").alias("hi"))
             # stored, so that the join with the texts knows how few they are before it shuffles any text
-            fresh = stored(fresh.join(parts.where("lo < hi").select("sub"), "sub", "left_semi"), "fresh")
+            fresh = self.stored(fresh.join(parts.where("lo < hi").select("sub"), "sub", "left_semi"), "fresh")
+            if fresh.isEmpty():
+                self.done = self.done.unionByName(subs.select("sub").distinct())
+                return
         # most texts are in no open group: they are left out before the join, which shuffles the rest
         texts = likely(self.texts, "doc", fresh.select("doc"))
-        links = stored(_confirmed(fresh, texts, self.width, self.percent), "confirmed")
+        links = self.stored(_confirmed(fresh, texts, self.width, self.percent, self.tasks), "confirmed")
         names = subs.select("sub").distinct()
         self.done = names if self.done is None else self.done.unionByName(names)
         if links.isEmpty():
             discard(links)
             return
-        before, self.labels = self.labels, components(links.unionByName(self.labels.select(F.col("id").alias("u"), F.col("component").alias("v"))))
+        before, self.labels = self.labels, components(links.unionByName(self.labels.select(F.col("id").alias("u"), F.col("component").alias("v"))), self.tasks)
         discard(before)
         discard(links)
 
     def search(self, picks: list[tuple[int, int]]) -> None:
         """All levels of the trees with these roots."""
-        rows = stored(_roots(_with_part(self.sets.select("doc", "signature"), self.labels), picks), "nodes")
+        rows = self.stored(_roots(_with_part(self.sets.select("doc", "signature"), self.labels), picks), "nodes")
         for level in range(DEPTH + 1):
-            nodes = stored(_nodes(rows), "sizes")
+            nodes = self.stored(_nodes(rows), "sizes")
             small = rows.join(_once(nodes.where(F.col("n") <= LEAF)), "node", "left_semi").select(F.col("node").alias("group"), "doc")
             big = nodes.where(F.col("n") > LEAF)
             if big.isEmpty():
@@ -307,21 +317,24 @@ class _Search:
                 discard(rows)
                 discard(nodes)
                 return
-            large = stored(rows.join(big.select("node", "n"), "node").select("node", "doc", "n"), "large")
+            large = self.stored(rows.join(big.select("node", "n"), "node").select("node", "doc", "n"), "large")
             self.compare(small.unionByName(_dealt(large.join(_once(big), "node", "left_semi"))))
             discard(rows)
-            apart = stored(_apart(_with_part(large.drop("n"), self.labels)), "apart")
+            apart = self.stored(_apart(_with_part(large.drop("n"), self.labels)), "apart")
             if apart.isEmpty():
                 return
             beyond = F.col("n") - F.col("most") > OTHERS
             met, rest = apart.where(~beyond), apart.where(beyond)
-            if not met.isEmpty():
-                self.compare(_met(met))
+            pairs = rest.where(F.col("n") <= WHOLE * LEAF).join(_once(big), "node", "left_semi")
+            last = _met(met).unionByName(_in_blocks(pairs))
+            if not last.isEmpty():
+                self.compare(last)
+            rest = rest.where(F.col("n") > WHOLE * LEAF)
             if rest.isEmpty():
                 return
             if level < DEPTH:
                 rest = rest.join(self.sets.select("doc", "signature"), "doc")
-                rows = stored(_branch(rest, self.percent), "nodes")
+                rows = self.stored(_branch(rest, self.percent), "nodes")
             else:
                 self.compare(_in_blocks(rest.join(_once(big), "node", "left_semi")))
             for table in (large, nodes, apart):

@@ -4,6 +4,7 @@ import random
 import re
 from itertools import combinations
 
+import pyarrow as pa
 import pytest
 
 from skytrace.llm import components as module
@@ -115,3 +116,30 @@ def test_components_end_with_the_first_stars(spark, monkeypatch, links, stored):
     monkeypatch.setattr(module, "stored", lambda df, label: seen.append(label) or tasks.stored(df, label))
     got = dict(map(tuple, components(spark.createDataFrame(links, "u long, v long")).collect()))
     assert got == ({1: 1, 3: 1, 4: 1, 9: 1} if stored == 2 else {2: 2, 5: 2, 7: 2, 6: 6, 8: 6}) and len(seen) == stored
+
+
+def test_small_steps_run_in_few_tasks(spark, tmp_path):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "90")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        rows = tasks.stored(spark.range(4000).selectExpr("id % 500 AS k", "id AS v"), "rows")
+        limit = tasks.task_limit(rows)
+        summed = tasks.stored(rows.groupBy("k").sum("v"), "summed", tasks=5)
+        work = lambda table, bounds: pa.RecordBatch.from_arrays([pa.array(bounds[1:] - bounds[:-1])], ["n"])
+        sizes = tasks.map_groups(rows, "k", work, "n long", 5)
+        assert limit >= 4 * spark.sparkContext.defaultParallelism and len(summed.inputFiles()) <= 5 and summed.count() == 500
+        assert sizes.rdd.getNumPartitions() == 5 and [r.n for r in sizes.collect()] == [8] * 500
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_open_node_of_a_few_leaves_ends_at_once(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "LEAF", 64)
+    monkeypatch.setattr(near_dedup, "OTHERS", 0)
+    branched = []
+    monkeypatch.setattr(near_dedup, "_branch", lambda rows, percent, f=near_dedup._branch: branched.append(1) or f(rows, percent))
+    rows = list(enumerate(template(random.Random(8), 120, 40)))
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r["doc_id"], r["n_shingles"], r["component_id"]) for r in got} == brute(rows, 3, 85) and not branched
