@@ -17,8 +17,8 @@ broadcast: ``WORDS`` words by toxic and as many by total count, ``BIGRAMS`` like
 table: texts are dealt into blocks, the keys a block needs are joined with that table, and the block is
 read with its answers, which gives what a broadcast of everything would. Without others no text is
 shuffled for it. The calibration is fitted on all rows of a fold of its own, by Newton steps whose sums
-come from the tasks. Labelled texts are found through a bit field of fixed size before they are joined,
-so other texts aren't shuffled.
+come from the tasks. Labelled texts get their marks from bit fields of fixed size; only texts whose cell there
+holds documents of several kinds are shuffled and joined.
 """
 
 from __future__ import annotations
@@ -44,7 +44,7 @@ SPANS = [1, 4, 16]
 SEEN, CONTEXTS = 4, 4
 FOLDS, HELD_OUT, CALIBRATION = 4, 2, 3
 CUT = 0.3
-BITS = 22
+BITS = 26  # of the cells in the fields of labelled ids
 UNKNOWN, BEGIN = 0, 1  # ids of the unknown word and the beginning of a text; words follow
 OUTSIDE = np.uint64(1 << 63)  # set in the hash of a word outside the head, so its code is negative
 
@@ -54,27 +54,35 @@ def fold(doc_id, folds: int):
 
 
 def labelled(docs: DataFrame, marks: DataFrame) -> DataFrame:
-    """``docs(doc_id, text)`` joined with ``marks(id, mark)``; most rows without a mark are dropped before the shuffle."""
+    """``docs(doc_id, text)`` joined with the distinct ``marks(id, mark)``, stored; most texts aren't shuffled for it.
 
-    def spots(ids: pa.Array) -> np.ndarray:
-        return (mix(ids.fill_null(0).to_numpy().view(np.uint64)) >> np.uint64(64 - BITS)).astype(np.int64)
-
-    def positions(batches):
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(np.unique(spots(batch.column("id"))))], ["p"])
-
-    set_bits = marks.select("id").mapInArrow(positions, "p long").distinct().toArrow().column("p").to_numpy()
-    field = np.zeros(1 << BITS, bool)
-    field[set_bits] = True
-    shared = docs.sparkSession.sparkContext.broadcast(np.packbits(field))
-
-    def likely(batches):
-        has = np.unpackbits(shared.value).astype(bool)
+    Ids fall into ``2 ** BITS`` cells. Where all documents of a cell have the same mark, two bit fields of the cells give
+    it, or say there is none. Texts of the other cells, which a third field names, are joined by id.
+    """
+    shift = 64 - BITS
+    cell = lambda c: F.shiftrightunsigned(F.xxhash64(c), shift)
+    ids = docs.where("doc_id IS NOT NULL").select("doc_id").join(marks, F.col("doc_id") == F.col("id"), "left").select(cell("doc_id").alias("c"), "mark")
+    bit = F.expr("shiftleft(1L, cast(c & 63 AS int))")
+    kinds = [F.col("mark") == 0, F.col("mark") == 1, F.col("mark").isNull()]
+    words = ids.groupBy(F.shiftright("c", 6).alias("w")).agg(*[F.coalesce(F.bit_or(F.when(k, bit)), F.lit(0).cast("long")).alias(f"k{i}") for i, k in enumerate(kinds)])
+    words = words.where("k0 <> 0 OR k1 <> 0").toArrow()
+    at, (zero, one, none) = words.column("w").to_numpy(), (words.column(f"k{i}").to_numpy() for i in range(3))
+    fields = np.zeros((3, 1 << (BITS - 6)), np.int64)
+    fields[:, at] = zero & ~(one | none), one & ~(zero | none), (zero | one) & ((zero & one) | none)
+    shared = docs.sparkSession.sparkContext.broadcast(fields)
+
+    def marked(batches):
         for batch in batches:
-            yield batch.filter(pa.array(has[spots(batch.column("doc_id"))]))
+            c = batch.column("c").to_numpy()
+            has = (shared.value[:, c >> 6] >> (c & 63)) & 1 == 1
+            # 2: the cell doesn't tell
+            mark = pa.array(np.where(has[2], 2, has[1]).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text"), mark], ["doc_id", "text", "mark"]).filter(pa.array(has.any(0)))
 
-    some = docs.mapInArrow(likely, "doc_id long, text string")
-    return some.join(marks, some.doc_id == marks.id).select("doc_id", "text", "mark")
+    some = docs.where("doc_id IS NOT NULL").select("doc_id", "text", cell("doc_id").alias("c"))
+    some = stored(some.mapInArrow(marked, "doc_id long, text string, mark int"), "marked", "zstd")
+    rest = some.where("mark = 2").select("doc_id", "text").join(marks, F.col("doc_id") == F.col("id")).select("doc_id", "text", "mark")
+    return some.where("mark < 2").unionByName(stored(rest, "labelled", "zstd"))
 
 
 def _counted(texts: DataFrame) -> DataFrame:
@@ -397,7 +405,7 @@ def _fit(docs: DataFrame, labels: DataFrame) -> tuple[Model, DataFrame | None]:
     """The model's head, and the table ``(k, v0, v1, v2, v3)`` of the words and bigrams outside it, if there are any."""
     marks = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.max("toxic").alias("mark"))
     marks = marks.withColumn("mark", (F.col("mark") == 1).cast("int")).where(fold(F.col("id"), FOLDS) != HELD_OUT)
-    texts = stored(labelled(docs, marks).withColumn("fold", fold(F.col("doc_id"), FOLDS)), "labelled", "zstd")
+    texts = labelled(docs, marks).withColumn("fold", fold(F.col("doc_id"), FOLDS))
     train = texts.where(F.col("fold") != CALIBRATION)
     sc = docs.sparkSession.sparkContext
     often = F.col("toxic") + F.col("ordinary") >= SEEN

@@ -76,6 +76,19 @@ def test_packed_counts_are_the_plain_ones(spark, monkeypatch):
     assert toxicity._counted(spark.createDataFrame([], "text string, mark int")).count() == 0
 
 
+@pytest.mark.parametrize(("bits", "joined"), [(26, 0), (8, 300)])
+def test_labelled_texts_are_not_shuffled(spark, monkeypatch, bits, joined):
+    monkeypatch.setattr(toxicity, "BITS", bits)
+    seen = []
+    monkeypatch.setattr(toxicity, "stored", lambda df, label, *a, f=toxicity.stored: seen.append(f(df, label, *a)) or seen[-1])
+    rows = [*((i, f"t{i}") for i in range(-300, 300)), (None, "x"), (5, "again"), (7, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    marks = {i: i % 2 for i in range(-300, 400) if i % 3}
+    got = toxicity.labelled(docs, spark.createDataFrame(list(marks.items()), "id long, mark int"))
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(str((i, t, marks[i])) for i, t in rows if i in marks)
+    assert (seen[-1].count() > joined) if joined else not seen[-1].count()
+
+
 def test_boosting_learns_an_interaction():
     rng = np.random.default_rng(2)
     x = rng.random((4000, 3))
