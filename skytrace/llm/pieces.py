@@ -30,8 +30,9 @@ from pyspark.sql import functions as F
 from skytrace.llm.textbytes import slices
 
 MARK = "▁"
-KNOWN = 300_000  # words kept between blocks of a task
-PAIRS = 1_000_000  # pairs of pieces remembered in a task
+KNOWN = 200_000  # words kept between blocks of a task
+PAIRS = 500_000  # pairs of pieces remembered in a task
+BLOCK = 1 << 20  # bytes of text whose words are held at a time
 
 
 class Model(NamedTuple):
@@ -243,7 +244,7 @@ def encoded(docs: DataFrame, model_path: str, keep: list[str]) -> DataFrame:
     def run(batches):
         coder = _coder(name, shared)
         for batch in batches:
-            for part in slices(batch, "text", 12 << 20):
+            for part in slices(batch, "text", BLOCK):
                 ids = coder.encode(part.column("text").to_pylist())
                 counts = np.array([len(x) for x in ids], np.int64)
                 flat = np.concatenate([*ids, np.zeros(0, np.int32)])

@@ -74,6 +74,16 @@ def test_pieces_equal_the_library(spark, odd, none):
     assert pieces.encoded(none, PIECES, ["doc_id"]).count() == 0
 
 
+def test_pieces_hold_the_words_of_small_blocks(spark, monkeypatch):
+    def small(batch, column, size):
+        assert size <= 2 << 20
+        return textbytes.slices(batch, column, size)
+
+    monkeypatch.setattr(pieces, "slices", small)
+    docs = spark.createDataFrame([(i, "some words") for i in range(9)], "doc_id long, text string")
+    assert pieces.encoded(docs, PIECES, ["doc_id"]).where("text = 'some words'").count() == 9
+
+
 def test_unigram_is_the_best_path():
     table = {"▁": -3.0, "a": -2.0, "b": -2.5, "ab": -3.9, "▁a": -3.1, "ba": -1.0, "▁ab": -6.0}
     coder = pieces.Coder(pieces.Model("unigram", ["<unk>", *table], [0.0, *table.values()], [2, *[1] * len(table)], True))
