@@ -25,9 +25,10 @@ def components(links: DataFrame, tasks: int = 0) -> DataFrame:
     stars, which one aggregation tells, no further round follows. Nulls and loops are ignored; an empty table
     gives an empty one. Tables are stored by ``tasks`` tasks at most.
     """
+    few = lambda e: e.coalesce(tasks) if tasks else e
     spread = lambda e: e.select("u", "v").unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
     edges = links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    edges = stored(edges, "links", tasks=tasks)
+    edges = stored(few(edges), "links")
     while not _all_stars(edges):
         both = spread(edges)
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
@@ -35,7 +36,7 @@ def components(links: DataFrame, tasks: int = 0) -> DataFrame:
         down = large.where("u <> v").distinct().select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
         least = down.groupBy("u").agg(F.min("v").alias("m"))
         small = down.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        before, edges = edges, stored(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "links", tasks=tasks)
+        before, edges = edges, stored(few(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct()), "links")
         discard(before)
     return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(
         edges.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
