@@ -19,15 +19,19 @@ Scale and skew:
 * A node over ``LEAF`` is dealt into blocks, each with the node's pivot, so a family of near copies
   becomes one component without its pairs being listed. It branches on until its members are one
   component of links confirmed on the texts; agreeing signatures alone don't end it. Once at most
-  ``OTHERS`` documents are outside its largest component, these meet the rest block by block, and so
-  do all documents of a node of up to ``WHOLE`` leaves, and what is left beyond ``DEPTH`` levels: no pair is given up
+  ``OTHERS`` documents are outside its largest component, these meet the rest block by block. So do
+  all documents of a node of up to ``WHOLE`` leaves, and what is left beyond ``DEPTH`` levels: no pair is given up
   for a node's size.
+* Only documents that agree with one of another component go on to the texts, so a family that is linked
+  already isn't listed again by each node that holds it. Subgroups of more than ``VOLUME`` shingles are confirmed by pairs of blocks.
 * Tables of a level are deleted once the next one is stored. Groups are worked on, and tables written, by a few
   tasks a core, or as many as the sets have splits, whatever the number of shuffle partitions: many steps are small.
 """
 
 from __future__ import annotations
 
+from itertools import combinations
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
@@ -44,7 +48,8 @@ TREES = 10
 FIRST = 2  # trees that run before the others
 LEAF = 1024
 OTHERS = 256  # documents outside a node's largest component that are compared with all of it
-WHOLE = 4  # times ``LEAF``: a node of so many documents that is still open is compared by pairs of blocks, without further levels
+WHOLE = 4  # times ``LEAF``: a node of so many documents that is still open is compared as one group, without further levels
+VOLUME = 1 << 21  # shingles whose texts are held at once to confirm links
 DEPTH = 6
 _FACTORS = np.random.default_rng(20).integers(0, 1 << 63, SIZE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -127,41 +132,57 @@ def _roots(sets: DataFrame, picks: list[tuple[int, int]]) -> DataFrame:
     return sets.select("doc", "part", "signature").mapInArrow(run, "node long, doc long, part long")
 
 
-def _candidates(groups: DataFrame, sets: DataFrame, percent: int, tasks: int) -> DataFrame:
-    """Members of each ``(group, doc)`` that may have a link there, as ``(sub, doc)``; equal subgroups get equal names."""
+def _portions(n: np.ndarray) -> list[np.ndarray]:
+    """Rows ``0..len(n)`` as one portion, or, if they have over ``VOLUME`` shingles, as all pairs of smaller blocks."""
+    if n.sum() <= VOLUME:
+        return [np.arange(len(n))]
+    block = np.unique((np.cumsum(n) - n) // (VOLUME // 2), return_inverse=True)[1]
+    return [np.flatnonzero((block == x) | (block == y)) for x, y in combinations(range(block.max() + 1), 2)]
+
+
+def _candidates(groups: DataFrame, sets: DataFrame, labels: DataFrame, percent: int, tasks: int) -> DataFrame:
+    """Members of each ``(group, doc)`` that may have a link to another component there, as ``(sub, doc)``; equal subgroups get equal names."""
     near = (percent / 100 - 4 * np.sqrt(percent / 100 * (1 - percent / 100) / SIZE)) * SIZE
 
     def work(table: pa.Table, bounds: np.ndarray):
         low = fixed_bytes(table.column("low"), SIZE)
-        n, doc = (table.column(c).to_numpy() for c in ("n_shingles", "doc"))
+        n, doc, part = (table.column(c).to_numpy() for c in ("n_shingles", "doc", "part"))
         size = np.diff(bounds)
         rows, names = [], []
 
+        def may(i, j):
+            return (part[i] != part[j]) & (100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j]))
+
         def alike(i, j):
-            return ((low[i] == low[j]).sum(1) >= near) & (100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j]))
+            return (low[i] == low[j]).sum(1) >= near
 
         two = bounds[:-1][size == 2]
-        two = two[alike(two, two + 1) & (doc[two] != doc[two + 1])]
+        two = two[may(two, two + 1)]
+        two = two[alike(two, two + 1)]
         if len(two):
             rows.append(np.stack((two, two + 1), 1).ravel())
             names.append(np.repeat(mix(doc[two].view(np.uint64)) + mix(doc[two + 1].view(np.uint64)) + np.uint64(2), 2))
         for g in np.flatnonzero(size > 2):
-            left = bounds[g] + np.unique(doc[bounds[g] : bounds[g + 1]], return_index=True)[1]
+            left = np.arange(bounds[g], bounds[g + 1])
             while len(left) > 1:
                 reached, left, k = [left[0]], left[1:], 0
                 while k < len(reached) and len(left):
-                    hit = alike(left, reached[k])
-                    reached.extend(left[hit])
-                    left, k = left[~hit], k + 1
+                    hit = np.flatnonzero(may(left, reached[k]))
+                    if len(hit) and len(hit := hit[alike(left[hit], reached[k])]):
+                        reached.extend(left[hit])
+                        left = np.delete(left, hit)
+                    k += 1
                 if len(reached) > 1:
-                    index = np.array(reached)
-                    rows.append(index)
-                    names.append(np.full(len(index), mix(doc[index].view(np.uint64)).sum(dtype=np.uint64) + np.uint64(len(index))))
+                    found = np.array(reached)
+                    found = found[np.unique(doc[found], return_index=True)[1]]
+                    for index in (found[x] for x in _portions(n[found])):
+                        rows.append(index)
+                        names.append(np.full(len(index), mix(doc[index].view(np.uint64)).sum(dtype=np.uint64) + np.uint64(len(index))))
         if not rows:
             return None
         return pa.RecordBatch.from_arrays([pa.array(long_keys(np.concatenate(names))), pa.array(doc[np.concatenate(rows)])], ["sub", "doc"])
 
-    members = groups.join(sets.select("doc", "n_shingles", "low"), "doc")
+    members = _with_part(groups.join(sets.select("doc", "n_shingles", "low"), "doc"), labels)
     return map_groups(members, "group", work, "sub long, doc long", tasks).distinct()
 
 
@@ -240,7 +261,7 @@ def _dealt(large: DataFrame) -> DataFrame:
 
 
 def _in_blocks(large: DataFrame) -> DataFrame:
-    """All pairs of half-size blocks of each node: the exact way for what never became small."""
+    """All pairs of blocks of each node: the exact way for what never became small."""
     own = large.withColumn("k", F.ceil(F.col("n") / (LEAF // 2))).withColumn("b", F.pmod(F.xxhash64("doc", "node"), F.col("k")))
     met = own.withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)))
     return met.select(F.xxhash64("node", F.least("b", "o"), F.greatest("b", "o")).alias("group"), "doc")
@@ -283,13 +304,11 @@ class _Search:
         return stored(df, label, tasks=self.tasks)
 
     def compare(self, groups: DataFrame) -> None:
-        subs = self.stored(_candidates(groups, self.sets, self.percent, self.tasks), "candidates")
+        subs = self.stored(_candidates(groups, self.sets, self.labels, self.percent, self.tasks), "candidates")
         fresh = subs
         if self.done is not None:
-            fresh = fresh.join(self.done, "sub", "left_anti")
-            parts = _with_part(fresh, self.labels).groupBy("sub").agg(F.min("part").alias("lo"), F.max("part").alias("hi"))
             # stored, so that the join with the texts knows how few they are before it shuffles any text
-            fresh = self.stored(fresh.join(parts.where("lo < hi").select("sub"), "sub", "left_semi"), "fresh")
+            fresh = self.stored(subs.join(self.done, "sub", "left_anti"), "fresh")
             if fresh.isEmpty():
                 self.done = self.done.unionByName(subs.select("sub").distinct())
                 return

@@ -143,3 +143,36 @@ def test_open_node_of_a_few_leaves_ends_at_once(spark, monkeypatch):
     rows = list(enumerate(template(random.Random(8), 120, 40)))
     got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {(r["doc_id"], r["n_shingles"], r["component_id"]) for r in got} == brute(rows, 3, 85) and not branched
+
+
+def test_rows_of_an_open_node_and_of_a_linked_family(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "LEAF", 16)
+    monkeypatch.setattr(near_dedup, "OTHERS", 0)
+    made = []
+    f = near_dedup._candidates
+
+    def counted(groups, *rest):
+        got = f(groups, *rest)
+        made.append((groups.count(), got.count()))
+        return got
+
+    monkeypatch.setattr(near_dedup, "_candidates", counted)
+    rng = random.Random(11)
+    passage = [f"p{i}" for i in range(30)]
+    texts = [*family(rng, 55, 80, 2), *template(rng, 55, 12)]
+    texts += [" ".join(passage + [f"s{rng.randrange(10**6)}" for _ in range(60)]) for _ in range(60)]
+    rng.shuffle(texts)
+    rows = list(enumerate(texts))
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r["doc_id"], r["n_shingles"], r["component_id"]) for r in got} == brute(rows, 3, 85)
+    # a node's member is a row of a group, not of each pair of blocks, and goes on to one subgroup at most
+    assert max(max(x) for x in made) <= 6 * len(rows)
+
+
+@pytest.mark.parametrize("volume", [60, 400])
+def test_subgroups_of_many_shingles(spark, monkeypatch, volume):
+    monkeypatch.setattr(near_dedup, "VOLUME", volume)
+    rng = random.Random(4)
+    rows = list(enumerate([*family(rng, 30, 60, 5), *template(rng, 20, 6), "short text here", ""]))
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r["doc_id"], r["n_shingles"], r["component_id"]) for r in got} == brute(rows, 3, 85)
