@@ -19,9 +19,9 @@ Scale and skew:
 * A node over ``LEAF`` is dealt into blocks, each with the node's pivot, so a family of near copies
   becomes one component without its pairs being listed. It branches on until its members are one
   component of links confirmed on the texts; agreeing signatures alone don't end it. Once at most
-  ``OTHERS`` documents are outside its largest component, these meet the rest block by block. So do
-  all documents of a node of up to ``WHOLE`` leaves, and what is left beyond ``DEPTH`` levels: no pair is given up
-  for a node's size.
+  ``OTHERS`` documents are outside its largest component, these meet the rest block by block. A node of up to
+  ``WHOLE`` leaves is one group, whose signatures a task holds, and pairs of such groups are what is left beyond
+  ``DEPTH`` levels: no pair is given up for a node's size.
 * Only documents that agree with one of another component go on to the texts, so a family that is linked
   already isn't listed again by each node that holds it. Subgroups of more than ``VOLUME`` shingles are confirmed by pairs of blocks.
 * Tables of a level are deleted once the next one is stored. Groups are worked on, and tables written, by a few
@@ -262,7 +262,7 @@ def _dealt(large: DataFrame) -> DataFrame:
 
 def _in_blocks(large: DataFrame) -> DataFrame:
     """All pairs of blocks of each node: the exact way for what never became small."""
-    own = large.withColumn("k", F.ceil(F.col("n") / (LEAF // 2))).withColumn("b", F.pmod(F.xxhash64("doc", "node"), F.col("k")))
+    own = large.withColumn("k", F.ceil(F.col("n") / (WHOLE * LEAF // 2))).withColumn("b", F.pmod(F.xxhash64("doc", "node"), F.col("k")))
     met = own.withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)))
     return met.select(F.xxhash64("node", F.least("b", "o"), F.greatest("b", "o")).alias("group"), "doc")
 
@@ -344,8 +344,8 @@ class _Search:
                 return
             beyond = F.col("n") - F.col("most") > OTHERS
             met, rest = apart.where(~beyond), apart.where(beyond)
-            pairs = rest.where(F.col("n") <= WHOLE * LEAF).join(_once(big), "node", "left_semi")
-            last = _met(met).unionByName(_in_blocks(pairs))
+            whole = rest.where(F.col("n") <= WHOLE * LEAF).join(_once(big), "node", "left_semi")
+            last = _met(met).unionByName(whole.select(F.col("node").alias("group"), "doc"))
             if not last.isEmpty():
                 self.compare(last)
             rest = rest.where(F.col("n") > WHOLE * LEAF)
