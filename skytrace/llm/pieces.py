@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import re
 import uuid
+from array import array
 from itertools import chain
 from pathlib import Path
 from typing import NamedTuple
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 from skytrace.llm.textbytes import slices
 
 MARK = "▁"
-KNOWN = 200_000  # words kept between blocks of a task
+KNOWN = 150_000  # words of a generation; the last two are kept between blocks of a task
 PAIRS = 500_000  # pairs of pieces remembered in a task
 BLOCK = 1 << 20  # bytes of text whose words are held at a time
 
@@ -74,7 +75,9 @@ class Coder:
         self.split = re.compile(r"(?s).+" if crossing else f"{MARK}*[^{MARK}{cut}]+|{MARK}+" + (f"|{cut}" if cut else ""))
         self.least = min((s for s, t in zip(model.scores, model.types, strict=True) if t == 1), default=0.0) - 10.0
         self.pairs: dict[int, bool] = {}
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.length = list(map(len, model.pieces))
         self._automaton()
 
     def _automaton(self) -> None:
@@ -108,6 +111,8 @@ class Coder:
                     self.ends[child] = (((own[child], depth + 1),) if own[child] >= 0 else ()) + self.ends[f]
                     below.append((child, depth + 1))
             level = below
+        self.longer = [e[:-1] if e and e[-1][1] == 1 else e for e in self.ends]
+        self.single = [e[-1][0] if e and e[-1][1] == 1 else -1 for e in self.ends]
 
     def _text(self, piece: int) -> str:
         return self.model.pieces[piece] if piece < self.size else chr(piece - self.size)
@@ -121,10 +126,11 @@ class Coder:
         return known
 
     def _walk(self, words: list[str]):
-        """Ids of each of the sorted distinct ``words``. Element d of each list below belongs to the prefix of d characters."""
-        node, last, size, score = [0], [-1], [0], [0.0]
+        """Ids of each of the sorted distinct ``words``, as bytes. Element d of each list below belongs to the prefix of d characters."""
+        node, last, score = [0], [-1], [0.0]
         before, unigram = "", self.model.kind == "unigram"
-        go, ends, pairs, scores = self.next, self.ends, self.pairs, self.model.scores
+        go, ends, longer, single, pairs, scores = self.next, self.ends, self.longer, self.single, self.pairs, self.model.scores
+        length, limit = self.length, self.size
         for word in words:
             d = 0
             for x, y in zip(before, word):  # noqa: B905  the shorter ends it
@@ -132,41 +138,39 @@ class Coder:
                     break
                 d += 1
             before = word
-            del node[d + 1 :], last[d + 1 :], size[d + 1 :], score[d + 1 :]
+            del node[d + 1 :], last[d + 1 :], score[d + 1 :]
             n = node[d]
             for at, c in enumerate(word[d:], d + 1):
                 n = go[n].get(c)
                 if n is None:
                     n = self._go(node[-1], c)
                 node.append(n)
-                found = ends[n]
                 if unigram:
-                    best, length, top = self.size + ord(c), 1, -np.inf
-                    for i, k in found:
+                    best, top = limit + ord(c), -np.inf
+                    for i, k in ends[n]:
                         if (s := score[at - k] + scores[i]) > top:
-                            best, length, top = i, k, s
-                    if not (found and found[-1][1] == 1) and (s := score[at - 1] + self.least) > top:
-                        best, length, top = self.size + ord(c), 1, s
+                            best, top = i, s
+                    if single[n] < 0 and (s := score[at - 1] + self.least) > top:
+                        best, top = limit + ord(c), s
                     score.append(top)
                 else:
-                    best, length = (self.size + ord(c), 1) if not found or found[-1][1] > 1 else found[-1]
-                    for i, k in found:
-                        # one character is what remains when no longer piece fits
-                        if k == 1 or k == at:
-                            best, length = i, k
+                    for i, k in longer[n]:
+                        if k == at:
+                            best = i
                             break
                         ok = pairs.get(last[at - k] << 21 | i)
                         if ok or (ok is None and self._stable(last[at - k], i)):
-                            best, length = i, k
+                            best = i
                             break
+                    else:  # one character is what remains when no longer piece fits
+                        best = single[n] if single[n] >= 0 else limit + ord(c)
                 last.append(best)
-                size.append(length)
             at, path = len(word), []
             while at:
-                path.append(last[at])
-                at -= size[at]
+                path.append(best := last[at])
+                at -= length[best] if best < limit else 1
             path.reverse()
-            yield tuple(path) if max(path) < self.size else tuple(self._final(path))
+            yield array("i", path if max(path) < limit else self._final(path)).tobytes()
 
     def _go(self, n: int, c: str) -> int:
         """The automaton's next state, remembered at the state it is asked of."""
@@ -206,13 +210,17 @@ class Coder:
         split = self.split.findall
         lead = MARK if self.model.prefix else ""
         marked = [split(lead + t.replace(" ", MARK)) if t else [] for t in texts]
-        distinct = set(chain.from_iterable(marked))
         if len(self.known) > KNOWN:
-            self.known.clear()
-        known = self.known
-        new = sorted(w for w in distinct if w not in known)
+            self.known, self.older = {}, self.known
+        known, older, new = self.known, self.older, []
+        for w in set(chain.from_iterable(marked)).difference(known):
+            if w in older:
+                known[w] = older[w]
+            else:
+                new.append(w)
+        new.sort()
         known.update(zip(new, self._walk(new), strict=True))
-        return [np.fromiter(chain.from_iterable(map(known.__getitem__, words)), np.int32) for words in marked]
+        return [np.frombuffer(b"".join(map(known.__getitem__, words)), np.int32) for words in marked]
 
     def decode(self, ids: list[int]) -> str:
         """The text of the ids; byte pieces that don't form a character become U+FFFD."""

@@ -84,6 +84,17 @@ def test_pieces_hold_the_words_of_small_blocks(spark, monkeypatch):
     assert pieces.encoded(docs, PIECES, ["doc_id"]).where("text = 'some words'").count() == 9
 
 
+def test_frequent_words_outlive_the_rare_ones(monkeypatch):
+    monkeypatch.setattr(pieces, "KNOWN", 20)
+    coder, walked = pieces.Coder(pieces.read_model(PIECES)), []
+    monkeypatch.setattr(coder, "_walk", lambda words: walked.extend(words) or pieces.Coder._walk(coder, words))
+    texts = [" ".join(["common words here", *(f"r{k}x{i}" for i in range(12))]) for k in range(30)]
+    got = [coder.encode([t])[0].tolist() for t in texts]
+    assert walked.count("▁words") == 1 and len(coder.known) + len(coder.older) < 80
+    assert got == [x.tolist() for x in pieces.Coder(coder.model).encode(texts)]
+    assert [coder.decode(x) for x in got] == texts
+
+
 def test_unigram_is_the_best_path():
     table = {"▁": -3.0, "a": -2.0, "b": -2.5, "ab": -3.9, "▁a": -3.1, "ba": -1.0, "▁ab": -6.0}
     coder = pieces.Coder(pieces.Model("unigram", ["<unk>", *table], [0.0, *table.values()], [2, *[1] * len(table)], True))
