@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import csv
+import gc
+import math
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from itertools import chain, islice
 
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
@@ -15,35 +18,110 @@ from skytrace import fixed_values as fixed
 from skytrace.functions import scalars as S
 from skytrace.operators.labeling import with_constant_label
 from skytrace.operators.ordered import TARGET_ROWS, size_checked
-from skytrace.session import cut_lineage, discard, shuffle_partitions, stored
+from skytrace.session import cut_lineage, discard, drop_scratch, scratch_path, shuffle_partitions
 from skytrace.sources.table_log import TableLog
 
 PATH = "_path"
 #: Tasks move their files into place themselves; else the driver does it file by file after the last task.
 COMMIT_BY_TASK = {"mapreduce.fileoutputcommitter.algorithm.version": "2"}
+#: Drone files a job lists, reads or writes. The driver holds some KB for each until the job ends, whatever their size.
+FILES_A_JOB = 10_000
 
 
 @contextmanager
 def _listing(spark: SparkSession) -> Iterator[None]:
-    """Many folders are listed by a few tasks a core, instead of one task a folder."""
-    name = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
-    before = spark.conf.get(name)
-    spark.conf.set(name, str(min(int(before), 4 * spark.sparkContext.defaultParallelism)))
+    """Many folders are listed by a few tasks a core, instead of one task a folder; the driver keeps no listing for later reads."""
+    parallel, kept = "spark.sql.sources.parallelPartitionDiscovery.parallelism", "spark.sql.hive.filesourcePartitionFileCacheSize"
+    before = {name: spark.conf.get(name) for name in (parallel, kept)}
+    spark.conf.set(parallel, str(min(int(before[parallel]), 4 * spark.sparkContext.defaultParallelism)))
+    spark.conf.set(kept, "0")
     try:
         yield
     finally:
-        spark.conf.set(name, before)
-
-
-def _files(spark: SparkSession, root: str, glob: str) -> DataFrame:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+
+
+def _walk(spark: SparkSession, roots: list[str]) -> Iterator[str]:
+    """Files below ``roots``; a folder named like a drone's file counts as one. Holds the names of a single folder at a time."""
+    conf, at = spark._jsc.hadoopConfiguration(), spark._jvm.org.apache.hadoop.fs.Path
+    paths_of, join = spark._jvm.org.apache.hadoop.fs.FileUtil.stat2Paths, spark._jvm.org.apache.commons.lang3.StringUtils.join
+    kinds = spark._jvm.org.apache.hadoop.fs.FileStatus, spark._jvm.java.lang.Object
+
+    def of_kind(items, kind):  # Py4J finds no method for an array of a subclass
+        out = spark.sparkContext._gateway.new_array(kind, len(items))
+        spark._jvm.java.lang.System.arraycopy(items, 0, out, 0, len(items))
+        return out
+
+    given = {s.getPath().toString() for root in roots for s in at(root).getFileSystem(conf).globStatus(at(root)) or ()}
+    above = lambda name: {name[:i] or "/" for i, c in enumerate(name) if c == "/"}
+    tops = sorted(name for name in given if not given & above(name))
+    while tops:
+        folder = tops.pop()
+        found = at(folder).getFileSystem(conf).listStatus(at(folder))
+        # one call for all names, none of which holds \0
+        text = join(of_kind(paths_of(of_kind(found, kinds[0])), kinds[1]), "\0")
+        names = dict.fromkeys(text.split("\0") if text else ())
+        for i, name in enumerate(names):
+            last = name.rsplit("/", 1)[-1]
+            # as Spark does
+            hidden = last.startswith(".") or last.endswith("._COPYING_") or (last.startswith("_") and "=" not in last)
+            if hidden and not last.startswith(("_metadata", "_common_metadata")):
+                names[name] = "hidden"
+            elif not re.search(fixed.DRONE_FILE_PATTERN, last) and found[i].isDirectory():
+                names[name] = "folder"
+        del found
+        tops += [name for name, kind in names.items() if kind == "folder"]
+        yield from (name for name, kind in names.items() if kind is None)
+
+
+def _batches(spark: SparkSession, roots: list[str]) -> Iterator[list[str]]:
+    """``roots`` themselves if they hold few files, else lists of ``FILES_A_JOB`` paths below them."""
+    paths = _walk(spark, roots)
+    first = list(islice(paths, FILES_A_JOB + 1))
+    if len(first) <= FILES_A_JOB:
+        yield roots
+        return
+    paths = chain(first, paths)
+    del first
+    while batch := list(islice(paths, FILES_A_JOB)):
+        yield [re.sub(r"([{}\[\]*?\\])", r"\\\1", path) for path in batch]  # names, not patterns
+
+
+def _stored_by_batch(spark: SparkSession, batches: Iterator[list[str]], read: Callable[[list[str]], DataFrame], label: str) -> DataFrame:
+    """What ``read`` makes of each batch of paths, as one table in the shared folder; a job a batch."""
+    path, schema = scratch_path(spark, label), None
+    try:
+        for batch in batches:
+            rows = read(batch)
+            schema = rows.schema
+            rows.write.mode("append").parquet(path)
+            del rows
+            gc.collect()  # Py4J's objects are cycles; till they go, the driver's JVM keeps the listing
+    except BaseException:
+        drop_scratch(spark, path)
+        raise
+    return spark.read.schema(schema).parquet(path)
+
+
+def _listed(spark: SparkSession, paths: list[str], glob: str) -> DataFrame:
     """Paths, sizes and times only: the content column is pruned, so nothing is read."""
     with _listing(spark):
         return (
             spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-            .option("pathGlobFilter", glob).load(root).select("path", "length", "modificationTime")
+            .option("pathGlobFilter", glob).load(paths).select("path", "length", "modificationTime")
         )
 
 
+def _files(spark: SparkSession, root: str, glob: str) -> DataFrame:
+    """All files below ``root``; beyond ``FILES_A_JOB`` of them as a stored table."""
+    batches = _batches(spark, [root])
+    first, second = next(batches), next(batches, None)
+    if second is None:
+        return _listed(spark, first, glob)
+    return _stored_by_batch(spark, chain([first, second], batches), lambda paths: _listed(spark, paths, glob), "listed")
+
+
 def run_of(path: Column | str) -> Column:
     """The innermost run folder of a path."""
     name = F.regexp_extract(F.col(path) if isinstance(path, str) else path, ".*" + fixed.RUN_DIR_PATTERN, 1)
@@ -57,18 +135,20 @@ def with_drone_id(df: DataFrame, layout: str = "capture", path: str = PATH) -> D
 
 
 def landed(spark: SparkSession, roots: str | list[str], glob: str = "*.csv") -> DataFrame:
-    """The lines of all files below ``roots``, read once and stored in the shared folder.
+    """The lines of all files below ``roots``, read once and stored in the shared folder, ``FILES_A_JOB`` files a job.
 
     Headers, counts and cells come from this table, so the text itself is scanned a single time. Columns: value,
     the file's path, the line's place ``_at`` in its block, and whether the block is the file's first.
     """
-    with _listing(spark):
-        raw = spark.read.options(recursiveFileLookup="true", pathGlobFilter=glob).text(roots)
-    lines = raw.filter("value <> ''").select(
-        "value", F.col("_metadata.file_path").alias(PATH),
-        (F.col("_metadata.file_block_start") == 0).alias("_first"), F.monotonically_increasing_id().alias("_at"),
-    )
-    return stored(lines, "landed")
+    def lines(paths: list[str]) -> DataFrame:
+        with _listing(spark):
+            raw = spark.read.options(recursiveFileLookup="true", pathGlobFilter=glob).text(paths)
+        return raw.filter("value <> ''").select(
+            "value", F.col("_metadata.file_path").alias(PATH),
+            (F.col("_metadata.file_block_start") == 0).alias("_first"), F.monotonically_increasing_id().alias("_at"),
+        )
+
+    return _stored_by_batch(spark, _batches(spark, [roots] if isinstance(roots, str) else roots), lines, "landed")
 
 
 def _parsed(lines: DataFrame) -> DataFrame:
@@ -116,7 +196,8 @@ def write_capture(df: DataFrame, root: str, target_rows: int = TARGET_ROWS) -> N
 
     A drone's rows meet in one task and make one file. Drones of more than ``target_rows`` rows, found by a count, are
     dealt by their clock into as many files as it takes. The rows themselves are computed once, and every
-    core gets several tasks, since most of the time goes into making files. A failed job can leave files behind.
+    core gets several tasks, since most of the time goes into making files. Beyond ``FILES_A_JOB`` files the rows are stored
+    and several jobs write them, since the driver gets the folders of each job. A failed job can leave files behind.
     """
     keys = ["run_name", "drone_id"]
     cells = [
@@ -124,8 +205,10 @@ def write_capture(df: DataFrame, root: str, target_rows: int = TARGET_ROWS) -> N
         for f in df.schema if f.name not in keys
     ]
     pieces = F.ceil(F.count(F.lit(1)) / target_rows).alias("_pieces")
+    counted = cut_lineage(df.groupBy(*keys).agg(pieces))  # a row a drone
+    jobs = math.ceil((counted.agg(F.sum("_pieces")).first()[0] or 0) / FILES_A_JOB)
     # at most rows / target_rows drones, and checked besides
-    large, n = size_checked(df.groupBy(*keys).agg(pieces).filter("_pieces > 1"))
+    large, n = size_checked(counted.filter("_pieces > 1"))
     dealt = df.withColumn("_piece", F.lit(0).cast("long"))
     if n:
         of = large.withColumnsRenamed({k: f"_r_{k}" for k in keys})
@@ -133,13 +216,32 @@ def write_capture(df: DataFrame, root: str, target_rows: int = TARGET_ROWS) -> N
         dealt = dealt.withColumn("_piece", F.coalesce(F.pmod(F.xxhash64("timestamp"), "_pieces"), F.lit(0)))
     spark = df.sparkSession
     tasks = max(shuffle_partitions(spark), 4 * spark.sparkContext.defaultParallelism)
-    (
-        dealt.repartition(tasks, *keys, "_piece").select(
-            F.col("run_name").alias("capture"),
-            F.format_string("drone_%03d.csv", F.col("drone_id").cast("int")).alias("file"), *cells,
+
+    def write(rows: DataFrame, columns: list, mode: str) -> None:
+        (
+            rows.repartition(tasks, *keys, "_piece").select(
+                F.col("run_name").alias("capture"),
+                F.format_string("drone_%03d.csv", F.col("drone_id").cast("int")).alias("file"), *columns,
+            )
+            .write.partitionBy("capture", "file").options(**COMMIT_BY_TASK).option("header", "true").mode(mode).csv(root)
         )
-        .write.partitionBy("capture", "file").options(**COMMIT_BY_TASK).option("header", "true").mode("overwrite").csv(root)
-    )
+
+    if jobs <= 1:
+        write(dealt, cells, "overwrite")
+        return
+    path = scratch_path(spark, "dealt")
+    try:
+        # a task holds rows of one job only, and so makes one file
+        share = math.ceil(tasks / jobs)
+        told = dealt.withColumn("_task", F.pmod(F.xxhash64(*keys, "_piece"), F.lit(jobs * share)).cast("int"))
+        told = told.repartitionById(jobs * share, "_task").select(*keys, "_piece", *cells, F.floor(F.col("_task") / share).alias("_job"))
+        told.write.partitionBy("_job").parquet(path)
+        again = spark.read.schema(told.schema).parquet(path)
+        done = [F.col(f"`{f.name}`") for f in df.schema if f.name not in keys]
+        for job in range(jobs):
+            write(again.filter(F.col("_job") == job), done, "append" if job else "overwrite")
+    finally:
+        drop_scratch(spark, path)
 
 
 # --- flight table ---------------------------------------------------------
@@ -217,7 +319,13 @@ def convert_all(spark: SparkSession, root: str, out: str, force: bool = False) -
     """
     folder = F.regexp_extract("path", r"^(.*/(?:[a-z_]+=)?run_[^/]+)/", 1)
     # one row a run; runs number in thousands, rows don't come here
-    folders = sorted(map(tuple, drone_files(spark, root).select("run_name", folder.alias("folder")).distinct().collect()), key=str)
+    found: set[tuple] = set()
+    for paths in _batches(spark, [root]):
+        files = _of_drones(_listed(spark, paths, "*.csv"))
+        found |= set(map(tuple, files.select("run_name", folder.alias("folder")).distinct().collect()))
+        del files
+        gc.collect()
+    folders = sorted(found, key=str)
     have = set() if force else {r[0] for r in built_runs(spark, out).collect()}
     said = {run: "skipped" if run in have else "built" for run, _ in folders}
     while True:
@@ -285,8 +393,12 @@ def sql(df: DataFrame, text: str) -> DataFrame:
 # --- discovery ------------------------------------------------------------
 def drone_files(spark: SparkSession, root: str) -> DataFrame:
     """Files of per-drone captures: one file per drone, or a folder of parts of that name."""
-    files = _files(spark, root, "*.csv").withColumn(PATH, F.col("path"))
-    return with_drone_id(files).withColumn("run_name", run_of(PATH)).filter(F.col("drone_id").isNotNull()).drop(PATH)
+    return _of_drones(_files(spark, root, "*.csv"))
+
+
+def _of_drones(files: DataFrame) -> DataFrame:
+    named = with_drone_id(files.withColumn(PATH, F.col("path"))).withColumn("run_name", run_of(PATH))
+    return named.filter(F.col("drone_id").isNotNull()).drop(PATH)
 
 
 def discover_runs(spark: SparkSession, root: str, names: list[str] | None = None) -> DataFrame:

@@ -4,6 +4,7 @@ import json
 import os
 
 import pytest
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from skytrace.sources import cache, capture, logs, metadata, table_log
@@ -46,6 +47,63 @@ def test_written_drones_make_one_file_each(spark, tmp_path):
         assert sorted(map(tuple, got)) == sorted((r, d, t, v or "null") for r, d, t, v in rows)
 
 
+def test_a_job_meets_few_files(spark, tmp_path, monkeypatch):
+    from pyspark.sql.readwriter import DataFrameReader as Reader, DataFrameWriter as Writer
+
+    from skytrace.session import shared_dir
+
+    rows = [(f"run_{i % 2}_none", i % 45, str(i), "ATTITUDE", None if i % 7 else f"{i % 10}") for i in range(900)] + [("run_2_none", 3, str(i), "ATTITUDE", "2") for i in range(200)]
+    df = spark.createDataFrame(rows, "run_name string, drone_id int, timestamp string, mav_packet_type string, roll string").repartition(6)
+    root, out, met = tmp_path / "in", str(tmp_path / "flight"), {"read": [], "written": []}
+    files = lambda: len(list(root.glob("capture=*/file=*/part-*.csv")))
+    for kind in ("text", "load"):
+        own = getattr(Reader, kind)
+
+        def read(self, *a, _own=own, **b):
+            got = _own(self, *a, **b)
+            met["read"].append(len(got.inputFiles()))
+            return got
+
+        monkeypatch.setattr(Reader, kind, read)
+    own_csv = Writer.csv
+
+    def written(self, *a, **b):
+        before = files()
+        own_csv(self, *a, **b)
+        met["written"].append(files() - before)
+
+    monkeypatch.setattr(Writer, "csv", written)
+    monkeypatch.setattr(capture, "FILES_A_JOB", 30, raising=False)
+    stale = root / "capture=run_9_none/file=drone_001.csv"
+    put(stale / "part-0.csv", "timestamp\n1\n")  # what was there goes, as with a single job
+    capture.write_capture(df, str(root), target_rows=100)
+    assert not stale.exists() and 91 <= files() <= 93 and max(met["written"]) < 45
+    want = sorted((r, d, t, v or "null") for r, d, t, _, v in rows)
+    got = lambda table: sorted(map(tuple, table.select("run_name", "drone_id", "timestamp", "roll").collect()))
+    assert got(capture.read_capture(spark, str(root))) == want
+    assert {tuple(r) for r in capture.discover_runs(spark, str(root)).collect()} == {("run_0_none", 45), ("run_1_none", 45), ("run_2_none", 1)}
+    said = capture.convert_all(spark, str(root), out)
+    assert {tuple(r) for r in said.collect()} == {(f"run_{i}_none", "built") for i in range(3)}
+    assert got(capture.read_flight(spark, out)) == want
+    assert max(met["read"]) <= 33  # 30 drones, one of them in up to three files
+    assert not [name for name in os.listdir(shared_dir(spark).removeprefix("file:")) if name.startswith("dealt-")]
+
+
+def test_batches_hold_each_file_once(spark, tree, tmp_path, monkeypatch):
+    put(tmp_path / "all/run_5_[x]_*/drone_001.csv/part-0.csv", "timestamp\n1\n")  # a name, not a pattern
+    for hidden in ("_temporary/run_6/drone_001.csv", ".trash/run_6/drone_001.csv", "run_7/drone_002.csv._COPYING_"):
+        put(tmp_path / "all" / hidden, "timestamp\n1\n")
+    put(tmp_path / "all/_part=1/run_8/drone_001.csv", "timestamp\n1\n")
+    roots = [tree, f"{tree}/deep", f"{tree}/run_*"]
+    read = lambda: sorted(map(str, capture.landed(spark, roots).drop("_at").collect()))
+    whole = read()
+    assert len(whole) == 12
+    monkeypatch.setattr(capture, "FILES_A_JOB", 2)
+    assert [len(b) for b in capture._batches(spark, roots)] == [2, 2, 2, 1] and read() == whole
+    with pytest.raises(AnalysisException, match="PATH_NOT_FOUND"):
+        capture.landed(spark, [f"{tree}/none"])
+
+
 def test_files_unite_by_name(spark, tmp_path):
     put(tmp_path / "run_1/csv/drone_001.csv", "a,b\n1,2\n")
     put(tmp_path / "run_1/csv/drone_002.csv", 'b,c,a\n2,"x,y",1\n')
