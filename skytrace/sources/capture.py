@@ -30,11 +30,16 @@ FILES_A_JOB = 10_000
 
 @contextmanager
 def _listing(spark: SparkSession) -> Iterator[None]:
-    """Many folders are listed by a few tasks a core, instead of one task a folder; the driver keeps no listing for later reads."""
-    parallel, kept = "spark.sql.sources.parallelPartitionDiscovery.parallelism", "spark.sql.hive.filesourcePartitionFileCacheSize"
-    before = {name: spark.conf.get(name) for name in (parallel, kept)}
-    spark.conf.set(parallel, str(min(int(before[parallel]), 4 * spark.sparkContext.defaultParallelism)))
-    spark.conf.set(kept, "0")
+    """Many folders are listed by a few tasks a core, instead of one task a folder; the driver keeps no listing for later reads.
+
+    Jobs that run meanwhile take small files together, so that their tasks, and the files these write, don't follow the files read.
+    """
+    parallel = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    own = {parallel: 4 * spark.sparkContext.defaultParallelism, "spark.sql.hive.filesourcePartitionFileCacheSize": 0, "spark.sql.files.openCostInBytes": 65_536}
+    before = {name: spark.conf.get(name) for name in own}
+    own[parallel] = min(own[parallel], int(before[parallel]))
+    for name, value in own.items():
+        spark.conf.set(name, str(value))
     try:
         yield
     finally:
@@ -93,9 +98,10 @@ def _stored_by_batch(spark: SparkSession, batches: Iterator[list[str]], read: Ca
     path, schema = scratch_path(spark, label), None
     try:
         for batch in batches:
-            rows = read(batch)
-            schema = rows.schema
-            rows.write.mode("append").parquet(path)
+            with _listing(spark):
+                rows = read(batch)
+                schema = rows.schema
+                rows.write.mode("append").parquet(path)
             del rows
             gc.collect()  # Py4J's objects are cycles; till they go, the driver's JVM keeps the listing
     except BaseException:
@@ -141,8 +147,7 @@ def landed(spark: SparkSession, roots: str | list[str], glob: str = "*.csv") ->
     the file's path, the line's place ``_at`` in its block, and whether the block is the file's first.
     """
     def lines(paths: list[str]) -> DataFrame:
-        with _listing(spark):
-            raw = spark.read.options(recursiveFileLookup="true", pathGlobFilter=glob).text(paths)
+        raw = spark.read.options(recursiveFileLookup="true", pathGlobFilter=glob).text(paths)
         return raw.filter("value <> ''").select(
             "value", F.col("_metadata.file_path").alias(PATH),
             (F.col("_metadata.file_block_start") == 0).alias("_first"), F.monotonically_increasing_id().alias("_at"),
@@ -322,7 +327,8 @@ def convert_all(spark: SparkSession, root: str, out: str, force: bool = False) -
     found: set[tuple] = set()
     for paths in _batches(spark, [root]):
         files = _of_drones(_listed(spark, paths, "*.csv"))
-        found |= set(map(tuple, files.select("run_name", folder.alias("folder")).distinct().collect()))
+        with _listing(spark):
+            found |= set(map(tuple, files.select("run_name", folder.alias("folder")).distinct().collect()))
         del files
         gc.collect()
     folders = sorted(found, key=str)

@@ -86,6 +86,13 @@ def test_a_job_meets_few_files(spark, tmp_path, monkeypatch):
     assert {tuple(r) for r in said.collect()} == {(f"run_{i}_none", "built") for i in range(3)}
     assert got(capture.read_flight(spark, out)) == want
     assert max(met["read"]) <= 33  # 30 drones, one of them in up to three files
+    size = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(size)
+    spark.conf.set(size, "4m")  # as large as a small file counts else
+    try:
+        assert len(capture.landed(spark, str(root)).inputFiles()) <= 4 * 12
+    finally:
+        spark.conf.set(size, before)
     assert not [name for name in os.listdir(shared_dir(spark).removeprefix("file:")) if name.startswith("dealt-")]
 
 
